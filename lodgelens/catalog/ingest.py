@@ -120,7 +120,7 @@ def chunk_versions(spark, folder):
     """Two versions of the documents: some leave, some arrive, some change."""
     docs = load(spark, folder, "documents").join(load(spark, folder, "labels"), "doc_id", "left")
     changed = F.when(
-        (F.col("quality") == 1) & (F.col("lang") == "en"), F.upper("text")
+        (F.col("quality") == 1) & (F.col("lang") == "en"), F.lower("text")
     ).otherwise(F.col("text"))
     old = docs.filter(F.coalesce("quality", F.lit(1)) != 0)
     new = docs.filter(F.coalesce("toxic", F.lit(0)) != 1).withColumn("text", changed)
@@ -135,7 +135,7 @@ CHANGES_SQL = """
                   FROM documents LEFT JOIN labels USING (doc_id)),
     old AS (SELECT chunk_id, lang, text FROM docs WHERE coalesce(quality, 1) <> 0),
     new AS (SELECT chunk_id, lang,
-                   CASE WHEN quality = 1 AND lang = 'en' THEN upper(text) ELSE text END AS text
+                   CASE WHEN quality = 1 AND lang = 'en' THEN lower(text) ELSE text END AS text
             FROM docs WHERE coalesce(toxic, 0) <> 1)
     SELECT chunk_id, lang, length(text) AS chars, md5(text) AS digest, 'insert' AS _change_type
     FROM new WHERE chunk_id NOT IN (SELECT chunk_id FROM old)

@@ -118,16 +118,19 @@ WORD_PLACES_SQL = """
                FROM long_words WHERE len(w) >= 2),
     place_tokens AS (SELECT place_name, unnest(string_split(lower(place_name), '/')) AS token FROM places)
 """
-PLACE_MATCH_SQL = f"""
+
+
+def place_match_sql(table: str) -> str:
+    return f"""
     {WORD_PLACES_SQL},
     text_tokens AS (SELECT DISTINCT doc_id,
-                           unnest(regexp_extract_all(lower(text), '[a-zàèéìòùáéíóú]+')) AS token FROM documents),
+                           unnest(regexp_extract_all(lower(text), '[a-zàèéìòùáéíóú]+')) AS token FROM {table}),
     place_match AS (SELECT doc_id, min(place_name) AS place FROM text_tokens JOIN place_tokens USING (token)
                     GROUP BY doc_id)
 """
 
 
-@query("place_match_join", f"WITH {PLACE_MATCH_SQL} SELECT doc_id, place FROM place_match")
+@query("place_match_join", f"WITH {place_match_sql('documents')} SELECT doc_id, place FROM place_match")
 def place_match_join(spark, folder):
     return matching.match_places(
         utterances(spark, folder), word_places(spark, folder), "doc_id", "text", "place_name"
@@ -157,9 +160,10 @@ def _phrases_sql(table: str, key: str, out: str) -> str:
     """
 
 
-NAME_MATCH_SQL = f"""
+def name_match_sql(table: str) -> str:
+    return f"""
     {_phrases_sql("benchmark", "item_id", "names")},
-    {_phrases_sql("documents", "doc_id", "said")},
+    {_phrases_sql(table, "doc_id", "said")},
     name_match AS (SELECT doc_id, listing_id, phrase_length FROM (
         SELECT s.id AS doc_id, n.id AS listing_id, length(s.phrase) AS phrase_length,
                row_number() OVER (PARTITION BY s.id ORDER BY length(s.phrase) DESC, n.id) AS rn
@@ -170,7 +174,7 @@ NAME_MATCH_SQL = f"""
 
 @query(
     "name_match_join",
-    f"WITH {NAME_MATCH_SQL} SELECT doc_id, listing_id, phrase_length FROM name_match",
+    f"WITH {name_match_sql('documents')} SELECT doc_id, listing_id, phrase_length FROM name_match",
 )
 def name_match_join(spark, folder):
     items = load(spark, folder, "benchmark")

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodgelens.catalog.joins import (
-    NAME_MATCH_SQL,
-    PLACE_MATCH_SQL,
     _phrases_sql,
+    name_match_sql,
+    place_match_sql,
     utterances,
     word_places,
 )
 from lodgelens.catalog.registry import load, query
 from lodgelens.functions import intents, text, values
 from lodgelens.functions.language import STOP_WORDS, with_language
-from lodgelens.functions.replies import response_text as reply_text
+from lodgelens.functions.replies import with_response_text
 from lodgelens.operators import chunks, evaluation, prompts, routing
 from lodgelens.session import spread_few_files
 
@@ -182,8 +182,8 @@ def words(spark, folder):
     " SELECT id AS item_id, phrase, count(*) AS n FROM said GROUP BY ALL",
 )
 def ngrams(spark, folder):
-    phrases = F.explode(text.ngrams(text.words(F.col("text")))).alias("phrase")
-    found = load(spark, folder, "benchmark").select("item_id", phrases)
+    split = load(spark, folder, "benchmark").select("item_id", text.words(F.col("text")).alias("w"))
+    found = split.select("item_id", F.explode(text.ngrams(F.col("w"))).alias("phrase"))
     return found.groupBy("item_id", "phrase").agg(F.count("*").alias("n"))
 
 
@@ -313,9 +313,9 @@ def scope_override(spark, folder):
 @query(
     "scope_resolve",
     f"""
-    WITH {PLACE_MATCH_SQL}, {NAME_MATCH_SQL},
-    q AS (SELECT doc_id, lang, source, text || ' ' || ({SAMPLES_SQL})[doc_id % {len(SAMPLES)} + 1] AS text
-          FROM documents),
+    WITH q AS (SELECT doc_id, lang, source, text || ' ' || ({SAMPLES_SQL})[doc_id % {len(SAMPLES)} + 1] AS text
+               FROM documents),
+    {place_match_sql("q")}, {name_match_sql("q")},
     s AS (SELECT doc_id, source, CASE WHEN lang = 'fr' THEN 'listing' WHEN lang = 'de' THEN 'neighbourhood'
                  END AS kind, text FROM q),
     i AS (SELECT doc_id, source, kind, {_override_sql(_label_sql("text"), "text", "kind IS NOT NULL")} AS intent
@@ -498,9 +498,8 @@ def response_text(spark, folder):
         .when(form == 4, '{"choices":[{"message":{"role":"assistant"}}]}')
         .otherwise(F.concat(F.lit('{"oops": '), said))
     )
-    return load(spark, folder, "conversations").select(
-        "conv_id", "turn", reply_text(reply).alias("answer")
-    )
+    logged = load(spark, folder, "conversations").select("conv_id", "turn", reply.alias("reply"))
+    return with_response_text(logged, "reply").select("conv_id", "turn", "answer")
 
 
 @query(

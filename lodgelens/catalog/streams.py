@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodgelens.catalog.logs import PHASE_SQL
 from lodgelens.catalog.registry import load, query
+from lodgelens.catalog.retrieval import DOC_VECTORS_SQL
 from lodgelens.operators import chunks as chunk_ops
 from lodgelens.schemas import CHUNKS
 from lodgelens.session import scratch_path
@@ -29,9 +30,10 @@ def document_chunks(spark, folder):
 
 @query(
     "triggered_sync",
-    """
+    f"""
+    WITH {DOC_VECTORS_SQL}
     SELECT doc_id::VARCHAR AS chunk_id, lang AS neighbourhood, source AS room_type,
-           md5(text) AS digest, len(regexp_extract_all(lower(text), '[a-z0-9àèéìòùáéíóú&]+')) > 0 AS has_vector
+           md5(text) AS digest, doc_id IN (SELECT id FROM d_norms) AS has_vector
     FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1
     """,
 )

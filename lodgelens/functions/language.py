@@ -21,20 +21,24 @@ STOP_WORDS = {
 }
 
 
-def vote_language(text: Column) -> Column:
-    """Language whose common words occur most; first in ``STOP_WORDS`` order on a tie."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+def language_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
-    def hits(lang: str) -> Column:
-        vocabulary = STOP_WORDS[lang].split()
+
+def language_hits(tokens: Column) -> Column:
+    """Number of common words per language, in ``STOP_WORDS`` order."""
+
+    def hits(vocabulary: list[str]) -> Column:
         return F.size(F.filter(tokens, lambda t: t.isin(vocabulary)))
 
-    counts = {lang: hits(lang) for lang in STOP_WORDS}
-    best = F.greatest(*counts.values())
-    choice = F.when(best == 0, "unknown")
-    for lang, n in counts.items():
-        choice = choice.when(n == best, lang)
-    return F.when(F.length(text) > MIN_CHARS, choice).otherwise("unknown")
+    return F.array(*[hits(spec.split()) for spec in STOP_WORDS.values()])
+
+
+def language_vote(hits: Column) -> Column:
+    """Language with most hits, the first on a tie; ``unknown`` without any hit."""
+    codes = F.array(*[F.lit(code) for code in STOP_WORDS])
+    best = F.array_max(hits)
+    return F.when(best > 0, F.element_at(codes, F.array_position(hits, best).cast("int")))
 
 
 def with_language(
@@ -43,20 +47,24 @@ def with_language(
     out: str = "lang",
     detector: Callable[[pd.Series], pd.Series] | None = None,
 ) -> DataFrame:
-    """Add a language column by the vote above or by a plug-in ``detector``.
+    """Add a language column by the common-word vote or by a plug-in ``detector``.
 
     A detector sees Arrow batches of text and returns one code per text; texts
     that are null or too short never reach its verdict.
     """
+    long_enough = F.length(text) > MIN_CHARS
     if detector is None:
-        return df.withColumn(out, vote_language(F.col(text)))
+        # Stored step by step, as each step is used several times by the next one.
+        tokens = F.when(long_enough, language_tokens(F.col(text)))
+        counted = df.withColumn("_tokens", tokens).withColumn("_hits", language_hits(F.col("_tokens")))
+        vote = F.coalesce(language_vote(F.col("_hits")), F.lit("unknown"))
+        return counted.withColumn(out, vote).drop("_tokens", "_hits")
 
     @F.pandas_udf("string")
     def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield detector(batch.fillna(""))
 
-    long_enough = F.length(text) > MIN_CHARS
     return df.withColumn(
         out, F.when(long_enough, F.coalesce(detect(text), F.lit("unknown"))).otherwise("unknown")
     )

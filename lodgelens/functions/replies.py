@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions.text import strip_space
@@ -47,9 +47,8 @@ def _content_text(content: Column) -> Column:
     return F.when(parts.isNotNull(), listed).otherwise(plain)
 
 
-def response_text(response: Column) -> Column:
-    """Answer text of a logged chat response (JSON text); null if the form is unknown."""
-    doc = F.try_parse_json(response)
+def response_text(doc: Column) -> Column:
+    """Answer text of a parsed chat response (variant); null if the form is unknown."""
     message = _get(doc, "$.choices[0].message", "variant")
     content = _get(doc, "$.choices[0].message.content", "variant")
     first = _get(doc, "$.predictions[0]", "variant")
@@ -62,9 +61,9 @@ def response_text(response: Column) -> Column:
     return strip_space(text)
 
 
-def delta_text(event: Column) -> Column:
-    """Answer text of one streamed event (JSON text); empty for anything else."""
-    content = _get(F.try_parse_json(event), "$.choices[0].delta.content", "variant")
+def delta_text(doc: Column) -> Column:
+    """Answer text of one parsed stream event (variant); empty for anything else."""
+    content = _get(doc, "$.choices[0].delta.content", "variant")
     parts = _get(content, "$", "array<variant>")
     texts = F.transform(
         parts, lambda p: F.when(_get(p, "$.type").isin(ANSWER_PARTS), _get(p, "$.text"))
@@ -74,6 +73,12 @@ def delta_text(event: Column) -> Column:
     return F.coalesce(F.when(parts.isNotNull(), listed).otherwise(plain), F.lit(""))
 
 
+def with_response_text(df: DataFrame, response: str, out: str = "answer") -> DataFrame:
+    """Add the answer text of a JSON text column; each reply is parsed once."""
+    parsed = df.withColumn("_doc", F.try_parse_json(response))
+    return parsed.withColumn(out, response_text(F.col("_doc"))).drop("_doc")
+
+
 def judge_score(raw: Column, name: str) -> Column:
     """Score 1 to 5 named ``name`` in a judge's reply; null if there is none."""
     return F.regexp_extract(raw, f'"{name}"\\s*:\\s*([1-5])', 1).try_cast("int")

@@ -49,7 +49,11 @@ def letter_words(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, low: int = 2, high: int = 5, common=COMMON_NAME_WORDS) -> Column:
-    """Phrases of ``low``..``high`` words, without those made of common words only."""
+    """Phrases of ``low``..``high`` words, without those made of common words only.
+
+    ``tokens`` must be a stored column: an expression would be evaluated again for
+    every window inside the lambdas.
+    """
     common = sorted(set(common))
 
     def windows(n: int) -> Column:

@@ -31,6 +31,12 @@ def match_places(
     return found.groupBy(key).agg(F.min("place").alias("place"))
 
 
+def name_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, phrase)``: the distinct telling phrases of 2 to 5 words per text."""
+    split = df.select(key, words(F.col(text)).alias("tokens"))
+    return split.select(key, F.explode(F.array_distinct(ngrams(F.col("tokens")))).alias("phrase"))
+
+
 def match_listings(
     utterances: DataFrame,
     listings: DataFrame,
@@ -45,15 +51,11 @@ def match_listings(
     stands for its lowest listing id, so a common phrase joins to one row per text.
     """
     phrase_listing = (
-        listings.select(
-            listing_id, F.explode(F.array_distinct(ngrams(words(F.col(name))))).alias("phrase")
-        )
+        name_phrases(listings, listing_id, name)
         .groupBy("phrase")
         .agg(F.min(listing_id).alias("listing_id"))
     )
-    phrases = utterances.select(
-        key, F.explode(F.array_distinct(ngrams(words(F.col(text))))).alias("phrase")
-    )
+    phrases = name_phrases(utterances, key, text)
     found = phrases.join(broadcast_if_small(phrase_listing), "phrase")
     # (length desc, id asc) as one number keeps the aggregate in fixed-width buffers.
     length = F.length("phrase").cast("decimal(10,0)")

@@ -78,7 +78,8 @@ def join_deltas(events: DataFrame, key: str, seq: str, payload: str) -> DataFram
     Events without answer text are dropped before the shuffle. An answer is one value,
     so its pieces meet in one row; different answers are independent.
     """
-    pieces = events.select(key, seq, delta_text(F.col(payload)).alias("piece"))
+    parsed = events.select(key, seq, F.try_parse_json(payload).alias("doc"))
+    pieces = parsed.select(key, seq, delta_text(F.col("doc")).alias("piece"))
     pieces = pieces.filter(F.length("piece") > 0)
     ordered = F.array_sort(F.collect_list(F.struct(seq, "piece")))
     return pieces.groupBy(key).agg(
