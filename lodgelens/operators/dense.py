@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodgelens.functions.text import normalise_name
 from lodgelens.operators.topk import top_items
 
 
@@ -24,17 +25,19 @@ class CosineScore:
     def prepare(self, queries: pd.DataFrame) -> np.ndarray:
         return _unit(queries["embedding"])
 
+    def width(self, state: np.ndarray) -> int:
+        return state.shape[1]
+
     def score(self, state: np.ndarray, picked: np.ndarray, items: pd.DataFrame) -> np.ndarray:
         return state[picked] @ _unit(items["embedding"]).T
 
 
 def _sides(queries: DataFrame, chunks: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    extra = [c for c in more]
     left = queries.filter(F.col("embedding").isNotNull())
     right = chunks.filter(F.col("embedding").isNotNull())
     return (
-        left.select("query_id", "embedding", *extra),
-        right.select(F.col("chunk_id").alias("item_id"), "embedding", *extra),
+        left.select("query_id", "embedding", *more),
+        right.select(F.col("chunk_id").alias("item_id"), "embedding", *more),
     )
 
 
@@ -62,8 +65,6 @@ def knn_filtered(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) ->
     offered under each combination it satisfies, and combinations no query uses are
     dropped before any vector is touched, so filters apply ahead of the ranking.
     """
-    from lodgelens.functions.text import normalise_name
-
     left, right = _sides(queries, chunks, "listing_id", "neighbourhood")
     blank_to_null = F.nullif(normalise_name(F.col("neighbourhood")), F.lit(""))
     listing = F.col("listing_id")

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.bounds import broadcast_if_small
+from lodgelens.bounds import fits_broadcast, measured_bytes
 from lodgelens.functions.text import words
 from lodgelens.operators.topk import top_items
+from lodgelens.session import materialise
 
 # Okapi parameters: common defaults, a choice of this package.
 K1, B = 1.2, 0.75
@@ -24,6 +25,9 @@ class Bm25Score:
     def __init__(self, average_length: float, k1: float = K1, b: float = B):
         self.average_length, self.k1, self.b = average_length, k1, b
 
+    def width(self, state) -> int:
+        return state[1].shape[1]
+
     def prepare(self, queries: pd.DataFrame):
         lengths = queries["terms"].map(len).to_numpy()
         terms = np.concatenate(queries["terms"].to_list()) if lengths.sum() else np.array([])
@@ -49,38 +53,51 @@ class Bm25Score:
         return np.where(scores > 0, scores, -np.inf)
 
 
-def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) -> DataFrame:
+def word_statistics(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(t, df, total_words)`` per word, in one pass over ``words`` arrays.
+
+    The row of the empty word, which no text contains, counts all texts and their words.
+    Words are de-duplicated per text and counted before the shuffle, so a word in every
+    text costs one partial row per task. With a ``vocabulary`` only its words are counted.
+    """
+    marked = F.array_append(F.array_distinct("words"), F.lit(""))
+    found = docs.select(F.explode(marked).alias("t"), F.size("words").alias("len"))
+    if vocabulary is not None:
+        wanted = vocabulary.select("t").union(docs.sparkSession.createDataFrame([("",)], "t string"))
+        small = fits_broadcast(vocabulary)
+        distinct = wanted.distinct()
+        found = found.join(F.broadcast(distinct) if small else distinct, "t", "left_semi")
+    total = F.sum(F.when(F.col("t") == "", F.col("len"))).alias("total_words")
+    return found.groupBy("t").agg(F.count("*").alias("df"), total)
+
+
+def lexical_topk(
+    queries: DataFrame, chunks: DataFrame, k: int = 20, statistics: DataFrame | None = None, **plan
+) -> DataFrame:
     """``(query_id, rank, chunk_id, score)`` by BM25 over ``query`` and ``chunk_text``.
 
-    Word statistics come from two distributed aggregates. Document frequencies are
-    counted for query words only, after per-text de-duplication, so a word that is in
-    every text adds one row per text to a partial count and nothing to a shuffle.
+    Two passes over the texts: word statistics, then the scores. Stored ``statistics`` of
+    the whole table (see :func:`word_statistics`) save the first one.
     """
     docs = chunks.select(
         F.col("chunk_id").alias("item_id"), words(F.col("chunk_text")).alias("words")
     )
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("t"))
-    vocabulary = broadcast_if_small(terms.select("t").distinct())
-    frequency = (
-        docs.select(F.explode(F.array_distinct("words")).alias("t"))
-        .join(vocabulary, "t", "left_semi")
-        .groupBy("t")
-        .agg(F.count("*").alias("df"))
-    )
-    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("len")).first()
-    total, average_length = int(corpus["n"]), float(corpus["len"] or 1.0)
+    if statistics is None:
+        statistics = materialise(word_statistics(docs, terms.select("t")), "word-statistics")
+    corpus = statistics.filter("t = ''").select("df", "total_words").first()
+    total = int(corpus["df"]) if corpus else 0
+    average_length = max(float(corpus["total_words"] or 0), 1.0) / total if total else 1.0
     idf = F.log(1.0 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     packed = (
-        terms.join(frequency, "t")
+        terms.join(statistics, "t")
         .select("query_id", "t", idf.alias("idf"))
         .groupBy("query_id")
         .agg(F.sort_array(F.collect_list(F.struct("t", "idf"))).alias("pairs"))
-        .select(
-            "query_id",
-            F.col("pairs.t").alias("terms"),
-            F.col("pairs.idf").alias("idfs"),
-        )
+        .select("query_id", F.col("pairs.t").alias("terms"), F.col("pairs.idf").alias("idfs"))
     )
     plan.setdefault("item_block", TEXT_BLOCK)
+    # A packed query holds its terms and one weight each: no more than twice the terms.
+    plan.setdefault("query_bytes", 2 * measured_bytes(terms))
     top = top_items(packed, docs, Bm25Score(average_length), k, **plan)
     return top.select("query_id", "rank", F.col("item_id").alias("chunk_id"), "score")

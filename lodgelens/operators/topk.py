@@ -40,6 +40,9 @@ class BlockScore(Protocol):
 
     def prepare(self, queries: pd.DataFrame) -> Any: ...
 
+    def width(self, state: Any) -> int:
+        """Values held per item while scoring, to size the blocks."""
+
     def score(self, state: Any, picked: np.ndarray, items: pd.DataFrame) -> np.ndarray:
         """Matrix of queries at positions ``picked`` (rows) by ``items`` (columns)."""
 
@@ -79,7 +82,7 @@ class _Blocks:
             picked = self.by_route.get(route)
             if picked is None:
                 continue
-            step = max(1, MATRIX_CELLS // len(picked))
+            step = max(1, MATRIX_CELLS // max(len(picked), self.scorer.width(self.state)))
             for at in range(0, len(rows), step):
                 part = items.iloc[rows[at : at + step]]
                 matrix = np.round(self.scorer.score(self.state, picked, part), 6)
@@ -90,24 +93,42 @@ class _Blocks:
             merged = [np.concatenate(column) for column in zip(*found)]
             self.best = _best(*merged, self.k)
 
-    def result(self) -> pd.DataFrame:
+    def result(self) -> pd.DataFrame | None:
         if self.best is None:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+            return None
         q, ids, scores = self.best
-        return pd.DataFrame(
-            {"query_id": self.queries["query_id"].to_numpy()[q], "item_id": ids, "score": scores}
-        )
+        return _hits_frame(self.queries["query_id"].to_numpy()[q], ids, scores)
+
+
+def _hits_frame(query_ids, item_ids, scores) -> pd.DataFrame:
+    def column(values):
+        # Text ids stay plain objects: Arrow-backed strings do not convert back.
+        values = np.asarray(values)
+        return pd.Series(values, dtype=values.dtype if values.dtype.kind in "iuf" else object)
+
+    return pd.DataFrame(
+        {
+            "query_id": column(query_ids),
+            "item_id": column(item_ids),
+            "score": pd.Series(scores, dtype=float),
+        }
+    )
 
 
 def _by_broadcast(queries: DataFrame, items: DataFrame, score: BlockScore, k: int, schema):
-    context = queries.sparkSession.sparkContext
-    shared = context.broadcast(queries.toPandas())
+    session = queries.sparkSession
+    asked = queries.toPandas()
+    if asked.empty:
+        return session.createDataFrame([], schema)
+    shared = session.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks = _Blocks(score, shared.value, k)
         for batch in batches:
             blocks.add(batch)
-        yield blocks.result()
+        best = blocks.result()
+        if best is not None:
+            yield best
 
     return items.mapInPandas(run, schema)
 
@@ -127,8 +148,10 @@ def _by_block_pairs(queries, items, score, k, schema, query_block, item_block):
     per_route = broadcast_if_small(per_route)
 
     def dealt(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str):
+        # Fresh aliases, as both sides may come from the same table.
+        fresh = df.select(*[F.col(c).alias(c) for c in df.columns])
         return (
-            df.join(per_route, "route")
+            fresh.join(per_route, "route")
             .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
             .drop("qn", "bn")
@@ -138,11 +161,12 @@ def _by_block_pairs(queries, items, score, k, schema, query_block, item_block):
     right = dealt(items, "item_id", "ib", "bn", "qb", "qn")
 
     def run(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        blocks = _Blocks(score, q, k)
-        blocks.add(i)
-        return blocks.result()
+        best = None
+        if len(q) and len(i):
+            blocks = _Blocks(score, q, k)
+            blocks.add(i)
+            best = blocks.result()
+        return _hits_frame(q["query_id"][:0], i["item_id"][:0], []) if best is None else best
 
     keys = ["route", "qb", "ib"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
@@ -153,6 +177,7 @@ def top_items(
     items: DataFrame,
     score: BlockScore,
     k: int,
+    query_bytes: int | None = None,
     broadcast_bytes: int = BROADCAST_QUERY_BYTES,
     query_block: int = QUERY_BLOCK,
     item_block: int = ITEM_BLOCK,
@@ -162,7 +187,8 @@ def top_items(
     Both frames need ``query_id`` or ``item_id`` and what the score reads. ``route``
     columns are optional but must come on both sides. Scores are rounded to six places
     before ranking and the lowest item id breaks ties, so the result does not depend on
-    how rows fell into blocks.
+    how rows fell into blocks. ``query_bytes`` is an upper bound the caller already knows;
+    without it the query side is measured.
     """
     if "route" not in queries.columns:
         queries = queries.withColumn("route", F.lit("all"))
@@ -177,7 +203,9 @@ def top_items(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    if measured_bytes(queries) <= broadcast_bytes:
+    if query_bytes is None:
+        query_bytes = measured_bytes(queries)
+    if query_bytes <= broadcast_bytes:
         partial = _by_broadcast(queries, items, score, k, schema)
     else:
         partial = _by_block_pairs(queries, items, score, k, schema, query_block, item_block)
