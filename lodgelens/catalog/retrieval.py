@@ -284,10 +284,10 @@ def hybrid_fuse(spark, folder):
 
 
 def scored_pairs(spark, folder):
-    """Pairs of questions and their 20 best texts; 4,000 hits stay far below a broadcast."""
+    """Pairs of questions and their 20 best texts."""
     asked, chunks = text_queries(spark, folder), text_chunks(spark, folder)
-    hits = lexical.lexical_topk(asked, chunks)
-    return rerank.pair_join(hits, chunks, asked)
+    hits = lexical.lexical_topk(asked, chunks, rerank.RETRIEVE_K)
+    return rerank.pair_join(hits, chunks, asked, rerank.RETRIEVE_K)
 
 
 @query(

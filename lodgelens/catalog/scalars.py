@@ -168,12 +168,22 @@ def request_key(spark, folder):
     """,
 )
 def words(spark, folder):
-    """Occurrences and texts per word; per-text counts come first, so hot words stay small."""
-    found = utterances(spark, folder).select(
-        "doc_id", F.explode(text.words(F.col("text"))).alias("word")
-    )
-    per_text = found.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    return per_text.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    """Occurrences and texts per word.
+
+    Both counts ride on one explode and are summed per word before the shuffle, so only
+    the vocabulary of each task travels, not its (text, word) pairs.
+    """
+    split = utterances(spark, folder).select(text.words(F.col("text")).alias("w"))
+
+    def marks(tokens, n, n_docs):
+        return F.transform(
+            tokens,
+            lambda w: F.struct(w.alias("word"), F.lit(n).alias("n"), F.lit(n_docs).alias("n_docs")),
+        )
+
+    every = F.concat(marks(F.col("w"), 1, 0), marks(F.array_distinct("w"), 0, 1))
+    counted = split.select(F.explode(every).alias("m")).groupBy("m.word")
+    return counted.agg(F.sum("m.n").alias("n"), F.sum("m.n_docs").alias("n_docs"))
 
 
 @query(

@@ -82,11 +82,19 @@ def knn_filtered(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) ->
     return _hits(top_items(left, right, CosineScore(), k, **plan))
 
 
-def fit_cells(chunks: DataFrame, cells: int, seed: int = 7, iterations: int = 10) -> KMeansModel:
-    """Cell centres over unit vectors; the model is ``cells`` x ``dim`` doubles."""
+def fit_cells(
+    chunks: DataFrame, cells: int, seed: int = 7, iterations: int = 10, fraction: float = 1.0
+) -> KMeansModel:
+    """Cell centres over unit vectors; the model is ``cells`` x ``dim`` doubles.
+
+    ``fraction`` below 1 fits the centres on a share of the vectors. Search stays whole:
+    every vector is assigned to a cell either way.
+    """
     points = chunks.filter(F.col("embedding").isNotNull()).select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
+    if fraction < 1.0:
+        points = points.sample(fraction, seed)
     return KMeans(k=cells, seed=seed, maxIter=iterations).fit(points)
 
 

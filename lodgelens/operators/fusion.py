@@ -16,7 +16,8 @@ RRF_CONSTANT = 60
 def reciprocal_rank_fusion(*lists: DataFrame, k: int = 20, constant: int = RRF_CONSTANT) -> DataFrame:
     """Sum of ``1 / (constant + rank)`` over ranked lists of ``(query_id, chunk_id, rank)``.
 
-    A union and one aggregate: a chunk missing from a list simply adds nothing.
+    A union and one aggregate: a chunk missing from a list simply adds nothing. The lists
+    hold a few hits per query; they are shuffled once, by query, for both steps.
     """
     gains = [
         hits.select("query_id", "chunk_id", (F.lit(1.0) / (F.col("rank") + constant)).alias("gain"))
@@ -24,6 +25,7 @@ def reciprocal_rank_fusion(*lists: DataFrame, k: int = 20, constant: int = RRF_C
     ]
     summed = (
         reduce(DataFrame.unionByName, gains)
+        .repartition("query_id")
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum("gain"), 8).alias("score"))
     )

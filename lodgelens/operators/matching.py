@@ -32,11 +32,26 @@ def match_places(
 
 
 def name_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, phrase)``: the distinct telling phrases of 2 to 5 words per text."""
+    """``(key, phrase)``: the distinct telling phrases of 2 to 5 words per name."""
     split = df.select(key, words(F.col(text)).alias("tokens"))
     return split.select(key, F.explode(F.array_distinct(ngrams(F.col("tokens")))).alias("phrase"))
 
 
+def spoken_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, phrase)``: every run of 2 to 5 words per text, common or not.
+
+    Each length is the shorter one with the next word appended, so a text costs a few
+    linear passes. What a common phrase could match is already left out of the names.
+    """
+    grown = df.select(key, words(F.col(text)).alias("tokens")).withColumn("n1", F.col("tokens"))
+    for n in range(2, 6):
+        following = F.slice("tokens", F.lit(n), F.size("tokens"))
+        longer = F.zip_with(f"n{n - 1}", following, lambda a, b: F.concat(a, F.lit(" "), b))
+        grown = grown.withColumn(f"n{n}", longer)
+    runs = grown.select(key, F.explode(F.concat("n2", "n3", "n4", "n5")).alias("phrase"))
+    return runs.filter(F.col("phrase").isNotNull())
+
+
 def match_listings(
     utterances: DataFrame,
     listings: DataFrame,
@@ -55,7 +70,7 @@ def match_listings(
         .groupBy("phrase")
         .agg(F.min(listing_id).alias("listing_id"))
     )
-    phrases = name_phrases(utterances, key, text)
+    phrases = spoken_phrases(utterances, key, text)
     found = phrases.join(broadcast_if_small(phrase_listing), "phrase")
     # (length desc, id asc) as one number keeps the aggregate in fixed-width buffers.
     length = F.length("phrase").cast("decimal(10,0)")

@@ -43,15 +43,21 @@ def _model_score(scorer: PairScorer, query: Column, text: Column) -> Column:
     return score(query, text)
 
 
+#: Hits are broadcast up to this many rows of ids, ranks and scores (some 100 bytes each).
+SMALL_HITS = 200_000
+
+
 def pair_join(
-    hits: DataFrame, chunks: DataFrame, queries: DataFrame, small_hits: bool = False
+    hits: DataFrame, chunks: DataFrame, queries: DataFrame, depth: int | None = None
 ) -> DataFrame:
     """Add chunk columns and query text to hits.
 
-    ``small_hits`` promises that the hits fit a broadcast (queries times depth is known
-    to be small); the wide chunk table is then read in place and never shuffled.
+    ``depth`` is the retrieval depth behind the hits. If queries times depth is small
+    enough, the hits are broadcast and the wide chunk table is read in place; otherwise
+    both sides are shuffled by chunk.
     """
-    narrow = F.broadcast(hits) if small_hits else hits
+    small = depth is not None and queries.count() * depth <= SMALL_HITS
+    narrow = F.broadcast(hits) if small else hits
     return chunks.join(narrow, "chunk_id").join(queries.select("query_id", "query"), "query_id")
 
 

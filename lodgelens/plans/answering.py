@@ -27,9 +27,6 @@ CLARIFY = (
     "(oppure scegli un annuncio dalla mappa)"
 )
 
-#: Hits are broadcast up to this many rows of ids and scores (about 100 bytes each).
-SMALL_HITS = 200_000
-
 
 def retrieve_then_rerank(
     queries: DataFrame,
@@ -57,8 +54,7 @@ def retrieve_then_rerank(
     depths = asked.select("query_id", "retrieve_k", "rerank_k")
     hits = found.join(depths, "query_id").filter(F.col("rank") <= F.col("retrieve_k"))
     texts = chunks.select("chunk_id", "listing_id", "neighbourhood", "room_type", "chunk_text")
-    small = queries.count() * deepest <= SMALL_HITS
-    pairs = pair_join(hits, texts, queries, small_hits=small)
+    pairs = pair_join(hits, texts, queries, deepest)
     return rerank_topk(pairs, F.col("rerank_k"), scorer, deepest=max(RERANK_K, PLACE_RERANK_K))
 
 
