@@ -11,7 +11,7 @@ from lodgelens.functions.text import normalise_name
 from lodgelens.functions.values import range_to_null
 from lodgelens.operators import chunks as chunk_ops
 from lodgelens.operators import questions, request_log, views
-from lodgelens.operators.dense import _route
+from lodgelens.operators.dense import filter_route
 from lodgelens.schemas import flat_schema
 from lodgelens.session import scratch_path
 from lodgelens.sources import csv_files, metric_state, query_sets, tables
@@ -395,11 +395,11 @@ def metadata_filter(spark, folder):
     )
     pairs = requests.join(listings(spark, folder).select("id", "neighbourhood"), "id")
     none = F.lit(None).cast("string")
-    wanted = _route(F.col("want_listing"), F.col("want_place"))
+    wanted = filter_route(F.col("want_listing"), F.col("want_place"))
     offered = F.array(
-        _route(none, F.col("neighbourhood")),
-        _route(F.col("id"), none),
-        F.when(F.col("open"), _route(none, none)),
+        filter_route(none, F.col("neighbourhood")),
+        filter_route(F.col("id"), none),
+        F.when(F.col("open"), filter_route(none, none)),
     )
     kept = pairs.filter(F.coalesce(F.array_contains(F.array_compact(offered), wanted), F.lit(False)))
     return kept.select("o_orderkey", F.col("id").alias("c_custkey"))

@@ -8,7 +8,7 @@ from lodgelens.catalog.ingest import ENRICHED, ENRICHED_SQL, listings, places
 from lodgelens.catalog.registry import load, query
 from lodgelens.functions.text import COMMON_NAME_WORDS, letter_words
 from lodgelens.operators import chunks, matching, sampling, views
-from lodgelens.session import spread_few_files
+from lodgelens.session import spread_few_splits
 
 
 def parts_as_listings(spark, folder):
@@ -93,7 +93,7 @@ def semi_join_distinct(spark, folder):
 
 def utterances(spark, folder):
     docs = load(spark, folder, "documents").select("doc_id", "text")
-    return spread_few_files(docs, "doc_id")
+    return spread_few_splits(docs, "doc_id")
 
 
 def word_places(spark, folder):

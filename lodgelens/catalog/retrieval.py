@@ -8,7 +8,7 @@ from lodgelens.catalog.registry import load, query
 from lodgelens.operators import dense, evaluation, fusion, lexical, prompts, ranking, rerank
 from lodgelens.operators.embedding import embed_text
 from lodgelens.plans.answering import retrieve_then_rerank as retrieve
-from lodgelens.session import spread_few_files
+from lodgelens.session import spread_few_splits
 
 WORDS = "regexp_extract_all(lower({}), '[a-z0-9àèéìòùáéíóú&]+')"
 
@@ -198,7 +198,7 @@ def text_chunks(spark, folder):
         F.col("source").alias("room_type"),
         F.col("text").alias("chunk_text"),
     )
-    return spread_few_files(docs, "chunk_id")
+    return spread_few_splits(docs, "chunk_id")
 
 
 def text_queries(spark, folder):

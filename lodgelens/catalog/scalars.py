@@ -16,7 +16,7 @@ from lodgelens.functions import intents, text, values
 from lodgelens.functions.language import STOP_WORDS, with_language
 from lodgelens.functions.replies import with_response_text
 from lodgelens.operators import chunks, evaluation, prompts, routing
-from lodgelens.session import spread_few_files
+from lodgelens.session import spread_few_splits
 
 WORDS = "regexp_extract_all(lower({}), '[a-z0-9àèéìòùáéíóú&]+')"
 
@@ -359,7 +359,7 @@ def scope_resolve(spark, folder):
             F.lit("scoped").alias("label"),
         ),
     )
-    questions = spread_few_files(docs, "doc_id").select(
+    questions = spread_few_splits(docs, "doc_id").select(
         F.col("doc_id").alias("question_id"),
         said.alias("text"),
         intents.intent_label(said).alias("intent"),

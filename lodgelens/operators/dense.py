@@ -51,11 +51,10 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) -> Dat
     return _hits(top_items(left, right, CosineScore(), k, **plan))
 
 
-def _route(listing: Column, place: Column) -> Column:
-    """Text that names a filter combination; null parts are marked, so no two collide."""
-    return F.concat_ws(
-        "|", F.coalesce(listing.cast("string"), F.lit("*")), F.coalesce(place, F.lit("*"))
-    )
+def filter_route(listing: Column, place: Column) -> Column:
+    """Text that names a filter combination; a part that is not filtered stays empty."""
+    named = F.coalesce(F.concat(F.lit("="), place), F.lit(""))
+    return F.concat(F.coalesce(listing.cast("string"), F.lit("")), F.lit("|"), named)
 
 
 def knn_filtered(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) -> DataFrame:
@@ -71,13 +70,13 @@ def knn_filtered(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) ->
     nothing, place = F.lit(None).cast("string"), F.col("neighbourhood")
     offered = F.array_distinct(
         F.array(
-            _route(nothing, nothing),
-            _route(nothing, place),
-            _route(listing, nothing),
-            _route(listing, place),
+            filter_route(nothing, nothing),
+            filter_route(nothing, place),
+            filter_route(listing, nothing),
+            filter_route(listing, place),
         )
     )
-    left = left.select("query_id", "embedding", _route(listing, blank_to_null).alias("route"))
+    left = left.select("query_id", "embedding", filter_route(listing, blank_to_null).alias("route"))
     right = right.select("item_id", "embedding", F.explode(offered).alias("route"))
     return _hits(top_items(left, right, CosineScore(), k, **plan))
 
@@ -115,19 +114,31 @@ def with_cells(df: DataFrame, model: KMeansModel, probes: int = 1, out: str = "c
     )
 
 
+def write_cell_index(chunks: DataFrame, model: KMeansModel, path: str) -> DataFrame:
+    """Store chunks by cell and return the stored table.
+
+    Rows are dealt by cell and a salt, so a cell holding a third of all rows is written by
+    many tasks while small cells stay in few files.
+    """
+    celled = with_cells(chunks, model).withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(64)))
+    spread = celled.repartition("cell", "_salt").drop("_salt")
+    spread.write.mode("overwrite").partitionBy("cell").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
 def knn_ann(
     queries: DataFrame, chunks: DataFrame, model: KMeansModel, k: int = 20, probes: int = 4, **plan
 ) -> DataFrame:
     """Approximate search: each query sees only the chunks of its ``probes`` nearest cells.
 
-    Give ``chunks`` a stored ``cell`` column (see :func:`with_cells`) to skip assigning
-    cells again; a table partitioned by cell then prunes files as well.
+    ``chunks`` with a ``cell`` column are taken as assigned. Stored by
+    :func:`write_cell_index`, the probed cells prune whole folders at run time.
     """
     celled = chunks if "cell" in chunks.columns else with_cells(chunks, model)
     left = with_cells(queries, model, probes).select(
-        "query_id", "embedding", F.col("cell").cast("string").alias("route")
+        "query_id", "embedding", F.col("cell").alias("route")
     )
     right = celled.select(
-        F.col("chunk_id").alias("item_id"), "embedding", F.col("cell").cast("string").alias("route")
+        F.col("chunk_id").alias("item_id"), "embedding", F.col("cell").alias("route")
     )
     return _hits(top_items(left, right, CosineScore(), k, **plan))

@@ -28,17 +28,16 @@ def resolve_scopes(questions: DataFrame, places: DataFrame, listings: DataFrame)
     named = listing.select("question_id", "listing_id").join(
         listings.select("listing_id", "listing_name"), "listing_id"
     )
-    joined = labelled.join(
-        place.select("question_id", F.col("place").alias("text_place")), "question_id", "left"
-    ).join(
+    # A question is in one of the two at most, so one join brings both back.
+    found = place.select("question_id", F.col("place").alias("text_place")).unionByName(
         named.select(
             "question_id",
             F.col("listing_id").alias("text_listing"),
             F.col("listing_name").alias("text_listing_name"),
         ),
-        "question_id",
-        "left",
+        allowMissingColumns=True,
     )
+    joined = labelled.join(found, "question_id", "left")
     rag = F.col("intent") == "rag"
     by_listing = rag & (kind == "listing")
     by_place = rag & (kind == "neighbourhood")

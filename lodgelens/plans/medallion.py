@@ -76,9 +76,8 @@ def run_batch(
         read_export(spark, exports.neighbourhoods, schemas.NEIGHBOURHOODS, city, multiline),
         "bronze_neighbourhoods",
     )
-    raw_reviews = read_export(
-        spark, exports.reviews, schemas.REVIEWS, city, multiline, spread_by="id"
-    )
+    # Not spread after the scan: the sample cuts the rows down before their one shuffle.
+    raw_reviews = read_export(spark, exports.reviews, schemas.REVIEWS, city, multiline)
     reviews = store(
         sampling.stratified_reviews(
             listings, raw_reviews, settings.listings_per_place, settings.reviews_per_listing

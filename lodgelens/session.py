@@ -61,14 +61,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_few_files(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by ``keys`` only if the input has fewer files than cores.
+def spread_few_splits(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a scan by ``keys`` if it would leave half of the cores idle.
 
-    One parquet row group cannot be split between tasks, so a table of one or two
-    files would run a costly expression on one or two cores. A table of many files
-    is returned untouched: no shuffle is added at scale.
+    A table of one small file runs a costly expression on one core. A table with many
+    splits is returned untouched, so no shuffle is added at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if 2 * df.rdd.getNumPartitions() > cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])

@@ -346,3 +346,56 @@ def test_route_columns_must_match(spark):
     for plan in ({}, PAIRED):
         got = top_items(queries, items, Ones(), 5, **plan).collect()
         assert sorted((r["query_id"], r["item_id"]) for r in got) == [(1, "x"), (1, "y"), (2, "z")]
+
+
+def test_cell_index_prunes_folders(spark, vectors, asked, tmp_path):
+    model = dense.fit_cells(vectors, 8)
+    stored = dense.write_cell_index(vectors, model, str(tmp_path / "cells"))
+    few = asked.filter("query_id < 2")
+    hits = dense.knn_ann(few, stored, model, 10, probes=2)
+    assert "dynamicpruning" in hits._jdf.queryExecution().executedPlan().toString()
+    assert ranked(hits) == ranked(dense.knn_ann(few, vectors, model, 10, probes=2))
+
+
+@pytest.mark.parametrize("mode", ["dense", "lexical", "hybrid"])
+def test_known_item_evaluation(spark, tmp_path, mode):
+    """A query made of a text's own words must find its listing."""
+    from lodgelens.plans.evaluation import evaluate_retrieval
+    from lodgelens.sources.query_sets import write_query_set
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    chunks = docs.select(
+        F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("listing_id"), F.col("text").alias("chunk_text")
+    )
+    labelled = docs.filter("n_chars > 500").select(
+        F.concat(F.lit("q"), "doc_id").alias("id"),
+        F.col("text").alias("query"),
+        F.array(F.concat(F.col("doc_id").cast("string"), F.lit(".0"))).alias("relevant_listing_ids"),
+    )
+    path = str(tmp_path / "set")
+    write_query_set(labelled, path, rows_per_file=20)
+    per_query, mean = evaluate_retrieval(spark, path, chunks, mode)
+    got = mean.first()
+    # Copies of a text tie with it, so the first place is not always its own.
+    assert got["n_queries"] == labelled.count() == per_query.count()
+    assert got["recall_10"] > 0.95 and got["mrr"] > 0.8
+
+
+def test_audited_sql(spark):
+    from lodgelens.plans.analytics import UnsafeStatement, preview_audited, run_audited
+
+    part = spark.read.parquet(f"{FOLDER}/part.parquet")
+    got = run_audited(spark, "```sql\nSELECT count(*) AS n FROM listings_t;\n```", listings_t=part)
+    assert got.first()["n"] == part.count()
+    for bad in ("drop table listings_t", "select 1; select 2", ""):
+        with pytest.raises(UnsafeStatement):
+            run_audited(spark, bad, listings_t=part)
+    text = preview_audited(
+        spark, "select p_partkey, p_brand from listings_t", [F.asc("p_partkey")], listings_t=part
+    ).first()
+    assert text["row_count"] == part.count()
+    assert len(text["preview"].split("\n")) == 22
+    none = preview_audited(
+        spark, "select p_partkey from listings_t where p_partkey < 0", [F.asc("p_partkey")], listings_t=part
+    ).first()
+    assert tuple(none) == ("(nessuna riga)", 0)
