@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodgelens.functions.values import event_order
 from lodgelens.operators.ranking import top_per_key
+from lodgelens.session import materialise
 
 # Fixed value: timings kept per phase when the state is saved.
 KEPT_TIMINGS = 200
@@ -62,41 +63,78 @@ def phase_stats(log: DataFrame, phase: str, ms: str, ts: str, event_id: str) ->
     )
 
 
+def _coarse_bucket(ms: Column) -> Column:
+    """Bucket of about one percent width that never orders two timings the wrong way."""
+    step = F.floor(F.log2(F.abs(ms) + 1) * 64)
+    # Never null, so the join on it adds no null test that would work it out again.
+    return F.coalesce(F.when(ms < 0, -step).otherwise(step), F.lit(0).cast("bigint"))
+
+
 def latency_percentiles(
     log: DataFrame, phase: str, ms: str, points: tuple[int, ...] = (50, 95, 99)
 ) -> DataFrame:
     """Exact nearest-rank percentiles, mean and maximum per phase, to one place.
 
     Rounding keeps order, so the percentile of rounded timings is the rounded percentile.
-    Timings are therefore counted per tenth of a millisecond before the shuffle, and the
-    ranking walks those counts: its size follows the latency range, not the log.
+    A first pass counts some two thousand buckets per phase, which tells in which bucket a
+    percentile lies. A second pass counts the distinct timings of those buckets alone. So
+    both shuffles carry counts, no matter how long the log or how full one phase is.
     """
-    counted = log.groupBy(F.col(phase).alias("phase"), F.bround(ms, 1).alias("ms")).agg(
-        F.count("*").alias("n"), F.sum(ms).alias("sum_ms")
+    timed = log.filter(F.col(ms).isNotNull()).select(
+        F.col(phase).alias("phase"), F.col(ms).alias("raw"), F.bround(ms, 1).alias("ms")
+    )
+    timed = timed.withColumn("bucket", _coarse_bucket(F.col("ms")))
+    buckets = materialise(
+        timed.groupBy("phase", "bucket").agg(
+            F.count("*").alias("n"), F.sum("raw").alias("sum_ms"), F.max("ms").alias("top")
+        ),
+        "latency-buckets",
     )
-    running = Window.partitionBy("phase").orderBy("ms")
+    running = Window.partitionBy("phase").orderBy("bucket")
     whole = Window.partitionBy("phase")
-    ranked = counted.withColumns(
-        {"upto": F.sum("n").over(running), "total": F.sum("n").over(whole)}
+    ranked = buckets.withColumns(
+        {"upto": F.sum("n").over(running), "last": F.sum("n").over(whole) - 1}
+    )
+    index = {p: F.bround(F.lit(p / 100) * F.col("last"), 0).cast("bigint") for p in points}
+    targets = F.array(
+        *[
+            F.struct(F.lit(p).alias("p"), F.least("last", i).alias("index"))
+            for p, i in index.items()
+        ]
+    )
+    below = F.col("upto") - F.col("n")
+    wanted = ranked.select(
+        F.col("phase").alias("in_phase"), "bucket", "upto", "n", F.explode(targets).alias("t")
+    ).select("in_phase", "bucket", "t.p", (F.col("t.index") - below).alias("at"), "n")
+    # Stored, so that Spark sees its size: a few rows per phase, broadcast while small.
+    wanted = materialise(wanted.filter("at >= 0 and at < n").drop("n"), "latency-targets")
+    spots = wanted.select("in_phase", "bucket").distinct()
+
+    def same(left: DataFrame, right: DataFrame) -> list[Column]:
+        return [left["phase"].eqNullSafe(right["in_phase"]), left["bucket"] == right["bucket"]]
+
+    near = timed.join(spots, same(timed, spots), "left_semi")
+    values = near.groupBy("phase", "bucket", "ms").agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("phase", "bucket").orderBy("ms")
+    values = values.withColumn("upto", F.sum("n").over(inside))
+    hit = (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))
+    picked = values.join(wanted, same(values, wanted)).filter(hit)
+    picks = picked.groupBy(F.col("phase").alias("in_phase")).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("ms"))).alias(f"p{p}") for p in points]
     )
-    picks = []
-    for p in points:
-        last = F.col("total") - 1
-        index = F.least(last, F.bround(F.lit(p / 100) * last, 0).cast("bigint"))
-        inside = (index < F.col("upto")) & (index >= F.col("upto") - F.col("n"))
-        picks.append(F.max(F.when(inside, F.col("ms"))).alias(f"p{p}"))
-    return ranked.groupBy("phase").agg(
+    totals = buckets.groupBy("phase").agg(
         F.sum("n").alias("n"),
-        *picks,
         F.bround(F.sum("sum_ms") / F.sum("n"), 1).alias("mean"),
-        F.max("ms").alias("max"),
+        F.max("top").alias("max"),
     )
+    joined = totals.join(picks, totals["phase"].eqNullSafe(picks["in_phase"]))
+    return joined.select("phase", "n", *[f"p{p}" for p in points], "mean", "max")
 
 
 def latency_percentiles_approx(
     log: DataFrame, phase: str, ms: str, points: tuple[int, ...] = (50, 95, 99), accuracy: int = 10_000
 ) -> DataFrame:
-    """Sketch form of the percentiles for logs whose timings span an extreme range."""
+    """Sketch form of the percentiles, in one pass."""
     picks = [F.percentile_approx(ms, p / 100, accuracy).alias(f"p{p}") for p in points]
     return log.groupBy(F.col(phase).alias("phase")).agg(F.count("*").alias("n"), *picks)
 

@@ -55,6 +55,7 @@ def nearest_rank(values, p):
 def test_percentiles_with_one_hot_value(spark):
     rnd = random.Random(3)
     values = [("a", 5.0)] * 400 + [("a", rnd.randrange(1, 9000) / 10) for _ in range(700)] + [("b", 2.5)]
+    values += [(None, -3.5), (None, 0.0), (None, 7200000.0), (None, -0.2), ("b", None)]
     df = spark.createDataFrame(values, "phase string, ms double")
     got = {r["phase"]: r for r in log_ops.latency_percentiles(df, "phase", "ms").collect()}
     only = [v for k, v in values if k == "a"]
@@ -62,6 +63,7 @@ def test_percentiles_with_one_hot_value(spark):
         assert got["a"][f"p{p}"] == nearest_rank(only, p)
         assert got["b"][f"p{p}"] == 2.5
     assert got["a"]["n"] == 1100 and got["a"]["max"] == max(only)
+    assert tuple(got[None])[1:] == (4, 0.0, 7200000.0, 7200000.0, 1799999.1, 7200000.0)
     near = log_ops.latency_percentiles_approx(df, "phase", "ms").filter("phase = 'a'").first()
     assert abs(near["p95"] - got["a"]["p95"]) < 5
 
