@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgelens.bounds import fits_broadcast
 from lodgelens.functions.text import token_estimate
 from lodgelens.functions.values import stable_key
+from lodgelens.session import materialise
 
 
 def with_listing_columns(reviews: DataFrame, listings: DataFrame) -> DataFrame:
@@ -34,23 +36,38 @@ def build_chunks(reviews: DataFrame, listings: DataFrame) -> DataFrame:
     ).filter(F.length("chunk_text") > 0)
 
 
+def _signature(df: DataFrame, key: str, columns: list[str], out: str) -> DataFrame:
+    """Key and SHA-256 of the other columns; nulls are spelled out, so they count."""
+    content = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return df.select(key, F.sha2(content, 256).alias(out))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Rows inserted, updated or deleted from ``old`` to ``new``, with ``_change_type``.
 
-    One full outer join on the unique key; equal rows are dropped right after it.
+    Both versions are compared by key and content hash, so the texts stay where they are.
+    The changed keys then fetch their rows: by broadcast if they are few, which is the
+    usual case between two versions, else by a join on the key.
     """
     columns = [c for c in new.columns if c != key]
-    before = old.select(key, F.struct(*columns).alias("old_row"))
-    after = new.select(key, F.struct(*columns).alias("new_row"))
+    before = _signature(old, key, columns, "_old")
+    after = _signature(new, key, columns, "_new")
     change = (
-        F.when(F.col("old_row").isNull(), "insert")
-        .when(F.col("new_row").isNull(), "delete")
-        .when(~F.col("old_row").eqNullSafe(F.col("new_row")), "update")
+        F.when(F.col("_old").isNull(), "insert")
+        .when(F.col("_new").isNull(), "delete")
+        .when(F.col("_old") != F.col("_new"), "update")
     )
-    joined = before.join(after, key, "full_outer").withColumn("_change_type", change)
-    changed = joined.filter(F.col("_change_type").isNotNull())
-    row = F.coalesce("new_row", "old_row").alias("row")
-    return changed.select(key, row, "_change_type").select(key, "row.*", "_change_type")
+    compared = before.join(after, key, "full_outer").select(key, change.alias("_change_type"))
+    changed = materialise(compared.filter(F.col("_change_type").isNotNull()), "changed-keys")
+    small = fits_broadcast(changed)
+
+    def rows(df: DataFrame, kept: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(kept) if small else kept, key).select(
+            key, *columns, "_change_type"
+        )
+
+    gone = F.col("_change_type") == "delete"
+    return rows(new, changed.filter(~gone)).unionByName(rows(old, changed.filter(gone)))
 
 
 def publish_version(

@@ -16,40 +16,60 @@ from lodgelens.session import materialise
 K1, B = 1.2, 0.75
 
 #: Texts are wide; keep item blocks of the paired plan small.
-TEXT_BLOCK = 512
+TEXT_BLOCK = 2048
+#: Queries scored by one dense block.
+QUERY_SLICE = 256
 
 
 class Bm25Score:
-    """Okapi BM25 over distinct query words. Texts without a shared word do not qualify."""
+    """Okapi BM25 over distinct query words. Texts without a shared word do not qualify.
+
+    Query weights stay sparse; a dense block holds ``QUERY_SLICE`` queries by their own
+    words only, so memory does not grow with the vocabulary of all queries.
+    """
 
     def __init__(self, average_length: float, k1: float = K1, b: float = B):
         self.average_length, self.k1, self.b = average_length, k1, b
 
-    def width(self, state) -> int:
-        return state[1].shape[1]
-
     def prepare(self, queries: pd.DataFrame):
         lengths = queries["terms"].map(len).to_numpy()
-        terms = np.concatenate(queries["terms"].to_list()) if lengths.sum() else np.array([])
-        codes, vocabulary = pd.factorize(terms)
-        weights = np.zeros((len(queries), max(1, len(vocabulary))))
-        row = np.repeat(np.arange(len(queries)), lengths)
-        weights[row, codes] = np.concatenate(queries["idfs"].to_list()) if lengths.sum() else 0.0
-        return pd.Index(vocabulary), weights
+        codes, vocabulary = pd.factorize(np.concatenate(queries["terms"].to_list()))
+        weights = np.concatenate(queries["idfs"].to_list())
+        start = np.concatenate([[0], np.cumsum(lengths)])
+        return pd.Index(vocabulary), start, codes, weights
 
-    def score(self, state, picked: np.ndarray, items: pd.DataFrame) -> np.ndarray:
-        vocabulary, weights = state
-        lists = items["words"].to_list()
+    def width(self, state) -> int:
+        _, start, _, _ = state
+        return int(max(np.diff(start), default=1)) * min(QUERY_SLICE, len(start) - 1)
+
+    def _gains(self, vocabulary: pd.Index, lists: list) -> tuple[np.ndarray, ...]:
+        """Item row, word code and saturated frequency of every known word."""
         length = np.array([len(w) for w in lists], dtype=float)
         row = np.repeat(np.arange(len(lists)), length.astype(int))
         code = vocabulary.get_indexer(np.concatenate(lists)) if len(row) else np.array([], int)
         known = code >= 0
-        width = weights.shape[1]
-        slot, tf = np.unique(row[known] * width + code[known], return_counts=True)
+        pair, tf = np.unique(row[known] * len(vocabulary) + code[known], return_counts=True)
+        row, code = pair // len(vocabulary), pair % len(vocabulary)
         norm = self.k1 * (1 - self.b + self.b * length / self.average_length)
-        gain = np.zeros((len(lists), width))
-        gain.flat[slot] = tf * (self.k1 + 1) / (tf + norm[slot // width])
-        scores = weights[picked] @ gain.T
+        return row, code, tf * (self.k1 + 1) / (tf + norm[row])
+
+    def score(self, state, picked: np.ndarray, items: pd.DataFrame) -> np.ndarray:
+        vocabulary, start, codes, weights = state
+        row, code, gain = self._gains(vocabulary, items["words"].to_list())
+        scores = np.zeros((len(picked), len(items)))
+        for at in range(0, len(picked), QUERY_SLICE):
+            part = picked[at : at + QUERY_SLICE]
+            spans = [np.arange(start[q], start[q + 1]) for q in part]
+            span = np.concatenate(spans)
+            own, local = np.unique(codes[span], return_inverse=True)
+            asked = np.zeros((len(part), len(own)))
+            asked[np.repeat(np.arange(len(part)), [len(x) for x in spans]), local] = weights[span]
+            place = np.full(len(vocabulary), -1)
+            place[own] = np.arange(len(own))
+            used = place[code] >= 0
+            found = np.zeros((len(items), len(own)))
+            found[row[used], place[code[used]]] = gain[used]
+            scores[at : at + QUERY_SLICE] = asked @ found.T
         return np.where(scores > 0, scores, -np.inf)
 
 

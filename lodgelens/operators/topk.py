@@ -29,8 +29,8 @@ from lodgelens.operators.ranking import top_per_key
 #: Queries are broadcast up to this many values in bytes; beyond it blocks are paired.
 BROADCAST_QUERY_BYTES = 16 * 1024 * 1024
 #: Rows of a query block and of an item block on the paired plan.
-QUERY_BLOCK = 1024
-ITEM_BLOCK = 4096
+QUERY_BLOCK = 4096
+ITEM_BLOCK = 32768
 #: Cells of one score matrix held at a time.
 MATRIX_CELLS = 2_000_000
 

@@ -1,9 +1,8 @@
 """The retrieval index, brought up to date on demand from published changes.
 
-The index is a log of row versions. A sync appends only what changed, with vectors
-computed for changed texts only; readers keep the newest version per chunk. Nothing
-that did not change is read or rewritten, which a copy-on-write table of parquet files
-would have to do.
+The index is a base of unique chunks and a log of later row versions. A sync appends
+only what changed, with vectors computed for changed texts only. Readers take the base
+as it lies, without the few chunks the log replaces. Compaction writes the next base.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodgelens.bounds import broadcast_if_small
 from lodgelens.operators.embedding import Embedder, embed_text
 from lodgelens.operators.ranking import keep_first
 from lodgelens.schemas import INDEXED_COLUMNS
@@ -47,16 +47,53 @@ def sync_index(
     return read_index(spark, index)
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names below a folder of any file system Spark can reach."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    return sorted(entry.getPath().getName() for entry in files.listStatus(where))
+
+
+def _parts(spark: SparkSession, index: str) -> tuple[str | None, list[str], int]:
+    """Newest complete base, the log folders after it, and the last batch there is."""
+    bases = [b for b in _children(spark, f"{index}/base")
+             if "_SUCCESS" in _children(spark, f"{index}/base/{b}")]
+    upto = int(bases[-1][1:]) if bases else -1
+    batches = [b for b in _children(spark, f"{index}/log") if int(b[1:]) > upto]
+    last = int(batches[-1][1:]) if batches else upto
+    base = f"{index}/base/{bases[-1]}" if bases else None
+    return base, [f"{index}/log/{b}" for b in batches], last
+
+
+def _current(spark: SparkSession, index: str) -> DataFrame:
+    """Live rows with their versions."""
+    base, log, _ = _parts(spark, index)
+    if base is None and not log:
+        raise ValueError(f"no index at {index}")
+    if not log:
+        return spark.read.parquet(base)
+    newest = keep_first(spark.read.parquet(*log), ["chunk_id"], [F.desc("_version")])
+    live = newest.filter(F.col("_change_type") != "delete")
+    if base is None:
+        return live
+    replaced = broadcast_if_small(spark.read.parquet(*log).select("chunk_id").distinct())
+    return spark.read.parquet(base).join(replaced, "chunk_id", "left_anti").unionByName(live)
+
+
 def read_index(spark: SparkSession, index: str) -> DataFrame:
     """Current rows: the newest version per chunk, deleted ones left out."""
-    log = spark.read.option("recursiveFileLookup", True).parquet(f"{index}/log")
-    newest = keep_first(log, ["chunk_id"], [F.desc("_version")])
-    return newest.filter(F.col("_change_type") != "delete").drop(*VERSION)
+    return _current(spark, index).drop(*VERSION)
+
 
+def compact_index(spark: SparkSession, index: str) -> DataFrame:
+    """Write the current rows as the next base, without touching what readers use.
 
-def compact_index(spark: SparkSession, index: str, target: str) -> DataFrame:
-    """Write the current rows, with their versions, as a fresh log without dead ones."""
-    log = spark.read.option("recursiveFileLookup", True).parquet(f"{index}/log")
-    newest = keep_first(log, ["chunk_id"], [F.desc("_version")])
-    newest.filter(F.col("_change_type") != "delete").write.parquet(f"{target}/log/b000000000")
-    return read_index(spark, target)
+    A base counts once it is complete; superseded folders can be removed when no reader
+    needs them any more.
+    """
+    _, log, last = _parts(spark, index)
+    if log:
+        _current(spark, index).write.mode("overwrite").parquet(f"{index}/base/u{last:09d}")
+    return read_index(spark, index)

@@ -180,10 +180,15 @@ def test_dedup_is_idempotent(spark, layers):
 
 
 def test_snapshot_diff_sees_null_changes(spark, rows):
-    old = spark.createDataFrame([("a", None, 1), ("b", "x", 2), ("c", "y", 3)], "chunk_id string, t string, n int")
-    new = spark.createDataFrame([("a", "now", 1), ("b", "x", 2), ("d", None, None)], "chunk_id string, t string, n int")
+    kind = "chunk_id string, t string, u string, n int"
+    old = spark.createDataFrame(
+        [("a", None, "", 1), ("b", "x", "", 2), ("c", "y", "", 3), ("e", "v", None, 4)], kind
+    )
+    new = spark.createDataFrame(
+        [("a", "now", "", 1), ("b", "x", "", 2), ("d", None, None, None), ("e", None, "v", 4)], kind
+    )
     got = rows(chunks.snapshot_diff(old, new), "chunk_id", "_change_type")
-    assert got == [("a", "update"), ("c", "delete"), ("d", "insert")]
+    assert got == [("a", "update"), ("c", "delete"), ("d", "insert"), ("e", "update")]
     assert chunks.snapshot_diff(new, new).count() == 0
 
 

@@ -110,7 +110,7 @@ def test_dedup_across_files(spark, log, tmp_path):
 
 def test_sync_runs_only_what_is_new(spark, tmp_path):
     docs = document_chunks(spark, "/root/testdata/sf0.001")
-    gold, index, fresh = (str(tmp_path / n) for n in ("gold", "index", "fresh"))
+    gold, index = (str(tmp_path / n) for n in ("gold", "index"))
     changes = chunk_ops.publish_version(docs.filter("listing_id < 100"), gold, 1)
     assert sync_index(spark, f"{gold}/changes", changes.schema, index).count() == 100
     edited = docs.withColumn(
@@ -122,6 +122,17 @@ def test_sync_runs_only_what_is_new(spark, tmp_path):
     kept = {r["chunk_id"]: r["chunk_text"] for r in rows.collect()}
     assert len(kept) == docs.count() - 1 and "7" not in kept and kept["5"] == "now new"
     assert sync_index(spark, f"{gold}/changes", changes.schema, index).count() == len(kept)
-    compact = compact_index(spark, index, fresh)
     columns = [c for c in rows.columns if c != "embedding"]
-    assert compact.select(columns).exceptAll(read_index(spark, index).select(columns)).count() == 0
+    before = rows.select(columns)
+    compact = compact_index(spark, index).select(columns)
+    assert compact.exceptAll(before).count() == 0 and compact.count() == len(kept)
+    chunk_ops.publish_version(edited.filter("listing_id <> 9"), gold, 3, previous=2)
+    after = sync_index(spark, f"{gold}/changes", changes.schema, index)
+    assert before.select("chunk_id").exceptAll(after.select("chunk_id")).collect() == [("9",)]
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+
+
+def test_no_index_yet(spark, tmp_path):
+    with pytest.raises(ValueError, match="no index"):
+        read_index(spark, str(tmp_path / "nothing"))
