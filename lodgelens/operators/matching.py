@@ -37,19 +37,29 @@ def name_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
     return split.select(key, F.explode(F.array_distinct(ngrams(F.col("tokens")))).alias("phrase"))
 
 
-def spoken_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, phrase)``: every run of 2 to 5 words per text, common or not.
+def spoken_phrases(df: DataFrame, key: str, text: str, heads: DataFrame) -> DataFrame:
+    """``(key, phrase)``: runs of 2 to 5 words per text that start with one of the ``heads``.
 
-    Each length is the shorter one with the next word appended, so a text costs a few
-    linear passes. What a common phrase could match is already left out of the names.
+    A head is a pair of words. Most pairs of a text start no known phrase, so a text costs
+    one row per word and one look-up; longer runs are built for the few that remain.
     """
-    grown = df.select(key, words(F.col(text)).alias("tokens")).withColumn("n1", F.col("tokens"))
-    for n in range(2, 6):
-        following = F.slice("tokens", F.lit(n), F.size("tokens"))
-        longer = F.zip_with(f"n{n - 1}", following, lambda a, b: F.concat(a, F.lit(" "), b))
-        grown = grown.withColumn(f"n{n}", longer)
-    runs = grown.select(key, F.explode(F.concat("n2", "n3", "n4", "n5")).alias("phrase"))
-    return runs.filter(F.col("phrase").isNotNull())
+    tokens = df.select(key, words(F.col(text)).alias("t"))
+
+    def following(n: int):
+        return F.slice("t", F.lit(n), F.size("t"))
+
+    pairs = F.zip_with("t", following(2), lambda a, b: F.concat(a, F.lit(" "), b))
+    spans = F.arrays_zip(
+        F.col("head"), following(3).alias("w3"), following(4).alias("w4"), following(5).alias("w5")
+    )
+    at = tokens.withColumn("head", pairs).select(key, F.explode(spans).alias("s"))
+    at = at.select(key, "s.*").filter(F.col("head").isNotNull())
+    started = at.join(broadcast_if_small(heads), "head", "left_semi")
+    runs = [F.col("head")]
+    for word in ("w3", "w4", "w5"):
+        runs.append(F.concat(runs[-1], F.lit(" "), F.col(word)))
+    phrases = started.select(key, F.explode(F.array(*runs)).alias("phrase"))
+    return phrases.filter(F.col("phrase").isNotNull())
 
 
 def match_listings(
@@ -70,7 +80,8 @@ def match_listings(
         .groupBy("phrase")
         .agg(F.min(listing_id).alias("listing_id"))
     )
-    phrases = spoken_phrases(utterances, key, text)
+    heads = phrase_listing.select(F.substring_index("phrase", " ", 2).alias("head")).distinct()
+    phrases = spoken_phrases(utterances, key, text, heads)
     found = phrases.join(broadcast_if_small(phrase_listing), "phrase")
     # (length desc, id asc) as one number keeps the aggregate in fixed-width buffers.
     length = F.length("phrase").cast("decimal(10,0)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodgelens.functions.audit import audit_verdict, unfenced_sql
 from lodgelens.functions.intents import scope_override
 from lodgelens.operators.matching import match_listings, match_places
+from lodgelens.session import materialise
 
 
 def resolve_scopes(questions: DataFrame, places: DataFrame, listings: DataFrame) -> DataFrame:
@@ -20,9 +21,13 @@ def resolve_scopes(questions: DataFrame, places: DataFrame, listings: DataFrame)
     scoped = F.col("scope").isNotNull()
     kind = F.col("scope.kind")
     labelled = questions.withColumn("intent", scope_override(F.col("intent"), F.col("text"), scoped))
+    # Read three times below; the labels behind it may be costly to work out.
+    labelled = materialise(labelled, "labelled-questions")
     explicit = F.coalesce(kind.isin("listing", "neighbourhood"), F.lit(False))
     open_rag = labelled.filter((F.col("intent") == "rag") & ~explicit).select("question_id", "text")
+    # Needed twice, and narrow: an id and a name per question.
     place = match_places(open_rag, places, "question_id", "text", "place_name")
+    place = materialise(place, "named-places")
     unplaced = open_rag.join(place, "question_id", "left_anti")
     listing = match_listings(unplaced, listings, "question_id", "text", "listing_id", "listing_name")
     named = listing.select("question_id", "listing_id").join(

@@ -399,3 +399,12 @@ def test_audited_sql(spark):
         spark, "select p_partkey from listings_t where p_partkey < 0", [F.asc("p_partkey")], listings_t=part
     ).first()
     assert tuple(none) == ("(nessuna riga)", 0)
+
+
+def test_bm25_query_slices(spark, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    queries = spark.read.parquet(f"{FOLDER}/benchmark.parquet").toDF("query_id", "query")
+    whole = sorted(map(tuple, lexical.lexical_topk(queries, chunks, 5).collect()))
+    monkeypatch.setattr(lexical, "QUERY_SLICE", 7)
+    assert sorted(map(tuple, lexical.lexical_topk(queries, chunks, 5).collect())) == whole
