@@ -11,7 +11,7 @@ from lodgelens.functions.text import normalise_name
 from lodgelens.functions.values import range_to_null
 from lodgelens.operators import chunks as chunk_ops
 from lodgelens.operators import questions, request_log, views
-from lodgelens.operators.dense import filter_route
+from lodgelens.operators.filters import filter_route
 from lodgelens.schemas import flat_schema
 from lodgelens.session import scratch_path
 from lodgelens.sources import csv_files, metric_state, query_sets, tables

@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.functions.text import normalise_name
+from lodgelens.operators.filters import FILTERS, asked_route, offered_routes, wanted_items
 from lodgelens.operators.topk import top_items
 
 
@@ -51,12 +51,6 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) -> Dat
     return _hits(top_items(left, right, CosineScore(), k, **plan))
 
 
-def filter_route(listing: Column, place: Column) -> Column:
-    """Text that names a filter combination; a part that is not filtered stays empty."""
-    named = F.coalesce(F.concat(F.lit("="), place), F.lit(""))
-    return F.concat(F.coalesce(listing.cast("string"), F.lit("")), F.lit("|"), named)
-
-
 def knn_filtered(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) -> DataFrame:
     """Like :func:`knn_exact`, within each query's own filters.
 
@@ -64,21 +58,10 @@ def knn_filtered(queries: DataFrame, chunks: DataFrame, k: int = 20, **plan) ->
     offered under each combination it satisfies, and combinations no query uses are
     dropped before any vector is touched, so filters apply ahead of the ranking.
     """
-    left, right = _sides(queries, chunks, "listing_id", "neighbourhood")
-    blank_to_null = F.nullif(normalise_name(F.col("neighbourhood")), F.lit(""))
-    listing = F.col("listing_id")
-    nothing, place = F.lit(None).cast("string"), F.col("neighbourhood")
-    offered = F.array_distinct(
-        F.array(
-            filter_route(nothing, nothing),
-            filter_route(nothing, place),
-            filter_route(listing, nothing),
-            filter_route(listing, place),
-        )
-    )
-    left = left.select("query_id", "embedding", filter_route(listing, blank_to_null).alias("route"))
-    right = right.select("item_id", "embedding", F.explode(offered).alias("route"))
-    return _hits(top_items(left, right, CosineScore(), k, **plan))
+    left, right = _sides(queries, chunks, *FILTERS)
+    left = left.select("query_id", "embedding", asked_route().alias("route"))
+    right = right.select("item_id", "embedding", F.explode(offered_routes()).alias("route"))
+    return _hits(top_items(left, wanted_items(right, left), CosineScore(), k, **plan))
 
 
 def fit_cells(
@@ -127,18 +110,32 @@ def write_cell_index(chunks: DataFrame, model: KMeansModel, path: str) -> DataFr
 
 
 def knn_ann(
-    queries: DataFrame, chunks: DataFrame, model: KMeansModel, k: int = 20, probes: int = 4, **plan
+    queries: DataFrame,
+    chunks: DataFrame,
+    model: KMeansModel,
+    k: int = 20,
+    probes: int = 4,
+    filtered: bool = False,
+    **plan,
 ) -> DataFrame:
     """Approximate search: each query sees only the chunks of its ``probes`` nearest cells.
 
     ``chunks`` with a ``cell`` column are taken as assigned. Stored by
-    :func:`write_cell_index`, the probed cells prune whole folders at run time.
+    :func:`write_cell_index`, the probed cells prune whole folders at run time. With
+    ``filtered`` the queries' own filters apply inside the cells, ahead of the ranking.
     """
     celled = chunks if "cell" in chunks.columns else with_cells(chunks, model)
-    left = with_cells(queries, model, probes).select(
-        "query_id", "embedding", F.col("cell").alias("route")
-    )
-    right = celled.select(
-        F.col("chunk_id").alias("item_id"), "embedding", F.col("cell").alias("route")
-    )
+    asked = with_cells(queries, model, probes)
+    celled = wanted_items(celled, asked, "cell")
+    cell = F.col("cell").cast("string")
+    left_route = F.concat(cell, F.lit("/"), asked_route()) if filtered else F.col("cell")
+    left = asked.select("query_id", "embedding", left_route.alias("route"))
+    right = celled.withColumnRenamed("chunk_id", "item_id")
+    if filtered:
+        right = right.select("item_id", "embedding", cell.alias("in_cell"),
+                             F.explode(offered_routes()).alias("offer"))
+        route = F.concat("in_cell", F.lit("/"), "offer").alias("route")
+        right = wanted_items(right.select("item_id", "embedding", route), left)
+    else:
+        right = right.select("item_id", "embedding", F.col("cell").alias("route"))
     return _hits(top_items(left, right, CosineScore(), k, **plan))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodgelens.bounds import fits_broadcast, measured_bytes
 from lodgelens.functions.text import words
+from lodgelens.operators.filters import asked_route, offered_routes, wanted_items
 from lodgelens.operators.topk import top_items
 from lodgelens.session import materialise
 
@@ -92,16 +93,21 @@ def word_statistics(docs: DataFrame, vocabulary: DataFrame | None = None) -> Dat
 
 
 def lexical_topk(
-    queries: DataFrame, chunks: DataFrame, k: int = 20, statistics: DataFrame | None = None, **plan
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int = 20,
+    statistics: DataFrame | None = None,
+    filtered: bool = False,
+    **plan,
 ) -> DataFrame:
     """``(query_id, rank, chunk_id, score)`` by BM25 over ``query`` and ``chunk_text``.
 
     Two passes over the texts: word statistics, then the scores. Stored ``statistics`` of
-    the whole table (see :func:`word_statistics`) save the first one.
+    the whole table (see :func:`word_statistics`) save the first one. With ``filtered``
+    the queries' own filters apply ahead of the ranking; word statistics stay global.
     """
-    docs = chunks.select(
-        F.col("chunk_id").alias("item_id"), words(F.col("chunk_text")).alias("words")
-    )
+    split = words(F.col("chunk_text")).alias("words")
+    docs = chunks.select(F.col("chunk_id").alias("item_id"), split)
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("t"))
     if statistics is None:
         statistics = materialise(word_statistics(docs, terms.select("t")), "word-statistics")
@@ -116,6 +122,13 @@ def lexical_topk(
         .agg(F.sort_array(F.collect_list(F.struct("t", "idf"))).alias("pairs"))
         .select("query_id", F.col("pairs.t").alias("terms"), F.col("pairs.idf").alias("idfs"))
     )
+    if filtered:
+        routes = queries.select("query_id", asked_route().alias("route"))
+        packed = packed.join(routes, "query_id")
+        offered = chunks.select(
+            F.col("chunk_id").alias("item_id"), "chunk_text", F.explode(offered_routes()).alias("route")
+        )
+        docs = wanted_items(offered, routes).select("item_id", "route", split)
     plan.setdefault("item_block", TEXT_BLOCK)
     # A packed query holds its terms and one weight each: no more than twice the terms.
     plan.setdefault("query_bytes", 2 * measured_bytes(terms))

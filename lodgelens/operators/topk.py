@@ -185,7 +185,8 @@ def top_items(
     """``(query_id, item_id, score, rank)``: the ``k`` best items per query.
 
     Both frames need ``query_id`` or ``item_id`` and what the score reads. ``route``
-    columns are optional but must come on both sides. Scores are rounded to six places
+    columns are optional but must come on both sides; drop items on routes nobody asks for
+    beforehand (``filters.wanted_items``). Scores are rounded to six places
     before ranking and the lowest item id breaks ties, so the result does not depend on
     how rows fell into blocks. ``query_bytes`` is an upper bound the caller already knows;
     without it the query side is measured.
@@ -193,9 +194,6 @@ def top_items(
     if "route" not in queries.columns:
         queries = queries.withColumn("route", F.lit("all"))
         items = items.withColumn("route", F.lit("all"))
-    else:
-        wanted = queries.select("route").distinct()
-        items = items.join(broadcast_if_small(wanted), "route", "left_semi")
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),

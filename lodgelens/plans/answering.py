@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.operators.dense import knn_filtered
+from lodgelens.operators.dense import knn_ann, knn_filtered
 from lodgelens.operators.embedding import Embedder, embed_text
+from lodgelens.operators.fusion import reciprocal_rank_fusion
+from lodgelens.operators.lexical import lexical_topk
 from lodgelens.operators.prompts import NO_REVIEWS, assemble_prompts
 from lodgelens.operators.rerank import (
     PLACE_RERANK_K,
@@ -33,12 +36,15 @@ def retrieve_then_rerank(
     chunks: DataFrame,
     embedder: Embedder | None = None,
     scorer: PairScorer | None = None,
+    mode: str = "dense",
+    cells: KMeansModel | None = None,
 ) -> DataFrame:
     """Best reranked chunks per query, within its filters.
 
     ``queries`` are ``(query_id, query, listing_id, neighbourhood)``. A place-wide query
     goes deeper (40 to 8) than one about a listing or the whole table (20 to 3). The cheap
-    vector stage sees all chunks; the scorer sees only its hits.
+    first stage sees all chunks; the scorer sees only its hits. ``mode`` is ``dense``,
+    ``lexical`` or ``hybrid``; with a ``cells`` model the vector part is approximate.
     """
     place_wide = F.col("neighbourhood").isNotNull() & F.col("listing_id").isNull()
     asked = queries.withColumns(
@@ -47,10 +53,18 @@ def retrieve_then_rerank(
             "rerank_k": F.when(place_wide, PLACE_RERANK_K).otherwise(RERANK_K),
         }
     )
-    if "embedding" not in chunks.columns:
-        chunks = embed_text(chunks, "chunk_text", embedder)
     deepest = max(RETRIEVE_K, PLACE_RETRIEVE_K)
-    found = knn_filtered(embed_text(asked, "query", embedder), chunks, deepest)
+    lists = []
+    if mode in ("dense", "hybrid"):
+        vectors = chunks if "embedding" in chunks.columns else embed_text(chunks, "chunk_text", embedder)
+        embedded = embed_text(asked, "query", embedder)
+        if cells is None:
+            lists.append(knn_filtered(embedded, vectors, deepest))
+        else:
+            lists.append(knn_ann(embedded, vectors, cells, deepest, filtered=True))
+    if mode in ("lexical", "hybrid"):
+        lists.append(lexical_topk(asked, chunks, deepest, filtered=True))
+    found = lists[0] if len(lists) == 1 else reciprocal_rank_fusion(*lists, k=deepest)
     depths = asked.select("query_id", "retrieve_k", "rerank_k")
     hits = found.join(depths, "query_id").filter(F.col("rank") <= F.col("retrieve_k"))
     texts = chunks.select("chunk_id", "listing_id", "neighbourhood", "room_type", "chunk_text")
@@ -65,6 +79,7 @@ def plan_answers(
     chunks: DataFrame,
     embedder: Embedder | None = None,
     scorer: PairScorer | None = None,
+    mode: str = "dense",
 ) -> DataFrame:
     """``(question_id, route, n_contexts, prompt, reply)`` per question.
 
@@ -79,7 +94,7 @@ def plan_answers(
         F.when(F.col("route") == "place", F.col("neighbourhood")).alias("neighbourhood"),
         F.when(F.col("route") == "listing", F.col("listing_name")).alias("listing_name"),
     )
-    contexts = retrieve_then_rerank(grounded.drop("listing_name"), chunks, embedder, scorer)
+    contexts = retrieve_then_rerank(grounded.drop("listing_name"), chunks, embedder, scorer, mode)
     prompts = assemble_prompts(grounded, contexts).withColumnRenamed("query_id", "question_id")
     joined = routed.join(prompts, "question_id", "left")
     no_reviews = F.concat(

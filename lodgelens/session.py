@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,11 @@ def build_session(
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="lodgelens-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``.
 
@@ -45,11 +51,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="lodgelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_scratch()
     return f"{root.rstrip('/')}/lodgelens/{label}-{uuid4().hex}"
 
 
+def stored_bytes(spark: SparkSession, *paths: str) -> int:
+    """Size of files or folders on any file system Spark can reach; globs are allowed."""
+    total = 0
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        for entry in files.globStatus(where) or []:
+            total += files.getContentSummary(entry.getPath()).getLength()
+    return total
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, per_task: int = 256 * 1024 * 1024) -> int:
+    """Set the number of shuffle partitions so that one holds about ``per_task`` bytes.
+
+    AQE merges small partitions but cannot split a plain one, so large inputs need the
+    number up front. Never below twice the cores.
+    """
+    least = 2 * spark.sparkContext.defaultParallelism
+    wanted = max(least, -(-input_bytes // per_task))
+    spark.conf.set("spark.sql.shuffle.partitions", wanted)
+    return wanted
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

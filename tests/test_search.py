@@ -408,3 +408,71 @@ def test_bm25_query_slices(spark, monkeypatch):
     whole = sorted(map(tuple, lexical.lexical_topk(queries, chunks, 5).collect()))
     monkeypatch.setattr(lexical, "QUERY_SLICE", 7)
     assert sorted(map(tuple, lexical.lexical_topk(queries, chunks, 5).collect())) == whole
+
+
+def test_filtered_ann_probing_all_cells_is_exact(spark, vectors, asked):
+    third = F.col("query_id") % 3
+    scoped = asked.select(
+        "query_id",
+        "embedding",
+        F.when(third == 0, F.col("listing_id")).alias("listing_id"),
+        F.when(third == 1, F.col("neighbourhood")).alias("neighbourhood"),
+    )
+    model = dense.fit_cells(vectors, 6)
+    near = dense.knn_ann(scoped, vectors, model, 5, probes=6, filtered=True)
+    assert ranked(near) == ranked(dense.knn_filtered(scoped, vectors, 5))
+
+
+def test_filtered_words_rank_inside_the_filter(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    chunks = docs.select(
+        F.col("doc_id").alias("chunk_id"),
+        (F.col("doc_id") % 4).alias("listing_id"),
+        F.col("lang").alias("neighbourhood"),
+        F.col("text").alias("chunk_text"),
+    )
+    queries = spark.read.parquet(f"{FOLDER}/benchmark.parquet").toDF("query_id", "query")
+    scoped = queries.withColumns(
+        {
+            "listing_id": F.when(F.col("query_id") % 2 == 0, F.lit(1).cast("long")),
+            "neighbourhood": F.when(F.col("query_id") % 3 == 0, F.lit("en")),
+        }
+    )
+    everything = lexical.lexical_topk(queries, chunks, chunks.count())
+    both = everything.drop("rank").join(chunks.drop("chunk_text"), "chunk_id").join(
+        scoped.select("query_id", F.col("listing_id").alias("l"), F.col("neighbourhood").alias("p")), "query_id"
+    )
+    allowed = both.filter("(l is null or l = listing_id) and (p is null or p = neighbourhood)")
+    want = evaluation.rank_hits(allowed, [F.desc("score"), F.asc("chunk_id")]).filter("rank <= 5")
+    for plan in ({}, PAIRED):
+        assert ranked(lexical.lexical_topk(scoped, chunks, 5, filtered=True, **plan)) == ranked(want)
+
+
+@pytest.mark.parametrize("mode", ["dense", "lexical", "hybrid", "cells"])
+def test_retrieval_modes_keep_to_the_scope(spark, mode):
+    from lodgelens.plans.answering import retrieve_then_rerank
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    chunks = docs.select(
+        F.col("doc_id").alias("chunk_id"),
+        (F.col("doc_id") % 4).alias("listing_id"),
+        F.col("lang").alias("neighbourhood"),
+        F.col("source").alias("room_type"),
+        F.col("text").alias("chunk_text"),
+    )
+    queries = spark.read.parquet(f"{FOLDER}/benchmark.parquet").toDF("query_id", "query")
+    asked = queries.withColumns(
+        {
+            "listing_id": F.when(F.col("query_id") % 2 == 0, F.lit(1).cast("long")),
+            "neighbourhood": F.when(F.col("query_id") % 2 == 1, F.lit(" EN")),
+        }
+    )
+    how = {"mode": mode}
+    if mode == "cells":
+        chunks = embed_text(chunks, "chunk_text")
+        how = {"cells": dense.fit_cells(chunks, 4)}
+    best = retrieve_then_rerank(asked, chunks, **how).collect()
+    assert best
+    for r in best:
+        assert r["listing_id"] == 1 if r["query_id"] % 2 == 0 else r["neighbourhood"] == "en"
+        assert r["rerank_rank"] <= (3 if r["query_id"] % 2 == 0 else 8)
