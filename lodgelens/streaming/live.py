@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodgelens.functions.language import with_language
 from lodgelens.functions.values import event_order
+from lodgelens.operators.cleaning import KEPT_LANGUAGES, clean_comments
 from lodgelens.streaming.drain import drain_batches
 
 
@@ -19,6 +21,24 @@ def dedup_stream(
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def silver_review_stream(
+    bronze: DataFrame,
+    languages: tuple[str, ...] = KEPT_LANGUAGES,
+    delay: str = "30 days",
+    detector=None,
+) -> DataFrame:
+    """Bronze reviews to silver reviews as they arrive, by the same steps as the batch form.
+
+    The review date is the event time. Of several rows with one listing, reviewer and date
+    the first to arrive stays; the batch form keeps the lowest id.
+    """
+    spoken = with_language(clean_comments(bronze), "comments", detector=detector)
+    kept = spoken.filter(F.col("lang").isin(*languages))
+    dated = kept.withColumn("review_ts", F.col("date").try_cast("timestamp"))
+    unique = dedup_stream(dated, ["listing_id", "reviewer_id", "date"], "review_ts", delay)
+    return unique.drop("review_ts")
+
+
 def running_counters(
     stream: DataFrame, phase: str, ms: str, ts: str, event_id: str, is_error
 ) -> DataFrame:

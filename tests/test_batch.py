@@ -117,6 +117,12 @@ def test_rerun_gives_the_same_keys(spark, exports, layers, tmp_path):
     assert chunks.snapshot_diff(old, again["gold_review_chunks"].select(old.columns)).count() == 0
 
 
+def test_same_tables_twice(spark, exports, tmp_path):
+    target = TableSet(prefix="w_", folder=str(tmp_path))
+    first = {k: v.count() for k, v in run_batch(spark, exports, target).items()}
+    assert first == {k: v.count() for k, v in run_batch(spark, exports, target).items()}
+
+
 def test_sample_sizes(spark, exports, tmp_path):
     small = run_batch(
         spark,

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from lodgelens.catalog.streams import document_chunks
 from lodgelens.operators import chunks as chunk_ops
+from lodgelens.operators import cleaning
 from lodgelens.operators import request_log as log_ops
 from lodgelens.streaming.drain import drain_to_parquet, file_stream
 from lodgelens.streaming.index_sync import compact_index, read_index, sync_index
-from lodgelens.streaming.live import dedup_stream, drain_counters, running_counters
+from lodgelens.streaming.live import (
+    dedup_stream,
+    drain_counters,
+    running_counters,
+    silver_review_stream,
+)
 
 LOG = "event_id long, ts timestamp, q string, ok boolean, phase string, ms double"
 
@@ -108,6 +114,27 @@ def test_dedup_across_files(spark, log, tmp_path):
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_silver_reviews_as_a_stream(spark, tmp_path):
+    kind = "listing_id long, id long, date string, reviewer_id long, comments string"
+    first = [
+        (1, 10, "2024-01-03", 7, "The flat was<br/>very nice and the bed is good"),
+        (1, 11, "2024-01-03", 7, "the same guest and the same date, a later row"),
+        (1, 12, "2024-01-02", 8, "die Wohnung ist sehr schön und nicht laut"),
+        (2, 13, "2024-01-02", 8, " "),
+    ]
+    second = [(1, 10, "2024-01-03", 7, first[0][4]), (2, 14, "2024-01-04", 8, "la casa è molto bella e pulita")]
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for i, part in enumerate((first, second)):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{source}/{i}")
+    bronze = spark.read.parquet(f"{source}/*")
+    stream = silver_review_stream(file_stream(spark, source, bronze.schema, 1))
+    drain_to_parquet(stream, out, state)
+    keys = ["listing_id", "reviewer_id", "date", "lang"]
+    got = spark.read.schema(stream.schema).parquet(out).select(keys).collect()
+    want = cleaning.silver_reviews(bronze).select(keys).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
+
+
 def test_sync_runs_only_what_is_new(spark, tmp_path):
     docs = document_chunks(spark, "/root/testdata/sf0.001")
     gold, index = (str(tmp_path / n) for n in ("gold", "index"))
