@@ -28,10 +28,10 @@ def measured_bytes(df: DataFrame) -> int:
     return int(df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0])
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    return measured_bytes(df) <= max_bytes
+def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
+    return measured_bytes(df) <= (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Hint a broadcast when the measured size allows it, else leave the join to AQE."""
     return F.broadcast(df) if fits_broadcast(df, max_bytes) else df

@@ -178,7 +178,7 @@ def top_items(
     score: BlockScore,
     k: int,
     query_bytes: int | None = None,
-    broadcast_bytes: int = BROADCAST_QUERY_BYTES,
+    broadcast_bytes: int | None = None,
     query_block: int = QUERY_BLOCK,
     item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
@@ -203,7 +203,7 @@ def top_items(
     )
     if query_bytes is None:
         query_bytes = measured_bytes(queries)
-    if query_bytes <= broadcast_bytes:
+    if query_bytes <= (BROADCAST_QUERY_BYTES if broadcast_bytes is None else broadcast_bytes):
         partial = _by_broadcast(queries, items, score, k, schema)
     else:
         partial = _by_block_pairs(queries, items, score, k, schema, query_block, item_block)
