@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodgelens.functions.once import with_once
+
 #: Shorter texts (in characters) carry no reliable signal.
 MIN_CHARS = 12
 
@@ -54,17 +56,20 @@ def with_language(
     """
     long_enough = F.length(text) > MIN_CHARS
     if detector is None:
-        # Stored step by step, as each step is used several times by the next one.
+        # Step by step, as each step is used several times by the next one.
         tokens = F.when(long_enough, language_tokens(F.col(text)))
-        counted = df.withColumn("_tokens", tokens).withColumn("_hits", language_hits(F.col("_tokens")))
+        split = with_once(df, {"_tokens": tokens})
+        counted = with_once(split, {"_hits": language_hits(F.col("_tokens"))}).drop("_tokens")
         vote = F.coalesce(language_vote(F.col("_hits")), F.lit("unknown"))
-        return counted.withColumn(out, vote).drop("_tokens", "_hits")
+        return with_once(counted, {out: vote}).drop("_hits")
 
     @F.pandas_udf("string")
     def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield detector(batch.fillna(""))
 
+    # Not to be run a second time by a filter on its result.
+    detect = detect.asNondeterministic()
     return df.withColumn(
         out, F.when(long_enough, F.coalesce(detect(text), F.lit("unknown"))).otherwise("unknown")
     )

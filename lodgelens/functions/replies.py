@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodgelens.functions.once import with_once
 from lodgelens.functions.text import strip_space
 
 # Part types that carry answer text.
@@ -75,8 +76,8 @@ def delta_text(doc: Column) -> Column:
 
 def with_response_text(df: DataFrame, response: str, out: str = "answer") -> DataFrame:
     """Add the answer text of a JSON text column; each reply is parsed once."""
-    parsed = df.withColumn("_doc", F.try_parse_json(response))
-    return parsed.withColumn(out, response_text(F.col("_doc"))).drop("_doc")
+    parsed = with_once(df, {"_doc": F.try_parse_json(response)})
+    return with_once(parsed, {out: response_text(F.col("_doc"))}).drop("_doc")
 
 
 def judge_score(raw: Column, name: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions.language import with_language
+from lodgelens.functions.once import with_once
 from lodgelens.functions.text import normalise_name, squash_space, strip_tags
 from lodgelens.functions.values import PRICE_MAX, PRICE_MIN, parse_price, range_to_null
 from lodgelens.operators.ranking import keep_first
@@ -27,7 +28,8 @@ def with_place_names(df: DataFrame) -> DataFrame:
 
 def silver_listings(bronze: DataFrame, low: float = PRICE_MIN, high: float = PRICE_MAX) -> DataFrame:
     """Typed price within range; rows without a price or a room type are dropped."""
-    priced = bronze.withColumn("price", range_to_null(parse_price(F.col("price")), low, high))
+    parsed = with_once(bronze, {"price": parse_price(F.col("price"))})
+    priced = parsed.withColumn("price", range_to_null(F.col("price"), low, high))
     return with_place_names(priced).dropna(subset=["price", "room_type"])
 
 
@@ -39,7 +41,7 @@ def silver_neighbourhoods(bronze: DataFrame) -> DataFrame:
 
 def clean_comments(df: DataFrame, text: str = "comments") -> DataFrame:
     """Tags and runs of white space become one blank; blank texts are dropped."""
-    cleaned = df.withColumn(text, squash_space(strip_tags(F.col(text))))
+    cleaned = with_once(df, {text: squash_space(strip_tags(F.col(text)))})
     return cleaned.filter(F.length(text) > 0)
 
 

@@ -70,4 +70,5 @@ def embed_text(
             unit = raw / np.where(norm > 0, norm, 1.0)[:, None]
             yield pd.Series([v if n > 0 else None for v, n in zip(unit, norm)], dtype=object)
 
-    return df.withColumn(out, vectors(text))
+    # Not to be run a second time by a filter on its result.
+    return df.withColumn(out, vectors.asNondeterministic()(text))

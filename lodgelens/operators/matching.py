@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.bounds import broadcast_if_small
+from lodgelens.functions.once import with_once
 from lodgelens.functions.text import letter_words, ngrams, words
 from lodgelens.functions.values import distinctive_place_token
 
@@ -33,7 +34,7 @@ def match_places(
 
 def name_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, phrase)``: the distinct telling phrases of 2 to 5 words per name."""
-    split = df.select(key, words(F.col(text)).alias("tokens"))
+    split = with_once(df.select(key, text), {"tokens": words(F.col(text))})
     return split.select(key, F.explode(F.array_distinct(ngrams(F.col("tokens")))).alias("phrase"))
 
 
@@ -43,7 +44,7 @@ def spoken_phrases(df: DataFrame, key: str, text: str, heads: DataFrame) -> Data
     A head is a pair of words. Most pairs of a text start no known phrase, so a text costs
     one row per word and one look-up; longer runs are built for the few that remain.
     """
-    tokens = df.select(key, words(F.col(text)).alias("t"))
+    tokens = with_once(df.select(key, text), {"t": words(F.col(text))})
 
     def following(n: int):
         return F.slice("t", F.lit(n), F.size("t"))
@@ -52,7 +53,7 @@ def spoken_phrases(df: DataFrame, key: str, text: str, heads: DataFrame) -> Data
     spans = F.arrays_zip(
         F.col("head"), following(3).alias("w3"), following(4).alias("w4"), following(5).alias("w5")
     )
-    at = tokens.withColumn("head", pairs).select(key, F.explode(spans).alias("s"))
+    at = with_once(tokens.select(key, "t"), {"head": pairs}).select(key, F.explode(spans).alias("s"))
     at = at.select(key, "s.*").filter(F.col("head").isNotNull())
     started = at.join(broadcast_if_small(heads), "head", "left_semi")
     runs = [F.col("head")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodgelens.functions.once import with_once
 from lodgelens.functions.replies import delta_text
 
 # The Italian wording of the prompt.
@@ -78,8 +79,8 @@ def join_deltas(events: DataFrame, key: str, seq: str, payload: str) -> DataFram
     Events without answer text are dropped before the shuffle. An answer is one value,
     so its pieces meet in one row; different answers are independent.
     """
-    parsed = events.select(key, seq, F.try_parse_json(payload).alias("doc"))
-    pieces = parsed.select(key, seq, delta_text(F.col("doc")).alias("piece"))
+    parsed = with_once(events.select(key, seq, payload), {"doc": F.try_parse_json(payload)})
+    pieces = with_once(parsed.select(key, seq, "doc"), {"piece": delta_text(F.col("doc"))})
     pieces = pieces.filter(F.length("piece") > 0)
     ordered = F.array_sort(F.collect_list(F.struct(seq, "piece")))
     return pieces.groupBy(key).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodgelens.functions.audit import audit_verdict, unfenced_sql
 from lodgelens.functions.intents import scope_override
+from lodgelens.functions.once import with_once
 from lodgelens.operators.matching import match_listings, match_places
 from lodgelens.session import materialise
 
@@ -72,6 +73,6 @@ def resolve_scopes(questions: DataFrame, places: DataFrame, listings: DataFrame)
 
 def audit_statements(statements: DataFrame, column: str = "statement") -> DataFrame:
     """Add the verdict and the runnable text (null unless the verdict is ``ok``)."""
-    audited = statements.withColumn("clean_sql", unfenced_sql(F.col(column)))
-    audited = audited.withColumn("verdict", audit_verdict(F.col("clean_sql")))
+    audited = with_once(statements, {"clean_sql": unfenced_sql(F.col(column))})
+    audited = with_once(audited, {"verdict": audit_verdict(F.col("clean_sql"))})
     return audited.withColumn("clean_sql", F.when(F.col("verdict") == "ok", F.col("clean_sql")))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodgelens.catalog import QUERIES
 from lodgelens.functions.language import with_language
-from lodgelens.operators import lexical, questions, ranking, request_log
+from lodgelens.operators import cleaning, lexical, questions, ranking, request_log
+from lodgelens.operators.embedding import embed_text
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -76,3 +77,17 @@ def test_salting_only_for_deep_lists(spark):
     shallow = ranking.top_per_key(events, ["event_type"], [F.desc("ts")], 100, tie="event_id")
     deep = ranking.top_per_key(events, ["event_type"], [F.desc("ts")], 101, tie="event_id")
     assert "_salt" not in plan_of(shallow) and "_salt" in plan_of(deep)
+
+
+def test_costly_columns_are_not_copied_into_filters(spark):
+    docs = table(spark, "documents")
+    spoken = with_language(docs, "text").filter(F.col("lang").isin("en", "it"))
+    assert plan_of(spoken.select("doc_id", "lang")).count("regexp_extract_all") == 1
+    clean = cleaning.clean_comments(docs, "text").filter(F.col("text") != "x")
+    assert plan_of(clean.select("doc_id", "text")).count("<[^>]+>") == 1
+
+
+def test_vectors_are_computed_once(spark):
+    docs = table(spark, "documents").select("doc_id", "text")
+    vectors = embed_text(docs, "text").filter(F.col("embedding").isNotNull())
+    assert plan_of(vectors.select("doc_id", F.explode("embedding"))).count("ArrowEvalPython") == 1
