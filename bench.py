@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR names the tables (default sf0.1), BENCH_CPUS the cores of the local session,
 BENCH_RUNS the timed runs per query after one warm-up; the median is reported. Every run
-evaluates the whole result (noop sink).
+evaluates the whole result (noop sink). Known-item search quality goes along: quoted
+passages as questions, the documents that quote them as answers.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lodgelens.catalog import QUERIES  # noqa: E402
+from lodgelens.catalog.known_items import known_item_means  # noqa: E402
 from lodgelens.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -72,6 +74,7 @@ def main() -> None:
     for name in names:
         timed(spark, name, folder)
         seconds[name] = round(statistics.median(timed(spark, name, folder) for _ in range(runs)), 4)
+    quality = {mode: known_item_means(spark, folder, mode) for mode in ("lexical", "hybrid")}
     line = {
         "metric": "total_median_seconds",
         "value": round(sum(seconds.values()), 4),
@@ -80,6 +83,7 @@ def main() -> None:
         "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
         "cpus": cpus,
         "runs": runs,
+        "known_item_quality": quality,
     }
     print(json.dumps(line))
 

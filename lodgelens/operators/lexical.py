@@ -82,7 +82,9 @@ def word_statistics(docs: DataFrame, vocabulary: DataFrame | None = None) -> Dat
     text costs one partial row per task. With a ``vocabulary`` only its words are counted.
     """
     marked = F.array_append(F.array_distinct("words"), F.lit(""))
-    found = docs.select(F.explode(marked).alias("t"), F.size("words").alias("len"))
+    # The length first: a row per word must not carry the whole list along.
+    sized = docs.select("words", F.size("words").alias("len"))
+    found = sized.select(F.explode(marked).alias("t"), "len")
     if vocabulary is not None:
         wanted = vocabulary.select("t").union(docs.sparkSession.createDataFrame([("",)], "t string"))
         small = fits_broadcast(vocabulary)
