@@ -56,10 +56,11 @@ def with_language(
     """
     long_enough = F.length(text) > MIN_CHARS
     if detector is None:
-        # Step by step, as each step is used several times by the next one.
+        # Step by step, as each step is used several times by the next one. Holding the
+        # last one in place is enough: no filter gets below it.
         tokens = F.when(long_enough, language_tokens(F.col(text)))
-        split = with_once(df, {"_tokens": tokens})
-        counted = with_once(split, {"_hits": language_hits(F.col("_tokens"))}).drop("_tokens")
+        split = df.withColumn("_tokens", tokens)
+        counted = split.withColumn("_hits", language_hits(F.col("_tokens"))).drop("_tokens")
         vote = F.coalesce(language_vote(F.col("_hits")), F.lit("unknown"))
         return with_once(counted, {out: vote}).drop("_hits")
 
