@@ -37,6 +37,7 @@ WIDTH = 5
 #: than a quarter of its size; below SINGLE shingles each is a group of its own.
 GROUP_RATIO = 0.36
 SINGLE = 64
+_CONTENT = np.uint64(28)
 #: Dimensions of the points in the trees.
 DIMENSIONS = 64
 LEAF = 32
@@ -91,12 +92,17 @@ def group_keys(found: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.
             continue
         own, value = owner[pick], found[pick]
         kind = (classes + up)[own]
-        groups = np.where(2.0**kind < SINGLE, 2.0**40, np.ceil(GROUP_RATIO * 2.0 ** (kind + 1))).astype(np.uint64)
+        groups = np.where(2.0**kind < SINGLE, 2.0**20, np.ceil(GROUP_RATIO * 2.0 ** (kind + 1)))
+        groups = np.minimum(groups, 2.0**22).astype(np.uint64)
         group = (mix(value ^ np.uint64(0x51ED2701)) >> np.uint64(20)) % groups
-        order = np.lexsort((group, own))
-        own, value, group, kind = own[order], value[order], group[order], kind[order]
-        at = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])]))
-        total = np.add.reduceat(mix(value), at)
+        # Owner (14 bits), group (22) and content (28) in one number: one plain sort.
+        content = mix(value ^ np.uint64(0x2C1B)) >> np.uint64(36)
+        packed = np.sort(own.astype(np.uint64) << np.uint64(50) | group << _CONTENT | content)
+        place = packed >> _CONTENT
+        own, group = (packed >> np.uint64(50)).astype(np.int64), place & np.uint64((1 << 22) - 1)
+        kind = (classes + up)[own]
+        at = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        total = np.add.reduceat(mix((packed & ((np.uint64(1) << _CONTENT) - np.uint64(1))) + np.uint64(1)), at)
         keys.append(mix(total + mix(group[at] * np.uint64(64) + kind[at].astype(np.uint64))))
         owners.append(own[at])
         where.append(kind[at])
@@ -295,6 +301,14 @@ def tree_pairs(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None)
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def _different_blocks(blocks: DataFrame) -> DataFrame:
+    """One key of those that have the same sets (by two 64-bit sums), without keys of one set."""
+    member = [F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))]
+    whole = blocks.groupBy("key").agg(F.count("*").alias("many"), *(F.bit_xor(m).alias(f"x{i}") for i, m in enumerate(member)))
+    kept = whole.where("many > 1").groupBy("many", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    return blocks.join(kept, "key")
+
+
 def _tree_candidates(blocks: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of different components below one key, by a tree per pair of chunks."""
     sizes = blocks.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
@@ -332,7 +346,7 @@ def _tree_candidates(blocks: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, class_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id.
 
     ``component_id`` is the smallest doc_id reachable by links (100 * intersection >= 80 * union),
     ``class_id`` the smallest doc_id with an equal set. Null and empty texts have no shingles and
@@ -357,12 +371,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lacking = shared.withColumn("alone", F.col("total") - F.count("*").over(own)).where("alone <= n div 4")
     rarest = lacking.withColumn("_r", F.row_number().over(own.orderBy("sets", "key"))).where("_r <= n div 4 + 1 - alone")
     prefix = rarest.select("key", "doc_id", "h1", "n", (F.col("alone") / F.col("total")).alias("own"))
-    blocks = materialise(prefix, "blocks")
+    blocks = materialise(_different_blocks(materialise(prefix, "blocks")), "blocks")
     ids = materialise(blocks.select("doc_id", "h1").distinct(), "ids")
     sets = materialise(sets_of(docs, ids), "sets")
 
     # One set of each key against the others.
-    pivots = blocks.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n")).alias("p"), F.count("*").alias("many")).where("many > 1")
+    pivots = blocks.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n")).alias("p"))
     star = (
         blocks.join(pivots, "key")
         .where("doc_id <> p.doc_id AND 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
@@ -382,15 +396,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = materialise(links.union(_linked(materialise(more, "more"), sets)), "links")
 
     roots = components(links)
-    degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    by_rep = members.join(roots.toDF("rep", "root"), "rep", "left").join(degree, "rep", "left")
-    found = by_rep.select(
-        "doc_id", F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("rep").alias("class_id")
-    )
+    by_rep = members.join(roots.toDF("rep", "root"), "rep", "left")
+    found = by_rep.select("doc_id", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id"))
     return rows.join(found, "doc_id", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
     )

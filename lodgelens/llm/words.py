@@ -5,25 +5,37 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text handled at once inside a task; one longer text makes a slice of its own.
 SLICE_BYTES = 8 * 1024 * 1024
+SLICE_ROWS = 8192
 
 _MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective mixing of 64-bit values."""
+    x = (x ^ (x >> _SHIFT)) * _MIX1
+    x = (x ^ (x >> _SHIFT)) * _MIX2
+    return x ^ (x >> _SHIFT)
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_PLACES = mix(np.arange(1001, 1065, dtype=np.uint64) * _ODD) | np.uint64(1)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that ``column`` holds about ``SLICE_BYTES`` in each."""
+    """Batches cut to about ``SLICE_BYTES`` of ``column`` and ``SLICE_ROWS`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(sizes) // SLICE_BYTES
+        piece = np.cumsum(sizes + SLICE_BYTES // SLICE_ROWS) // SLICE_BYTES
         edges = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
         for start, stop in zip(edges[:-1], edges[1:], strict=True):
             # Copied: Arrow's ASCII kernels misread the buffers of a slice.
@@ -49,25 +61,27 @@ def distinct(words: pa.Array) -> tuple[list[str], np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective mixing of 64-bit values."""
-    x = (x ^ (x >> _SHIFT)) * _MIX1
-    x = (x ^ (x >> _SHIFT)) * _MIX2
-    return x ^ (x >> _SHIFT)
-
-
-def hash_strings(values: list[str]) -> np.ndarray:
-    """A 64-bit hash per string, the same in every process."""
-    if not values:
-        return np.empty(0, np.uint64)
-    return pd.util.hash_array(np.array(values, dtype=object), categorize=False)
+def hash_strings(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes, the same in every process."""
+    n = len(values)
+    values = values.cast(pa.large_string())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + n + 1]
+    length = np.diff(offsets)
+    out = np.zeros(n, np.uint64)
+    full = np.flatnonzero(length)
+    if len(full):
+        data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        place = np.arange(len(data), dtype=np.int64) - np.repeat(offsets[:-1] - offsets[0], length)
+        factor = mix(np.arange(1, int(length.max()) + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
+        terms = _BYTES[data] * factor[place]
+        out[full] = np.add.reduceat(terms, (offsets[:-1] - offsets[0])[full])
+    return mix(out + length.astype(np.uint64))
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of every word and the document number of each."""
     words, doc = split_words(texts)
-    names, place = distinct(words)
-    return hash_strings(names)[place], doc
+    return hash_strings(words), doc
 
 
 def rolled(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +91,27 @@ def rolled(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray,
         return np.empty(0, np.uint64), np.empty(0, doc.dtype)
     total = np.zeros(n, np.uint64)
     for i in range(width):
-        total = mix(total + hashes[i : i + n] + np.uint64(i + 1))
+        total += hashes[i : i + n] * _PLACES[i]
     inside = doc[:n] == doc[width - 1 :]
-    return total[inside], doc[:n][inside]
+    return mix(total[inside]), doc[:n][inside]
+
+
+def sorted_sets(values: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each owner, cut to 50 bits, ordered by owner and value.
+
+    Owner and value share one 64-bit number, so that one plain sort does; there are at most 2^14
+    owners in a slice.
+    """
+    if owners > 1 << 14:
+        raise ValueError("slices hold at most 2^14 rows")
+    packed = np.sort(owner.astype(np.uint64) << np.uint64(50) | values >> np.uint64(14))
+    if len(packed):
+        packed = packed[np.append(True, packed[1:] != packed[:-1])]
+    return packed & np.uint64((1 << 50) - 1), (packed >> np.uint64(50)).astype(np.int64)
 
 
 def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, ordered by document and hash.
+    """Distinct 50-bit shingle hashes of each document, ordered by document and hash.
 
     A document with fewer words has its whole sequence as one shingle, one without words none.
     """
@@ -92,18 +120,10 @@ def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(doc, minlength=len(texts))
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
-        first = np.concatenate([[0], np.cumsum(counts)])[short]
-        extra = np.zeros(len(short), np.uint64)
+        first = np.append(0, np.cumsum(counts))[short]
+        extra = counts[short].astype(np.uint64)  # no short text equals a window of a longer one
         for i in range(width - 1):
             has = counts[short] > i
-            at = np.minimum(first + i, len(hashes) - 1)
-            extra[has] = mix(extra[has] + hashes[at][has] + np.uint64(i + 1))
-        # The length goes in, so that a short text never equals a window of a longer one.
-        extra = mix(extra ^ counts[short].astype(np.uint64))
+            extra[has] = mix(extra[has] + hashes[first[has] + i] * _PLACES[i])
         found, owner = np.concatenate([found, extra]), np.concatenate([owner, short])
-    order = np.lexsort((found, owner))
-    found, owner = found[order], owner[order]
-    if not len(found):
-        return found, owner
-    new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])
-    return found[new], owner[new]
+    return sorted_sets(found, owner, len(texts))
