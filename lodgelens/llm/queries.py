@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgelens.llm import packing, shingle_join
+from lodgelens.llm import license_scan, packing, pii, shingle_join, url_filter
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op10_url_filters")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
