@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgelens.llm import license_scan, packing, pii, shingle_join, url_filter
+from lodgelens.llm import license_scan, packing, pii, shingle_join, toxicity, url_filter
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filters")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
