@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgelens.llm import decontaminate, language_id, license_scan, packing, pii, shingle_join, toxicity, url_filter
+from lodgelens.llm import (
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    packing,
+    pii,
+    shingle_join,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +72,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_benchmark_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
