@@ -9,6 +9,7 @@ from lodgelens.llm import (
     embedding_dedup,
     language_id,
     license_scan,
+    lm_scoring,
     packing,
     pii,
     shingle_join,
@@ -77,3 +78,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
