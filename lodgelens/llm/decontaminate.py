@@ -156,9 +156,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     returned once (the largest shares). Other columns are ignored; empty tables give no rows. Items are
     read in passes of bounded size when this is called.
     """
-    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
     found = None
-    for templates in _passes(items):
+    for templates in _passes(_items(benchmark)):
         held = docs.sparkSession.sparkContext.broadcast(templates)
 
         def run(batches, held=held):
@@ -179,6 +178,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("window_share").alias("window_share"), F.max("consistency").alias("consistency"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns, unchanged) that hold no item of ``benchmark``."""
+    for templates in _passes(_items(benchmark)):
+        held = docs.sparkSession.sparkContext.broadcast(templates)
+
+        def run(batches, held=held):
+            for part in slices(batches):
+                clean = np.ones(len(part), bool)
+                clean[[d for d, *_ in held.value.search(part["text"])]] = False
+                yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+
+
 def _passes(items: DataFrame):
     """Benchmark items in groups of bounded number and size, in order of id."""
     ids, texts, size = [], [], 0

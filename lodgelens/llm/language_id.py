@@ -137,8 +137,8 @@ class Ranker:
         return self.names[best], float(1 - far[best] / (PROFILE * len(grams)))
 
 
-def identify(docs: DataFrame, training: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score and ``keep``.
+def identify(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score.
 
     Profiles come from the rows of ``training`` (default: ``docs``; doc_id, text, lang) whose id has not
     the held-out remainder. ``lang_pred`` is "und", with score 0, for null texts, texts without a letter
@@ -153,10 +153,23 @@ def identify(docs: DataFrame, training: DataFrame | None = None, keep: tuple[str
             found = [judge(t) for t in part["text"].to_pylist()]
             columns = [part[c] for c in ("doc_id", "held_out")]
             columns += [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.record_batch(columns + [part[c] for c in keep], names=["doc_id", "held_out", "lang_pred", "score", *keep])
+            yield pa.record_batch(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
-    more = [c for c in keep if c != "text"]
-    rows = docs.select("doc_id", "text", *more, (id_remainder(HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"doc_id {kinds['doc_id']}", "held_out boolean, lang_pred string, score double", *(f"`{c}` {kinds[c]}" for c in keep)])
-    return rows.mapInArrow(run, schema)
+    rows = docs.select("doc_id", "text", (id_remainder(HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others, unchanged) whose language is known.
+
+    Rows judged "und" go: null texts, texts without a letter, and all if nothing can be learned.
+    """
+    known = profiles(docs)
+
+    def run(batches):
+        judge = Ranker(known).judge
+        for part in slices(batches):
+            yield part.filter(pa.array([judge(t)[0] != UNKNOWN for t in part["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

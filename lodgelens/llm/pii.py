@@ -163,3 +163,34 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     every = F.array_sort(F.concat(*(F.col(f"_{kind}") for kind in KINDS)))
     return base.select("doc_id", bind(every, result).alias("_r")).select("doc_id", "_r.*")
+
+
+def redacted(text: Column) -> Column:
+    """The text with every span replaced by its kind in brackets; overlapping spans give one after another.
+
+    Null stays null.
+    """
+    names = F.array(*(F.lit(f"[{kind.upper()}]") for kind in KINDS))
+    none = F.expr("named_struct('at', 0L, 'pieces', CAST(array() AS ARRAY<STRUCT<from: BIGINT, to: BIGINT, nth: INT>>))")
+
+    def step(state: Column, x: Column) -> Column:
+        piece = F.struct(state["at"].alias("from"), F.greatest(x.start, state["at"]).alias("to"), x.nth.alias("nth"))
+        grown = F.struct(x.end.alias("at"), F.concat(state["pieces"], F.array(piece)).alias("pieces"))
+        return F.when(x.end <= state["at"], state).otherwise(grown)
+
+    def rebuilt(state: Column) -> Column:
+        before = F.transform(
+            state["pieces"],
+            lambda p: F.concat(
+                F.substr(text, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), F.get(names, p["nth"])
+            ),
+        )
+        return F.concat(F.array_join(before, ""), F.substr(text, (state["at"] + 1).cast("int")))
+
+    def with_spans(every: Column) -> Column:
+        merged = F.aggregate(every, none, step)
+        return F.when(F.size(every) == 0, text).otherwise(bind(merged, rebuilt))
+
+    plain = F.coalesce(text, F.lit(""))
+    every = F.array_sort(F.concat(*(spans(plain, kind) for kind in KINDS)))
+    return F.when(text.isNotNull(), bind(every, with_spans))
