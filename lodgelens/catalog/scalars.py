@@ -105,14 +105,14 @@ def chunk_build(spark, folder):
 
 @query(
     "id_normalise",
-    "SELECT vec_id, vec_id::VARCHAR AS from_text, label::VARCHAR AS from_double FROM embeddings",
+    "SELECT vec_id, vec_id::VARCHAR AS from_text, (vec_id + 9999990)::VARCHAR AS from_double FROM embeddings",
 )
 def id_normalise(spark, folder):
-    padded = F.concat(F.lit(" "), F.col("vec_id").cast("string"), F.lit("\n"))
+    padded = F.concat(F.lit("\u00a0 "), F.col("vec_id").cast("string"), F.lit("\n"))
     return load(spark, folder, "embeddings").select(
         "vec_id",
         values.id_normalise(padded).alias("from_text"),
-        values.id_normalise(F.col("label").cast("double")).alias("from_double"),
+        values.id_normalise((F.col("vec_id") + 9999990).cast("double")).alias("from_double"),
     )
 
 
@@ -145,14 +145,14 @@ def context_view(spark, folder):
 )
 def request_key(spark, folder):
     """Scopes carry different fields; a missing one leaves no trace in the key."""
-    asked = F.concat(F.lit(" \t"), F.upper("event_type"), F.lit(" "), F.col("user_id"), F.lit("\n"))
+    asked = F.concat(F.lit("\u00a0 \t"), F.upper("event_type"), F.lit(" "), F.col("user_id"), F.lit("\n"))
     kind = F.when(F.col("event_type") == "view", "neighbourhood").otherwise("listing")
     scope = F.when(
         F.col("event_type") != "error",
         F.struct(
-            kind.alias("kind"),
-            F.when(kind == "listing", F.col("user_id")).alias("listing_id"),
             F.when(kind == "neighbourhood", "eur").alias("neighbourhood"),
+            F.when(kind == "listing", F.col("user_id")).alias("listing_id"),
+            kind.alias("kind"),
         ),
     )
     return load(spark, folder, "events").select(

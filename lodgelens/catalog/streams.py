@@ -10,9 +10,9 @@ from lodgelens.catalog.retrieval import DOC_VECTORS_SQL
 from lodgelens.operators import chunks as chunk_ops
 from lodgelens.schemas import CHUNKS
 from lodgelens.session import scratch_path
-from lodgelens.streaming.drain import drain_to_parquet, file_stream
+from lodgelens.streaming.drain import file_stream
 from lodgelens.streaming.index_sync import sync_index
-from lodgelens.streaming.live import dedup_stream, drain_counters, running_counters
+from lodgelens.streaming.live import drain_counters, drain_unique, running_counters
 
 
 def document_chunks(spark, folder):
@@ -59,9 +59,11 @@ def triggered_sync(spark, folder):
     )
 
 
-def _event_files(spark, folder, drops: int) -> tuple[str, object]:
+def _event_files(spark, folder, drops: int, files: int = 0) -> tuple[str, object]:
     events = load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch_path(spark, "events")
+    if files:
+        events = events.repartition(files, F.xxhash64("event_id"))
     for drop in range(drops):
         events.write.parquet(f"{path}/drop{drop}")
     return path, events.schema
@@ -69,13 +71,12 @@ def _event_files(spark, folder, drops: int) -> tuple[str, object]:
 
 @query("stream_review_dedup", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_review_dedup(spark, folder):
-    """The event file arrives twice; each event comes out once."""
-    path, schema = _event_files(spark, folder, 2)
-    unique = dedup_stream(file_stream(spark, path, schema, files_per_batch=1), ["event_id"], "ts")
+    """The events arrive twice in eight files, in no order of time; each event comes out once."""
+    path, schema = _event_files(spark, folder, 2, files=8)
+    stream = file_stream(spark, path, schema, files_per_batch=1)
+    picked = stream.select("event_id", "user_id", "event_type", "value", "ts")
     out = scratch_path(spark, "unique")
-    picked = unique.select("event_id", "user_id", "event_type", "value")
-    drain_to_parquet(picked, out, scratch_path(spark, "unique-state"))
-    return spark.read.schema(picked.schema).parquet(out)
+    return drain_unique(picked, ["event_id"], ["ts"], out, scratch_path(spark, "unique-state")).drop("ts")
 
 
 @query(

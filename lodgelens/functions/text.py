@@ -10,17 +10,20 @@ WORD_PATTERN = r"([a-z0-9àèéìòùáéíóú&]+)"
 LETTERS_PATTERN = r"([a-zàèéìòùáéíóú]+)"
 
 # Common words that do not identify a listing on their own.
-COMMON_NAME_WORDS = (
-    "a e i o il la le lo gli un una uno di del della dei delle con per in su da che non si ci "
-    "al alla the and with of in near room rooms apartment apt flat house home casa roma rome "
-    "studio cozy b&b alloggio appartamento stanza cosa dove prezzo trova dicono villa suite loft "
-    "attico residenza residence palazzo guesthouse camera monolocale bilocale dell sull che come"
-).split()
+COMMON_NAME_WORDS = [
+    "a", "e", "i", "o", "il", "la", "le", "lo", "gli", "un", "una", "uno", "di", "del", "della",
+    "dei", "delle", "con", "per", "in", "su", "da", "che", "non", "si", "ci", "al", "alla",
+    "the", "and", "with", "of", "in", "near", "room", "rooms", "apartment", "apt", "flat",
+    "house", "home", "casa", "roma", "rome", "studio", "cozy", "b&b", "alloggio",
+    "appartamento", "stanza", "cosa", "dove", "prezzo", "trova", "dicono", "villa", "suite",
+    "loft", "attico", "residenza", "residence", "palazzo", "guesthouse", "camera", "monolocale",
+    "bilocale", "dell", "sull", "che", "come",
+]
 
 
 def strip_space(c: Column) -> Column:
-    """Remove white space of any kind from both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove white space of any script from both ends (``trim`` removes blanks only)."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def strip_tags(c: Column) -> Column:

@@ -21,8 +21,14 @@ def range_to_null(c: Column, low: float = PRICE_MIN, high: float = PRICE_MAX) ->
 
 
 def id_normalise(c: Column) -> Column:
-    """Id as text without white space around it and without a trailing ``.0``."""
-    return F.regexp_replace(strip_space(c.cast("string")), r"\.0$", "")
+    """Id as text without white space around it and without a trailing ``.0``.
+
+    Whole numbers of a fractional type are written out: as text, large doubles have an exponent.
+    """
+    whole = c.try_cast("decimal(38,0)")
+    integral = F.typeof(c).rlike("^(?:double|float|decimal)") & (whole.cast("double") == c.try_cast("double"))
+    plain = F.regexp_replace(strip_space(c.cast("string")), r"\.0$", "")
+    return F.when(integral, whole.cast("string")).otherwise(plain)
 
 
 def stable_key(*parts: Column) -> Column:
@@ -32,8 +38,11 @@ def stable_key(*parts: Column) -> Column:
 
 
 def request_key(query: Column, scope: Column) -> Column:
-    """Cache key of a request: folded query text and the scope as JSON."""
-    scope_text = F.coalesce(F.to_json(scope), F.lit("null"))
+    """Cache key of a request: folded query text and the scope as JSON with sorted keys.
+
+    A variant keeps the keys of an object in order, whatever the order of the scope's fields.
+    """
+    scope_text = F.coalesce(F.to_json(F.parse_json(F.to_json(scope))), F.lit("null"))
     return F.concat(F.lower(strip_space(query)), F.lit("|"), scope_text)
 
 

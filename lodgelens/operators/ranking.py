@@ -21,13 +21,13 @@ def top_per_key(
     """The first ``k`` rows per key in ``order`` and then by ``tie``, ranked from 1.
 
     Spark limits each map partition to ``k`` rows per key before the shuffle
-    (WindowGroupLimit), which is enough while ``k`` is small. For deep lists the rows of
-    a key are first ranked in ``SALTS`` hash slices, so even a key with a third of all
-    rows is cut down by many tasks and the last one sees at most ``SALTS * k`` rows.
+    (WindowGroupLimit), which is enough while ``k`` is small. For deep lists what the map
+    partitions keep of a key is first ranked in ``SALTS`` slices of partitions, so the rows of a
+    hot key go through many tasks and the last one sees at most ``SALTS * k`` of them.
     """
     order = [*order, F.col(tie).asc()]
     if k > SALTED_DEPTH:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
+        salted = df.withColumn("_salt", F.spark_partition_id() % SALTS)
         slice_rank = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
         df = salted.withColumn(rank, slice_rank).filter(F.col(rank) <= k).drop("_salt")
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions.language import with_language
 from lodgelens.functions.values import event_order
 from lodgelens.operators.cleaning import KEPT_LANGUAGES, clean_comments
+from lodgelens.operators.ranking import keep_first
+from lodgelens.session import stored_bytes
 from lodgelens.streaming.drain import drain_batches
 
 
-def dedup_stream(
-    stream: DataFrame, keys: list[str], ts: str, delay: str = "1 hour"
+def drain_unique(
+    stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str
 ) -> DataFrame:
-    """Drop repeats of a key that arrive within ``delay``; state is bounded by it.
+    """Append the first row of every key to ``path`` and return all that is there.
 
-    ``ts`` must be a timestamp with time zone rules: cast a ``timestamp_ntz`` first.
+    Nothing but repeats is dropped, however late a row arrives: a batch keeps its first row per
+    key in ``order`` and leaves out keys of earlier batches (nulls are equal, as in
+    ``dropDuplicates``). Each batch has its own folder and overwrites it when it is repeated.
     """
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = keep_first(batch, keys, [F.col(c) for c in order])
+        if batch_id and stored_bytes(spark, f"{path}/batch=*"):
+            known = spark.read.option("basePath", path).parquet(path)
+            known = known.filter(F.col("batch") < batch_id).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            fresh = fresh.join(known, reduce(and_, same), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    drain_batches(stream, store, checkpoint)
+    found = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch=*")
+    return found.select(*stream.columns)
 
 
-def silver_review_stream(
+def drain_silver_reviews(
     bronze: DataFrame,
+    path: str,
+    checkpoint: str,
     languages: tuple[str, ...] = KEPT_LANGUAGES,
-    delay: str = "30 days",
     detector=None,
 ) -> DataFrame:
     """Bronze reviews to silver reviews as they arrive, by the same steps as the batch form.
 
-    The review date is the event time. Of several rows with one listing, reviewer and date
-    the first to arrive stays; the batch form keeps the lowest id.
+    Of several rows with one listing, reviewer and date the one with the lowest id of the first
+    batch stays; the batch form keeps the lowest id of all.
     """
     spoken = with_language(clean_comments(bronze), "comments", detector=detector)
     kept = spoken.filter(F.col("lang").isin(*languages))
-    dated = kept.withColumn("review_ts", F.col("date").try_cast("timestamp"))
-    unique = dedup_stream(dated, ["listing_id", "reviewer_id", "date"], "review_ts", delay)
-    return unique.drop("review_ts")
+    return drain_unique(kept, ["listing_id", "reviewer_id", "date"], ["id"], path, checkpoint)
 
 
 def running_counters(

@@ -9,14 +9,9 @@ from lodgelens.catalog.streams import document_chunks
 from lodgelens.operators import chunks as chunk_ops
 from lodgelens.operators import cleaning
 from lodgelens.operators import request_log as log_ops
-from lodgelens.streaming.drain import drain_to_parquet, file_stream
+from lodgelens.streaming.drain import file_stream
 from lodgelens.streaming.index_sync import compact_index, read_index, sync_index
-from lodgelens.streaming.live import (
-    dedup_stream,
-    drain_counters,
-    running_counters,
-    silver_review_stream,
-)
+from lodgelens.streaming.live import drain_counters, drain_silver_reviews, drain_unique, running_counters
 
 LOG = "event_id long, ts timestamp, q string, ok boolean, phase string, ms double"
 
@@ -109,9 +104,24 @@ def test_dedup_across_files(spark, log, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     for drop in range(2):
         log.write.parquet(f"{source}/{drop}")
-    stream = dedup_stream(file_stream(spark, source, log.schema, 1), ["event_id"], "ts")
-    drain_to_parquet(stream, out, state)
-    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5, 6]
+    stream = file_stream(spark, source, log.schema, 1)
+    got = drain_unique(stream, ["event_id"], ["ts"], out, state)
+    assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3, 4, 5, 6]
+    assert drain_unique(stream, ["event_id"], ["ts"], out, state).count() == 6
+
+
+def test_late_reviews_stay(spark, tmp_path):
+    kind = "listing_id long, id long, date string, reviewer_id long, comments string"
+    text = "The flat was very nice and the bed is good"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for i, year in enumerate((2024, 2023, 2022, 2024)):
+        rows = [(1, 10 + i, f"{year}-01-03", 7, text), (1, 20 + i, None, 7, text)]
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{source}/{i}")
+    bronze = spark.read.parquet(f"{source}/*")
+    got = drain_silver_reviews(file_stream(spark, source, bronze.schema, 1), out, state)
+    want = cleaning.silver_reviews(bronze)
+    keys = ["listing_id", "reviewer_id", "date"]
+    assert sorted(map(repr, got.select(keys).collect())) == sorted(map(repr, want.select(keys).collect()))
 
 
 def test_silver_reviews_as_a_stream(spark, tmp_path):
@@ -127,10 +137,9 @@ def test_silver_reviews_as_a_stream(spark, tmp_path):
     for i, part in enumerate((first, second)):
         spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{source}/{i}")
     bronze = spark.read.parquet(f"{source}/*")
-    stream = silver_review_stream(file_stream(spark, source, bronze.schema, 1))
-    drain_to_parquet(stream, out, state)
     keys = ["listing_id", "reviewer_id", "date", "lang"]
-    got = spark.read.schema(stream.schema).parquet(out).select(keys).collect()
+    silver = drain_silver_reviews(file_stream(spark, source, bronze.schema, 1), out, state)
+    got = silver.select(keys).collect()
     want = cleaning.silver_reviews(bronze).select(keys).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
 
