@@ -43,33 +43,40 @@ DIMENSIONS = 64
 LEAF = 32
 CHUNK = 1024
 #: Group keys per part of the packed exchange.
-PART_KEYS = 1_000_000
-#: Bytes of packed keys that a task holds before it sends them.
-BUFFER_KEYS = 2_000_000
+PART_KEYS = 2_000_000
+#: Group keys that a task holds before it sends them.
+BUFFER_KEYS = 1_000_000
 
 
 def digests(found: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit sums over each set, the same for equal sets only."""
+    """Two 64-bit sums over each set, the same for equal sets only; the first is even."""
     ends, sums = np.cumsum(n), []
     for salt in (0, 0x9E3779B97F4A7C15):
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(found ^ np.uint64(salt)), dtype=np.uint64)])
         sums.append((total[ends] - total[ends - n]).view(np.int64))
-    return sums
+    return [sums[0] & ~1, sums[1]]
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles) and a 128-bit digest of the set, per row of ``docs``."""
+    """Per row of ``docs``: doc_id, n (distinct shingles), a digest of the set, group keys it has.
+
+    ``keys`` counts those of the set's own size class, ``keys_up`` those of the next one.
+    """
 
     def digest(batches):
         for part in slices(batches):
             found, owner = shingles(part["text"], WIDTH)
             n = np.bincount(owner, minlength=len(part))
+            _, own, up = group_keys(found, owner, n)
+            keys = (np.bincount(own[up == u], minlength=len(part)) for u in (0, 1))
             yield pa.record_batch(
-                [part["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), *map(pa.array, digests(found, n))],
-                names=["doc_id", "n", "h1", "h2"],
+                [part["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), *map(pa.array, (*digests(found, n), *keys))],
+                names=["doc_id", "n", "h1", "h2", "keys", "keys_up"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n long, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(
+        digest, "doc_id long, n long, h1 long, h2 long, keys long, keys_up long"
+    )
 
 
 def allowed(n):
@@ -78,7 +85,7 @@ def allowed(n):
 
 
 def group_keys(found: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, document and size class of every occupied group of every set.
+    """Key, document and class (0: the set's own, 1: the next) of every occupied group of every set.
 
     The class of a size in [2^k, 2^(k+1)) is k. A set whose size is within a quarter of the next
     class is grouped for that class too, so that linked sets meet in the class of the larger.
@@ -105,26 +112,31 @@ def group_keys(found: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.
         total = np.add.reduceat(mix((packed & ((np.uint64(1) << _CONTENT) - np.uint64(1))) + np.uint64(1)), at)
         keys.append(mix(total + mix(group[at] * np.uint64(64) + kind[at].astype(np.uint64))))
         owners.append(own[at])
-        where.append(kind[at])
+        where.append(np.full(len(at), up))
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(where)
 
 
 def _packed_keys(docs: DataFrame, parts: int) -> DataFrame:
-    """Group keys in blocks: part, its keys, the place of each key's owner, the owners' facts."""
+    """Group keys in blocks: part, 40 bits of each key, the place of its owner, the owners.
 
-    def send(held, facts):
-        keys, owner = (np.concatenate(x) for x in zip(*held, strict=True))
-        facts = np.concatenate(facts)
+    An owner is the digest of a set, with its last bit set for keys of the next size class.
+    """
+
+    def send(held, owners):
+        keys, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        owners = np.concatenate(owners)
         part = (keys % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        part, keys, owner = part[order], keys[order], owner[order]
-        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        part, keys, place = part[order], keys[order], place[order]
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         rows = []
         for s, e in zip(begin, np.append(begin[1:], len(part)), strict=True):
-            names, place = np.unique(owner[s:e], return_inverse=True)
-            rows.append((int(part[s]), keys[s:e].tobytes(), place.astype(np.uint32).tobytes(), facts[names].tobytes()))
+            names, at = np.unique(place[s:e], return_inverse=True)
+            low = (keys[s:e] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            kind = "<u2" if len(names) <= 1 << 16 else "<u4"
+            rows.append((int(part[s]), low.tobytes(), at.astype(kind).tobytes(), owners[names].tobytes()))
         for i in range(0, len(rows), 64):
             columns = list(zip(*rows[i : i + 64], strict=True))
             yield pa.record_batch(
@@ -133,55 +145,70 @@ def _packed_keys(docs: DataFrame, parts: int) -> DataFrame:
             )
 
     def run(batches):
-        held, facts, base, waiting = [], [], 0, 0
+        held, owners, base, waiting = [], [], 0, 0
         for piece in slices(batches):
             found, owner = shingles(piece["text"], WIDTH)
             n = np.bincount(owner, minlength=len(piece))
-            keys, own, kind = group_keys(found, owner, n)
-            # A document in two classes is two owners.
-            names, place, total = np.unique(own * 64 + kind, return_inverse=True, return_counts=True)
-            doc = names // 64
-            ids = piece["doc_id"].cast(pa.int64()).to_numpy(zero_copy_only=False)
+            keys, own, up = group_keys(found, owner, n)
+            names, place = np.unique(own * 2 + up, return_inverse=True)
             held.append((keys, place + base))
-            facts.append(np.stack([ids[doc], digests(found, n)[0][doc], names % 64, total, n[doc]], axis=1).astype(np.int64))
+            owners.append(digests(found, n)[0][names // 2] | names % 2)
             base, waiting = base + len(names), waiting + len(keys)
             if waiting >= BUFFER_KEYS:
-                yield from send(held, facts)
-                held, facts, base, waiting = [], [], 0, 0
+                yield from send(held, owners)
+                held, owners, base, waiting = [], [], 0, 0
         if waiting:
-            yield from send(held, facts)
+            yield from send(held, owners)
 
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     return texts.mapInArrow(run, "part int, keys binary, place binary, owners binary")
 
 
 def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
-    """Group keys that more than one row has: key, doc_id, h1, class, total (keys of the row), n."""
-    names = ["key", "doc_id", "h1", "class", "total", "n"]
+    """Group keys of more than one set: key, owner (as in the blocks) and the number of sets.
+
+    Equal sets are one owner here, so copies neither count nor multiply.
+    """
 
     def repeated(batches):
-        keys, places, facts, base = [], [], [], 0
+        keys, places, owners, base, part = [], [], [], 0, []
         for batch in batches:
-            for packed, place, owners in zip(*(batch[c] for c in ("keys", "place", "owners")), strict=True):
-                keys.append(np.frombuffer(packed.as_buffer(), np.uint64))
-                facts.append(np.frombuffer(owners.as_buffer(), np.int64).reshape(-1, 5))
-                places.append(np.frombuffer(place.as_buffer(), np.uint32) + np.uint32(base))
-                base += len(facts[-1])
+            for number, low, place, names in zip(*(batch[c] for c in ("part", "keys", "place", "owners")), strict=True):
+                raw = np.frombuffer(low.as_buffer(), np.uint8).reshape(-1, 5)
+                key = np.zeros((len(raw), 8), np.uint8)
+                key[:, :5] = raw
+                keys.append(key.view("<u8").ravel() | np.uint64(number.as_py()) << np.uint64(40))
+                owners.append(np.frombuffer(names.as_buffer(), np.int64))
+                at = place.as_buffer()
+                places.append(np.frombuffer(at, "<u2" if at.size == 2 * len(raw) else "<u4").astype(np.int64) + base)
+                base += len(owners[-1])
         if not keys:
             return
-        key, place, fact = np.concatenate(keys), np.concatenate(places), np.concatenate(facts)
+        key, owner = np.concatenate(keys), np.concatenate(owners)
         keys.clear()
         order = np.argsort(key)
         ranked = key[order]
         same = ranked[1:] == ranked[:-1]
         kept = order[np.append(False, same) | np.append(same, False)]
-        for i in range(0, len(kept), 200_000):
-            some = kept[i : i + 200_000]
-            columns = [key[some].view(np.int64), *fact[place[some]].T]
-            yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+        key, owner = key[kept], owner[np.concatenate(places)[kept]]
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        if not len(key):
+            return
+        new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+        key, owner = key[new], owner[new]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sets = np.diff(np.append(first, len(key)))
+        number = np.repeat(sets, sets)
+        key, owner, number = key[number > 1], owner[number > 1], number[number > 1]
+        for i in range(0, len(key), 200_000):
+            to = slice(i, i + 200_000)
+            yield pa.record_batch(
+                [pa.array(key[to].view(np.int64)), pa.array(owner[to]), pa.array(number[to])], names=["key", "owner", "sets"]
+            )
 
     packed = _packed_keys(docs, parts)
-    return packed.repartition(parts, "part").mapInArrow(repeated, ", ".join(f"{c} long" for c in names))
+    return packed.repartition(parts, "part").mapInArrow(repeated, "key long, owner long, sets long")
 
 
 def _id_bits(ids: DataFrame) -> tuple[int, np.ndarray]:
@@ -356,18 +383,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = materialise(set_digests(docs), "digests")
-    whole = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("n", "h1", "h2")).alias("s"))
-    nodes = whole.select("doc_id", "s.n", "s.h1", "s.h2").where("n > 0")
-    classes = nodes.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = materialise(nodes.join(classes, ["n", "h1", "h2"]).select("doc_id", "h1", "rep"), "classes")
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(0.6 * total) // PART_KEYS + 1)
-
-    keyed = shared_keys(docs, parts).join(members, ["doc_id", "h1"])
-    keyed = materialise(keyed.select("key", F.col("rep").alias("doc_id"), "h1", "class", "total", "n").distinct(), "keys")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    shared = keyed.join(counts, "key")
-    own = Window.partitionBy("doc_id", "class")
+    whole = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("n", "h1", "h2", "keys", "keys_up")).alias("s"))
+    nodes = whole.select("doc_id", "s.*").where("n > 0")
+    classes = nodes.groupBy("n", "h1", "h2", "keys", "keys_up").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(classes, "classes")
+    total = rows.agg(F.coalesce(F.sum(F.col("keys") + F.col("keys_up")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_KEYS + 1)
+
+    # Keys of one set are dropped in the exchange's tasks; the rest learn which set they belong to.
+    up = F.col("owner").bitwiseAND(1)
+    shared = shared_keys(docs, parts).withColumn("up", up).withColumn("h1", F.col("owner") - up)
+    shared = shared.join(classes.withColumnRenamed("rep", "doc_id"), "h1")
+    shared = shared.withColumn("total", F.when(F.col("up") == 1, F.col("keys_up")).otherwise(F.col("keys")))
+    own = Window.partitionBy("doc_id", "up")
     lacking = shared.withColumn("alone", F.col("total") - F.count("*").over(own)).where("alone <= n div 4")
     rarest = lacking.withColumn("_r", F.row_number().over(own.orderBy("sets", "key"))).where("_r <= n div 4 + 1 - alone")
     prefix = rarest.select("key", "doc_id", "h1", "n", (F.col("alone") / F.col("total")).alias("own"))
@@ -396,8 +424,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = materialise(links.union(_linked(materialise(more, "more"), sets)), "links")
 
     roots = components(links)
-    by_rep = members.join(roots.toDF("rep", "root"), "rep", "left")
-    found = by_rep.select("doc_id", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id"))
+    by_rep = classes.join(roots.toDF("rep", "root"), "rep", "left")
+    found = nodes.join(by_rep, ["n", "h1", "h2"]).select(
+        "doc_id", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id")
+    )
     return rows.join(found, "doc_id", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
