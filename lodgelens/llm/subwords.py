@@ -18,7 +18,7 @@ import regex
 from lodgelens.llm.words import hash_strings, split_words
 
 #: Words kept by one Python worker; those met later are tokenized again in each slice.
-MAX_STORED_WORDS = 1_500_000
+MAX_STORED_WORDS = 700_000
 #: Bytes of the longest piece that the array form takes.
 LONGEST_PIECE = 40
 _JOINED = 200

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text handled at once inside a task; one longer text makes a slice of its own.
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 3 * 1024 * 1024
 SLICE_ROWS = 8192
 
 _MIX1 = np.uint64(0xFF51AFD7ED558CCD)
