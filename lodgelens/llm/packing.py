@@ -4,7 +4,8 @@ Lengths above ``large`` of a sequence are put in descending order, cut into grou
 cardinality and rounded up to the largest of their group. A linear program over the few rounded
 sizes picks how often each way to fill a sequence is used (columns are found with a knapsack).
 Actual documents then take the slots, and what is left over in each sequence, rounding
-included, goes to the shorter documents by best fit.
+included, goes to the shorter documents by best fit. Lengths that leave no room for another long
+one open a sequence each beforehand.
 
 The plan needs only the number of pieces of each length, at most ``capacity`` numbers whatever
 the input, and is a list of intervals "the pieces of length L with rank r..r' go to sequences
@@ -155,7 +156,15 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GRO
     """
     plan = _Plan(counts)
     limit = int(capacity * large)
-    long_lengths = [n for n in range(capacity, limit, -1) if counts[n]]
+    alone = max(limit, capacity - limit - 1)
+    for n in range(capacity, alone, -1):  # no other long piece fits beside these
+        if counts[n]:
+            many = int(counts[n])
+            plan.place(n, many, 1, plan.next_sequence, 0, many)
+            if n < capacity:
+                insort(plan.open, (capacity - n, plan.next_sequence, many))
+            plan.next_sequence += many
+    long_lengths = [n for n in range(alone, limit, -1) if counts[n]]
     total_long = int(sum(counts[n] for n in long_lengths))
     if total_long:
         k = min(groups, total_long)
