@@ -417,8 +417,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # Below each key, the components that are still apart.
     placed = blocks.join(roots.toDF("doc_id", "_root"), "doc_id", "left").withColumn("root", F.coalesce("_root", "doc_id"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_rows = placed.select("key", "doc_id", "root").distinct().join(apart, "key")
+    # Keys with the same least component share a tree, so a pair is found once and not once per key.
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_rows = placed.join(apart, "key").select(F.col("lo").alias("key"), "doc_id", "root").distinct()
     points = sets.select("doc_id", "n", "counts")
     more = _tree_candidates(open_rows.join(points, "doc_id")).join(tested, ["a", "b"], "left_anti")
     links = materialise(links.union(_linked(materialise(more, "more"), sets)), "links")
