@@ -244,8 +244,7 @@ def brute_components(sets):
     return {i: find(i) for i in names}
 
 
-def test_jaccard_components(spark, odd, monkeypatch):
-    monkeypatch.setattr(words, "SLICE_ROWS", 16)  # sets of different slices must meet
+def test_jaccard_components(spark, odd):
     rng = np.random.default_rng(3)
     common = [f"c{i}" for i in range(60)]
     rows = []
