@@ -39,7 +39,7 @@ GROUP_RATIO = 0.36
 SINGLE = 64
 _CONTENT = np.uint64(28)
 #: Dimensions of the points in the trees.
-DIMENSIONS = 64
+DIMENSIONS = 256
 LEAF = 32
 CHUNK = 1024
 #: Group keys per part of the packed exchange.
