@@ -299,15 +299,16 @@ def tree_pairs(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None)
         c, n, r = side["counts"][order], side["n"][order], side["root"][order]
         top = np.maximum.reduceat(c, starts, axis=0)
         ends = np.append(starts[1:], len(order))
-        one = np.where(r[starts] == r[ends - 1], r[starts], -1 - np.arange(len(starts)))
-        return order, starts, ends, c, n, r, top, np.minimum.reduceat(n, starts), one
+        # Rows are sorted by root: a leaf whose first and last root are equal holds that root only.
+        return order, starts, ends, c, n, r, top, np.minimum.reduceat(n, starts), r[starts], r[starts] == r[ends - 1]
 
     a = leaves(left)
     b = a if right is None else leaves(right)
     found_a, found_b = [], []
     for i in range(len(a[1])):
         bound = np.minimum(a[6][i], b[6]).sum(axis=1)
-        fits = (9 * bound >= 4 * (a[7][i] + b[7])) & (a[8][i] != b[8])
+        same = a[9][i] & b[9] & (a[8][i] == b[8])
+        fits = (9 * bound >= 4 * (a[7][i] + b[7])) & ~same
         if right is None:
             fits[:i] = False
         rows = slice(a[1][i], a[2][i])

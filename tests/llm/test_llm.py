@@ -281,6 +281,22 @@ def test_tree_bound_keeps_every_link():
     assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist(), strict=True)} == want and len(want) >= 40
 
 
+def test_tree_compares_sets_inside_a_leaf():
+    """Linked sets of different roots in one leaf, and in leaf i of both chunks; negative ids too."""
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(4, (10, 64)).repeat(2, axis=0)
+    counts[1::2, 0] += 1
+    root = np.arange(20) - 10
+    side = {"root": root, "n": counts.sum(1), "counts": counts}
+    x, y = shingle_join.tree_pairs(side, None)
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == [(i, i + 1) for i in range(0, 20, 2)]
+    left, right = ({k: v[at::2] for k, v in side.items()} for at in (0, 1))
+    x, y = shingle_join.tree_pairs(left, right)
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == [(i, i) for i in range(10)]
+    one = side | {"root": root // 2}
+    assert not len(shingle_join.tree_pairs(one, None)[0])
+
+
 def test_benchmark_leaks(spark, odd):
     item = "In 1998 the engineer Marta walked 12 km from the old harbour to the quiet library near Porto and read 3 books"
     other = item.replace("1998", "2005").replace("Marta", "Elena").replace("12 km", "15 miles").replace("Porto", "Lyon")
