@@ -3,7 +3,9 @@
 Numbers, units and names become typed placeholders. Windows of template tokens of the benchmark are
 looked up by hash in every document. A document leaks an item if it holds enough of the item's windows
 and the placeholders agree: one benchmark value always stands for one document value, so a question
-with other numbers or names is caught, but a chance likeness of templates is not.
+with other numbers or names is caught, but a chance likeness of templates is not. If all places
+together do not agree, each occurrence of the item in the document is judged on its own, so that
+several questions of one template do not hide each other.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from lodgelens.llm.words import hash_strings, rolled, slices
 WIDTH = 8
 #: Share of an item's windows that a document must hold, and of consistent placeholders.
 LEAST_SHARE, LEAST_CONSISTENT = 0.3, 0.8
+#: Words that may be missing or added between two windows of one occurrence.
+GAP = 8
 #: Items of fewer template tokens are compared with whole documents only.
 LEAST_TOKENS = 4
 #: Benchmark items per broadcast; more items are searched in several passes.
@@ -135,8 +139,68 @@ class Templates:
             agree = self._consistency(own, item_kind, item_own, places)
             if agree >= LEAST_CONSISTENT:
                 out.append((d, item, len(windows) / count, agree))
+                continue
+            best = None
+            for chain in self._occurrences(places, len(item_kind)):
+                if len(chain) < self.need[i] or not self._telling(own, item_kind, item_own, chain):
+                    continue
+                agree = self._consistency(own, item_kind, item_own, chain)
+                if agree >= LEAST_CONSISTENT:
+                    best = max(best or (0.0, 0.0), (len(chain) / count, agree))
+            if best:
+                out.append((d, item, *best))
         return out
 
+    @staticmethod
+    def _occurrences(places, n) -> list[list]:
+        """Places grouped by occurrence: those of each straight line, and chains over near lines.
+
+        On a line the difference of document and item position is one number, so every unbroken copy
+        is on a line of its own. In a chain both positions rise and words may be missing or added;
+        copies side by side lie at least ``n`` apart.
+        """
+        gap = min(GAP, n - 1)
+        shifts = sorted((s for s in range(-gap, gap + 1) if s), key=abs)
+        by_place: dict[int, list] = defaultdict(list)
+        lines: dict[int, list] = defaultdict(list)
+        for place in places:
+            by_place[place[0]].append(place)
+            lines[place[0] - place[1]].append(place)
+        chains: list[list] = []
+        open_at: dict[int, list] = {}
+        for at in sorted(by_place):
+            rest = []
+            for place in by_place[at]:
+                chain = open_at.get(at - place[1])
+                if chain is None:
+                    rest.append(place)
+                else:
+                    chain.append(place)
+            for place in rest:
+                line = at - place[1]
+                for shift in shifts:
+                    chain = open_at.get(line + shift)
+                    if chain is not None and chain[-1][0] < at and chain[-1][1] < place[1]:
+                        del open_at[line + shift]
+                        chain.append(place)
+                        break
+                else:
+                    chain = [place]
+                    chains.append(chain)
+                open_at[line] = chain
+        return [*lines.values(), *chains]
+
+    @staticmethod
+    def _telling(own, item_kind, item_own, places) -> bool:
+        """Whether the places hold a literal word, or else mostly the item's own values.
+
+        A run of placeholders alone fits any table of numbers.
+        """
+        pairs = {(j + k, at + k) for at, j, width in places for k in range(width)}
+        if any(item_kind[j] not in (_NUM, _UNIT, _NAME) for j, _ in pairs):
+            return True
+        return sum(item_own[j] == own[at] for j, at in pairs) >= LEAST_CONSISTENT * len(pairs)
+
     @staticmethod
     def _consistency(own, item_kind, item_own, places) -> float:
         """Share of matched placeholders whose value stands for the value it mostly stands for."""

@@ -311,6 +311,25 @@ def test_benchmark_leaks(spark, odd):
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def leaked(items, text):
+    return {i for _, i, _, _ in decontaminate.Templates(list(range(len(items))), items).search(pa.array([text]))}
+
+
+def test_siblings_do_not_hide_a_leak():
+    item = "A train leaves the city of Porto with 120 people and after 3 stops there are 45 people left in it, so how many went?"
+    one = item.replace("Porto", "Lyon").replace("120", "300").replace("3 stops", "7 stops").replace("45", "81")
+    two = item.replace("Porto", "Turin").replace("120", "90").replace("3 stops", "2 stops").replace("45", "17")
+    assert leaked([item], f"{item} {one}") == leaked([item], f"{one} {item} {item} {two}") == {0}
+    assert leaked([item, one, two], f"1) {one} 2) {item} 3) {two}") == {0, 1, 2}
+    added = item.replace("people left in", "quite happy people left in")
+    assert leaked([item], f"{one} and {added} and {two}") == {0}
+    numbers = "add 4 8 15 16 23 42 99 7 5 and then halve what you found in the end to get it"
+    table = " ".join(str(x * 37 % 101) for x in range(300))
+    assert leaked([numbers], f"{table} {numbers} {table}") == {0}
+    assert leaked(["4 8 15 16 23 42 99 7 5"], table) == set()
+    assert leaked(["4 8 15 16 23 42 99 7 5"], f"{table} 4 8 15 16 23 42 99 7 5 {table}") == {0}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
