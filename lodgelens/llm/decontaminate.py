@@ -102,6 +102,10 @@ class Templates:
                 whole[n].append(i)
             for j, h in enumerate(found.tolist()):
                 rows[width].append((h, i, j))
+            # What comes before the item decides how its first word is read in a document.
+            for first in {int(o[0]), int(_NAME), int(_UNIT)} - {int(k[0])}:
+                other = np.append(np.uint64(first), k[1:width])
+                rows[width].append((int(rolled(other, np.zeros(width, np.int64), width)[0][0]), i, 0))
         self.widths = {}
         for width, entries in rows.items():
             entries.sort()
@@ -128,7 +132,10 @@ class Templates:
                 for i, j in where[a:b].tolist():
                     if i in self.short and start[owner[m] + 1] - start[owner[m]] != width:
                         continue
-                    hits[int(owner[m]), i].append((int(inside[m]), j, width))
+                    at, (_, item_kind, item_own) = inside[m], self.items[i]
+                    if j == 0 and kind[at] != item_kind[0] and own[at] != item_own[0]:
+                        continue  # read in another way, it must be the same word
+                    hits[int(owner[m]), i].append((int(at), j, width))
         out = []
         for (d, i), places in hits.items():
             item, item_kind, item_own = self.items[i]

@@ -330,6 +330,15 @@ def test_siblings_do_not_hide_a_leak():
     assert leaked(["4 8 15 16 23 42 99 7 5"], f"{table} 4 8 15 16 23 42 99 7 5 {table}") == {0}
 
 
+@pytest.mark.parametrize("before", ["", "Question:", "Q:", "A Heading\n", 'He said "no."', "they asked me", "3.", "(12)", "Over."])
+def test_opening_word_after_anything(before):
+    items = ["What is the capital of France?", "Days have how many long hours", "- Who wrote it down"]
+    for i, item in enumerate(items):
+        assert leaked(items, f"{before} {item} and so on") == {i}
+    assert leaked(items, f"{before} Who wrote it down") == {2}
+    assert leaked(items, f"{before} Paris is the capital of France. Weeks have how many long hours? Bob wrote it down") == set()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
