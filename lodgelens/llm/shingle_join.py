@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelens.llm.graph import components
-from lodgelens.llm.words import mix, shingles, slices
+from lodgelens.llm.words import mix, release_memory, shingles, slices
 from lodgelens.session import materialise
 
 WIDTH = 5
@@ -43,9 +43,9 @@ DIMENSIONS = 256
 LEAF = 32
 CHUNK = 1024
 #: Group keys per part of the packed exchange.
-PART_KEYS = 2_000_000
+PART_KEYS = 500_000
 #: Group keys that a task holds before it sends them.
-BUFFER_KEYS = 1_000_000
+BUFFER_KEYS = 250_000
 
 
 def digests(found: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -206,6 +206,8 @@ def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
             yield pa.record_batch(
                 [pa.array(key[to].view(np.int64)), pa.array(owner[to]), pa.array(number[to])], names=["key", "owner", "sets"]
             )
+        del key, owner, number, kept, order, ranked, same
+        release_memory()
 
     packed = _packed_keys(docs, parts)
     return packed.repartition(parts, "part").mapInArrow(repeated, "key long, owner long, sets long")

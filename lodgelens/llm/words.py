@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,29 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _PLACES = mix(np.arange(1001, 1065, dtype=np.uint64) * _ODD) | np.uint64(1)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def release_memory() -> None:
+    """Give memory that was freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``SLICE_BYTES`` of ``column`` and ``SLICE_ROWS`` rows."""
+    try:
+        yield from _slices(batches, column)
+    finally:
+        release_memory()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
