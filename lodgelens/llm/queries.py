@@ -10,6 +10,7 @@ from lodgelens.llm import (
     language_id,
     license_scan,
     lm_scoring,
+    merkle_manifest,
     packing,
     pii,
     shingle_join,
@@ -35,6 +36,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text; needs ``crc_table`` in FROM."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
+    step = "lambda c, b: xor(c >> 8, crc_bytes[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), {step}), 4294967295)"
+
+
+#: The 256 remainders of the reflected polynomial, as one row with one list.
+CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY i) AS crc_bytes FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)))"""
+
+
+def manifest_sql(levels: int = 12) -> str:
+    """The tree of ``op11``, level by level, for up to 8^levels rows of a language and as many languages."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        CRC_TABLE,
+        f"""leaves AS (SELECT row_number() OVER () AS id, doc_id, CASE WHEN lang IS NULL THEN '' ELSE 'v' || lang END AS g, {leaf("text")} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS changed
+  FROM documents, crc_table)""",
+        """a0 AS (SELECT id, g, leaf AS digest, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY g) AS n FROM leaves)""",
+        "p0 AS (SELECT id, g, pos, changed AS folded, '' AS proof FROM a0 JOIN leaves USING (id, g))",
+    ]
+
+    def climb(name: str, path: str, key: str, last: int) -> None:
+        for i in range(last):
+            parts.append(f"""{name}{i + 1} AS (SELECT {key}, pos // CASE WHEN n > 1 THEN 8 ELSE 1 END AS pos,
+  CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY {name}{i}.pos)) ELSE any_value(digest) END AS digest,
+  (any_value(n) + 7) // 8 AS n FROM {name}{i} GROUP BY {key}, pos // CASE WHEN n > 1 THEN 8 ELSE 1 END)""")
+            parts.append(f"""{path}{i + 1} AS (SELECT p.id, p.{key}, any_value(p.pos) // CASE WHEN any_value(s.n) > 1 THEN 8 ELSE 1 END AS pos,
+  CASE WHEN any_value(s.n) > 1 THEN sha256(string_agg(CASE WHEN s.pos = p.pos THEN p.folded ELSE s.digest END, '' ORDER BY s.pos)) ELSE any_value(p.folded) END AS folded,
+  any_value(p.proof) || coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos <> p.pos AND s.n > 1), '') AS proof
+  FROM {path}{i} p JOIN {name}{i} s ON s.{key} = p.{key} AND s.pos // 8 = p.pos // 8 GROUP BY p.id, p.{key})""")
+
+    climb("a", "p", "g", levels)
+    parts.append(f"b0 AS (SELECT 0 AS w, g, digest, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM a{levels})")
+    parts.append(f"q0 AS (SELECT id, w, b0.pos, folded, proof FROM p{levels} p JOIN b0 USING (g))")
+    climb("b", "q", "w", levels)
+    return f"""WITH {", ".join(parts)}
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(q.proof) AS proof_sha256, q.folded AS folded_root, q.folded = r.digest AS verified
+FROM leaves l JOIN q{levels} q USING (id) JOIN a{levels} s ON s.g = l.g CROSS JOIN b{levels} r"""
+
+
+@query("op11_merkle_manifest", manifest_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
