@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodgelens.llm import (
+    conversation_trie,
     decontaminate,
     embedding_dedup,
     language_id,
@@ -88,6 +89,39 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+TRIE_SQL = f"""WITH {CRC_TABLE},
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base FROM turns GROUP BY conv_id),
+convs AS (SELECT s.conv_id, s.base, s.n, {crc32_sql("s.conv_id::VARCHAR")} % 6 AS h, coalesce(b.n, 0) AS m
+  FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base CROSS JOIN crc_table),
+rebuilt AS (
+  SELECT c.conv_id, t.pos AS depth, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, c.m) + t.pos - c.h, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+prefixes AS (
+  SELECT conv_id, depth, text, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', '' FROM convs),
+stands AS (SELECT conv_id, depth, text, min(conv_id) OVER (PARTITION BY depth, path) AS node FROM prefixes),
+nodes AS (SELECT node, depth, count(*) AS n_convs, (count(*) - 1) * length(any_value(text)) AS saved FROM stands GROUP BY node, depth),
+named AS (SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN stands p ON p.conv_id = n.node AND p.depth = n.depth - 1),
+children AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM named WHERE depth > 0 GROUP BY parent, depth),
+family AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM named n LEFT JOIN children c USING (node, depth)),
+sums AS (SELECT a.node, a.depth, sum(f.saved)::BIGINT AS saved_tokens, sum((f.n_children = 0)::INT)::BIGINT AS n_leaves
+  FROM family f JOIN stands a ON a.conv_id = f.node AND a.depth <= f.depth GROUP BY a.node, a.depth),
+lasts AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+ends AS (SELECT a.node, a.depth, string_agg(a.conv_id::VARCHAR, ',' ORDER BY a.conv_id) AS ids FROM lasts l JOIN stands a USING (conv_id, depth) GROUP BY a.node, a.depth)
+SELECT f.node AS conv_id, f.depth::BIGINT AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM family f JOIN sums s USING (node, depth) LEFT JOIN ends e USING (node, depth)"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))

@@ -1,4 +1,4 @@
-"""Positions and running sums inside groups of any size, without a task per group."""
+"""Positions and running combinations inside groups of any size, without a task per group."""
 
 from __future__ import annotations
 
@@ -8,36 +8,27 @@ from pyspark.sql import functions as F
 from lodgelens.session import materialise
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], sums: list[str] | None = None, tasks: int | None = None) -> DataFrame:
-    """``rows`` with ``pos`` (from 0 inside each ``key``, in ``order``) and running sums of ``sums``.
+def numbered(rows: DataFrame, key: str, order: list[str], xors: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``pos`` (from 0 inside each ``key``, in ``order``) and running xors of ``xors``.
 
     Rows are dealt by range over key and order, so a key with a third of all rows is spread over many
     tasks; each range counts on its own and is shifted by what the ranges before it hold of the key.
-    Only one row per range and key is gathered for that. ``sums`` are long columns; they are replaced
-    by their running sum up to and with the row, modulo 2^64. The rows must not hold null keys.
+    Only one row per range and key is gathered for that. ``xors`` are long columns; they are replaced
+    by the exclusive or of all their values up to and with the row. Keys must not be null.
     """
-    sums = sums or []
-    # Sums of long values may wrap around: they are added in the halves of 32 bits, which cannot.
-    halves = {f"_{c}_{part}": value for c in sums for part, value in (("lo", F.col(c).bitwiseAND(0xFFFFFFFF)), ("hi", F.shiftrightunsigned(c, 32)))}
-    keys = [key, *order]
-    dealt = rows.repartitionByRange(tasks, *keys) if tasks else rows.repartitionByRange(*keys)
-    placed = materialise(dealt.withColumn("_range", F.spark_partition_id()).withColumns(halves), "ranges")
+    placed = materialise(rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy(key, "_range").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = placed.groupBy(key, "_range").agg(F.count("*").alias("_n"), *(F.sum(h).alias(f"{h}_all") for h in halves))
+    part = placed.groupBy(key, "_range").agg(F.count("*").alias("_n"), *(F.bit_xor(c).alias(f"_{c}") for c in xors))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = part.select(
-        key, "_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", *(f"{h}_all" for h in halves)))
+        key,
+        "_range",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+        *(F.coalesce(F.bit_xor(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in xors),
+    )
+    counted = placed.withColumns({"_at": F.row_number().over(inside) - 1, **{c: F.bit_xor(c).over(upto) for c in xors}})
+    kept = [c for c in rows.columns if c not in xors]
+    return counted.join(shift, [key, "_range"]).select(
+        *kept, (F.col("_at") + F.col("_n")).alias("pos"), *(F.col(c).bitwiseXOR(F.col(f"_{c}")).alias(c) for c in xors)
     )
-    counted = placed.withColumns({"_at": F.row_number().over(inside) - 1, **{h: F.sum(h).over(upto) for h in halves}})
-    joined = counted.join(shift, [key, "_range"])
-    total = {h: F.col(h) + F.col(f"{h}_all_before") for h in halves}
-    # 2^32 * high + low, kept inside 64 bits: only the lower half of the high sum counts.
-    wrapped = {
-        c: F.shiftleft((total[f"_{c}_hi"] + F.shiftright(total[f"_{c}_lo"], 32)).bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(
-            total[f"_{c}_lo"].bitwiseAND(0xFFFFFFFF)
-        )
-        for c in sums
-    }
-    kept = [c for c in rows.columns if c not in sums]
-    return joined.select(*kept, (F.col("_at") + F.col("_n_before")).alias("pos"), *(wrapped[c].alias(c) for c in sums))
