@@ -166,15 +166,16 @@ def _pack(entries: DataFrame, done: int) -> DataFrame:
     ``doc_id`` and ``changed`` of entries that are leaves stay with them.
     """
     leaves = "changed" in entries.columns
+    run, levels = RUN, LEVELS
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         digests = np.frombuffer(b"".join(table["digest"].to_pylist()), np.uint8).reshape(-1, 32)
-        k = max(0, min(LEVELS, table["depth"][0].as_py() - done))
+        k = max(0, min(levels, table["depth"][0].as_py() - done))
         nodes, states = midstate_levels(digests, k)
         columns = {
             "g": pa.array([table["g"][0].as_py()], pa.string()),
-            "chunk": pa.array([table["pos"][0].as_py() // RUN], pa.int64()),
+            "chunk": pa.array([table["pos"][0].as_py() // run], pa.int64()),
             "k": pa.array([k], pa.int32()),
             "n": pa.array([len(digests)], pa.int32()),
             "digests": pa.array([b"".join(x.tobytes() for x in nodes[: max(k, 1)])], pa.binary()),
@@ -237,8 +238,7 @@ def _with_paths(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
 
     ``above`` has one row per group: g, path (of its top) and further columns that are handed down.
     """
-    extra = [c for c in above.columns if c not in ("g", "path")]
-    held = None  # paths of the tops of the round below, by group and run
+    run, held = RUN, None  # paths of the tops of the round below, by group and run
     for i in reversed(range(len(rounds))):
         packed = rounds[i]
         here = packed.join(above, "g")
@@ -256,7 +256,7 @@ def _with_paths(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
                         b"".join(_step(nodes[level], states[level], at // FANOUT**level) for level in range(row["k"])) + row["path"]
                         for at in range(row["n"])
                     ]
-                    first = row["chunk"] * RUN
+                    first = row["chunk"] * run
                     yield pa.record_batch(
                         [
                             pa.array([row["g"]] * len(paths), pa.string()),
@@ -350,12 +350,13 @@ def manifest(docs: DataFrame) -> DataFrame:
     top_rounds, root = midstate_tree(entries)
     start = root.select("g", F.col("digest").alias("root"), F.lit("").cast("binary").alias("path"))
     lowest = _with_paths(top_rounds, start)
+    run = RUN
 
     def expand(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 nodes, states = _unpacked(row)
-                first = row["chunk"] * RUN
+                first = row["chunk"] * run
                 for at in range(row["n"]):
                     path = b"".join(_step(nodes[level], states[level], at // FANOUT**level) for level in range(row["k"]))
                     yield pa.record_batch(

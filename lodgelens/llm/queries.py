@@ -8,6 +8,7 @@ from lodgelens.llm import (
     conversation_trie,
     decontaminate,
     embedding_dedup,
+    html_text,
     language_id,
     license_scan,
     lm_scoring,
@@ -122,6 +123,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_html_extraction")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
