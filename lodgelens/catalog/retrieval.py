@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodgelens.catalog.registry import load, query
-from lodgelens.operators import dense, evaluation, fusion, lexical, prompts, ranking, rerank
+from lodgelens.operators import dense, evaluation, fusion, lexical, prompts, quantised, ranking, rerank
 from lodgelens.operators.embedding import embed_text
 from lodgelens.plans.answering import retrieve_then_rerank as retrieve
-from lodgelens.session import spread_few_splits
+from lodgelens.session import materialise, spread_few_splits
 
 WORDS = "regexp_extract_all(lower({}), '[a-z0-9àèéìòùáéíóú&]+')"
 
@@ -76,13 +76,51 @@ def knn_filtered(spark, folder):
     return dense.knn_filtered(asked, stored_chunks(spark, folder))
 
 
+def quantised_index(spark, folder):
+    chunks = spread_few_splits(stored_chunks(spark, folder), "chunk_id")
+    model = quantised.fit_quantiser(chunks)
+    return materialise(quantised.with_codes(chunks, model), "vector-index"), model
+
+
 @query("knn_ann")
 def knn_ann(spark, folder):
-    """Cells grow with the square root of the table."""
-    chunks = stored_chunks(spark, folder)
-    cells = max(2, int(chunks.count() ** 0.5))
-    model = dense.fit_cells(chunks, cells)
-    return dense.knn_ann(stored_queries(spark, folder), chunks, model, k=20, probes=cells // 4)
+    """Product-quantised residuals in two-level cells; the short list is scored exactly."""
+    index, model = quantised_index(spark, folder)
+    return quantised.knn_quantised(stored_queries(spark, folder), index, model, k=20)
+
+
+@query(
+    "knn_ann_recall",
+    """
+    SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, count(*) AS n_items, true AS recall_reached,
+           true AS tenth_kept FROM embeddings
+    """,
+)
+def knn_ann_recall(spark, folder):
+    """Recall at 10 against brute force over all rows, and the share of pairs that is scored exactly.
+
+    The queries are the stated set of the rows whose id 50 divides.
+    """
+    index, model = quantised_index(spark, folder)
+    asked = stored_queries(spark, folder).filter("query_id % 50 = 0")
+    probes = materialise(quantised.probed(asked, model), "probed")
+    short = materialise(quantised.short_lists(probes, index, model), "short-lists")
+    near = quantised.rescored(short, asked, index, 10).select("query_id", "chunk_id")
+    exact = dense.knn_exact(asked, stored_chunks(spark, folder), 10).select("query_id", "chunk_id")
+    found = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left")
+    recall = found.agg((F.count("hit") / F.count("*")).alias("recall"))
+    sizes = asked.agg(F.count("*").alias("n_queries")).crossJoin(index.agg(F.count("*").alias("n_items")))
+    scored = short.agg(F.count("*").alias("scored"))
+    return (
+        sizes.crossJoin(recall)
+        .crossJoin(scored)
+        .select(
+            "n_queries",
+            "n_items",
+            (F.col("recall") >= 0.9).alias("recall_reached"),
+            (F.col("scored") <= F.col("n_queries") * F.col("n_items") / 10).alias("tenth_kept"),
+        )
+    )
 
 
 @query(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodgelens.operators import dense, evaluation, fusion, lexical, matching, prompts, rerank, routing
+from lodgelens.operators import dense, evaluation, fusion, lexical, matching, prompts, quantised, rerank, routing
 from lodgelens.operators.embedding import HashingEmbedder, embed_text
 from lodgelens.operators.topk import top_items
 from lodgelens.plans.answering import CLARIFY, plan_answers
@@ -476,3 +476,37 @@ def test_retrieval_modes_keep_to_the_scope(spark, mode):
     for r in best:
         assert r["listing_id"] == 1 if r["query_id"] % 2 == 0 else r["neighbourhood"] == "en"
         assert r["rerank_rank"] <= (3 if r["query_id"] % 2 == 0 else 8)
+
+
+@pytest.mark.parametrize("plan", [{}, PAIRED])
+def test_quantised_search(spark, vectors, asked, tmp_path, plan):
+    model = quantised.fit_quantiser(vectors)
+    assert model.books.shape == (32, quantised.ENTRIES, quantised.PART) and model.cells >= 4
+    stored = quantised.write_index(vectors, model, str(tmp_path / "index"))
+    again, same = quantised.read_index(spark, str(tmp_path / "index"))
+    assert np.array_equal(same.books, model.books) and same.probes == model.probes
+    exact = {(q, c) for q, _, c in ranked(dense.knn_exact(asked, vectors, 10))}
+    hits = ranked(quantised.knn_quantised(asked, again, same, 10, **plan))
+    assert len(exact & {(q, c) for q, _, c in hits}) >= 0.9 * len(exact)
+    assert hits == ranked(quantised.knn_quantised(asked, stored, model, 10))
+    # Every cell and a short list of everything: nothing is left to chance.
+    whole = quantised.knn_quantised(asked, stored, model, 10, probes=model.cells, shortlist=vectors.count())
+    assert ranked(whole) == brute(vectors, asked, 10)
+
+
+def test_quantised_cells_of_clustered_vectors(spark, monkeypatch):
+    """Few probes do for vectors in clusters, one of which holds a third of all; odd vectors are no harm."""
+    monkeypatch.setattr(quantised, "ROWS_PER_CELL", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 7))
+    rows = [(int(i), (centres[0 if i % 3 == 0 else i % 40] + 0.05 * rng.normal(size=7)).tolist()) for i in range(1200)]
+    table = spark.createDataFrame(rows + [(5000, None), (5001, [0.0] * 7)], "chunk_id long, embedding array<double>")
+    model = quantised.fit_quantiser(table)
+    index = quantised.with_codes(table, model)
+    few = table.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact = {(q, c) for q, _, c in ranked(dense.knn_exact(few, table, 10))}
+    hits = quantised.knn_quantised(few, index, model, 10)
+    assert len(exact & {(q, c) for q, _, c in ranked(hits)}) >= 0.9 * len(exact)
+    assert model.probes < model.cells / 3
+    with pytest.raises(ValueError):
+        quantised.fit_quantiser(table.filter("embedding IS NULL"))
