@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.catalog.registry import load, query
@@ -108,18 +111,22 @@ def knn_ann_recall(spark, folder):
     near = quantised.rescored(short, asked, index, 10).select("query_id", "chunk_id")
     exact = dense.knn_exact(asked, stored_chunks(spark, folder), 10).select("query_id", "chunk_id")
     found = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left")
-    recall = found.agg((F.count("hit") / F.count("*")).alias("recall"))
-    sizes = asked.agg(F.count("*").alias("n_queries")).crossJoin(index.agg(F.count("*").alias("n_items")))
-    scored = short.agg(F.count("*").alias("scored"))
-    return (
-        sizes.crossJoin(recall)
-        .crossJoin(scored)
-        .select(
-            "n_queries",
-            "n_items",
-            (F.col("recall") >= 0.9).alias("recall_reached"),
-            (F.col("scored") <= F.col("n_queries") * F.col("n_items") / 10).alias("tenth_kept"),
-        )
+    counts = [
+        asked.agg(F.lit("queries").alias("what"), F.count("*").alias("n")),
+        index.agg(F.lit("items").alias("what"), F.count("*").alias("n")),
+        short.agg(F.lit("scored").alias("what"), F.count("*").alias("n")),
+        found.agg(F.lit("wanted").alias("what"), F.count("*").alias("n")),
+        found.agg(F.lit("found").alias("what"), F.count("hit").alias("n")),
+    ]
+
+    def of(what: str):
+        return F.max(F.when(F.col("what") == what, F.col("n")))
+
+    return reduce(DataFrame.union, counts).agg(
+        of("queries").alias("n_queries"),
+        of("items").alias("n_items"),
+        (of("found") >= 0.9 * of("wanted")).alias("recall_reached"),
+        (of("scored") <= of("queries") * of("items") / 10).alias("tenth_kept"),
     )
 
 
