@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.catalog.registry import load, query
-from lodgelens.operators import dense, evaluation, fusion, lexical, prompts, quantised, ranking, rerank
+from lodgelens.operators import dense, evaluation, fusion, lexical, postings, prompts, quantised, ranking, rerank
 from lodgelens.operators.embedding import embed_text
 from lodgelens.plans.answering import retrieve_then_rerank as retrieve
-from lodgelens.session import materialise, spread_few_splits
+from lodgelens.session import materialise, scratch_path, spread_few_splits
 
 WORDS = "regexp_extract_all(lower({}), '[a-z0-9àèéìòùáéíóú&]+')"
 
@@ -310,6 +310,17 @@ def lexical_topk(spark, folder):
     return lexical.lexical_topk(text_queries(spark, folder), text_chunks(spark, folder))
 
 
+@query("lexical_index_topk", f"WITH {BM25_SQL} SELECT query_id, rank, chunk_id, score FROM bm25_top")
+def lexical_index_topk(spark, folder):
+    """The same search from a stored index of postings, in two batches of questions."""
+    path = scratch_path(spark, "text-index")
+    postings.build_text_index(text_chunks(spark, folder), path)
+    asked = text_queries(spark, folder)
+    even = F.col("query_id") % 2 == 0
+    first, second = (postings.search_text_index(asked.filter(batch), path) for batch in (even, ~even))
+    return first.union(second)
+
+
 @query(
     "hybrid_fuse",
     f"""

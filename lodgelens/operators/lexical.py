@@ -106,8 +106,10 @@ def lexical_topk(
 
     Two passes over the texts: word statistics, then the scores. Stored ``statistics`` of
     the whole table (see :func:`word_statistics`) save the first one. With ``filtered``
-    the queries' own filters apply ahead of the ranking; word statistics stay global.
+    the queries' own filters apply ahead of the ranking; word statistics stay global. A null
+    text is no text.
     """
+    chunks = chunks.filter(F.col("chunk_text").isNotNull())
     split = words(F.col("chunk_text")).alias("words")
     docs = chunks.select(F.col("chunk_id").alias("item_id"), split)
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("t"))

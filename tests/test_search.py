@@ -6,7 +6,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodgelens.operators import dense, evaluation, fusion, lexical, matching, prompts, quantised, rerank, routing
+from lodgelens.operators import (
+    dense,
+    evaluation,
+    fusion,
+    lexical,
+    matching,
+    postings,
+    prompts,
+    quantised,
+    rerank,
+    routing,
+)
 from lodgelens.operators.embedding import HashingEmbedder, embed_text
 from lodgelens.operators.topk import top_items
 from lodgelens.plans.answering import CLARIFY, plan_answers
@@ -510,3 +521,37 @@ def test_quantised_cells_of_clustered_vectors(spark, monkeypatch):
     assert model.probes < model.cells / 3
     with pytest.raises(ValueError):
         quantised.fit_quantiser(table.filter("embedding IS NULL"))
+
+
+@pytest.mark.parametrize("pushed", [0, 10_000])
+def test_text_index_gives_the_same_rows(spark, monkeypatch, tmp_path, pushed):
+    """Whatever is skipped: common words, ties, texts without words, null questions, few texts."""
+    monkeypatch.setattr(postings, "PUSHED_TERMS", pushed)
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    share = np.array([1 / (i + 1) for i in range(60)])
+    texts = [" ".join(rng.choice(vocabulary, int(n), p=share / share.sum())) for n in rng.integers(1, 40, 400)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:30], "", None, "w0 " * 5000])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, chunk_text string").repartition(4)
+    asks = [(i, " ".join(rng.choice(vocabulary, 6))) for i in range(25)] + [(90, None), (91, ""), (92, "unheard words"), (93, "w0")]
+    queries = spark.createDataFrame(asks, "query_id long, query string")
+    postings.build_text_index(chunks, str(tmp_path / "index"))
+    for k in (1, 5, 500):
+        want = lexical.lexical_topk(queries, chunks, k).collect()
+        found = postings.search_text_index(queries, str(tmp_path / "index"), k).collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, want))
+    weighed = postings.weighed_terms(queries, str(tmp_path / "index"), 3)
+    assert weighed.filter("weak").count() > 0
+    one = queries.filter("query_id = 93")
+    read = postings.wanted_blocks(postings.weighed_terms(one, str(tmp_path / "index"), 3), str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert {r["term"] for r in read.select("term").distinct().collect()} == {"w0"}
+    assert 0 < read.count() < stored.filter("term = 'w0'").count()
+
+
+def test_text_index_of_nothing(spark, tmp_path):
+    chunks = spark.createDataFrame([], "chunk_id long, chunk_text string")
+    postings.build_text_index(chunks, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    assert postings.search_text_index(asked, str(tmp_path / "index")).count() == 0
