@@ -5,12 +5,16 @@
    shares a bucket at ``MISS``, whatever the number of vectors.
 2. Refinement: for every vector, its neighbours (and those whose list it is in) are compared with each
    other; each keeps its nearest. This repeats until no round finds new links.
-3. Saturation: a list full of links hides others. Lists grow to the whole component: members of a
-   component of links are compared with all its members, in blocks, and only counts leave a block.
+3. Saturation: a list full of links hides others. Components with more members than a list holds are
+   contracted to one member each, and lists are made anew among these and the other vectors. Two vectors
+   that link are at most their components' radii and the threshold's angle apart in these members, so
+   every pair of components that near is compared in full, in blocks. This repeats until nothing joins.
+   Then all members of a component are compared with each other, and only counts leave a block.
 4. Audit: vectors picked by hash are compared with all vectors. If too few of their links were found,
-   more tables and another refinement follow.
+   more tables and another refinement follow; a recall below ``REQUIRED_RECALL`` is an error.
 
-Similarities are double precision. Buckets and components of any size are dealt into chunks.
+Equal vectors are one node with a count. Similarities are double precision. Buckets and components of
+any size are dealt into chunks.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ MISS = 0.005
 MAX_ROUNDS = 4
 #: Vectors of the audit and the share of their links that must have been found.
 AUDIT, LEAST_RECALL = 256, 0.98
+#: Recall without which no result is given, and refinements tried for it.
+REQUIRED_RECALL, MAX_SEEDS = 0.9, 8
 #: Nodes per task of the refinement.
 NODES_PER_GROUP = 2000
 
@@ -133,14 +139,14 @@ def refined(lists: DataFrame, nodes: DataFrame, groups: int) -> DataFrame:
 
 
 def _link_counts(members: DataFrame, nodes: DataFrame, groups: int) -> DataFrame:
-    """vec_id, n_links: links of each member (node, root) to members of its component."""
+    """vec_id, n_links: vectors of other nodes of its component that each member (node, root) links with."""
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    rows = members.join(sizes, "root").join(nodes.select(F.col("vec_id").alias("node"), "v", "d"), "node")
+    rows = members.join(sizes, "root").join(nodes.select(F.col("vec_id").alias("node"), "v", "d", "m"), "node")
     chunk = F.pmod(F.hash("node"), F.col("chunks"))
     paired = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     small = F.col("chunks") == 1  # small components share a group; the task tells them apart
     keyed = paired.select(
-        "node", "root", "v", "chunk",
+        "node", "root", "v", "m", "chunk",
         F.when(small, -1 - F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root")).alias("g"),
         F.when(small, -1).otherwise(F.least("chunk", "other")).alias("i"),
         F.when(small, F.col("d")).otherwise(F.greatest("chunk", "other")).alias("j"),
@@ -148,35 +154,36 @@ def _link_counts(members: DataFrame, nodes: DataFrame, groups: int) -> DataFrame
 
     def count(table: pa.Table) -> pa.Table:
         ids, root, part, x = table["node"].to_numpy(), table["root"].to_numpy(), table["chunk"].to_numpy(), _matrix(table["v"])
-        links = np.zeros(len(ids), np.int64)
+        links, many = np.zeros(len(ids), np.int64), table["m"].to_numpy()
         order = np.argsort(root, kind="stable")
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         for at in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
             if i == j or i < 0:
-                links[at] = (x[at] @ x[at].T >= THRESHOLD).sum(axis=1) - (np.einsum("ij,ij->i", x[at], x[at]) >= THRESHOLD)
+                links[at] = (x[at] @ x[at].T >= THRESHOLD) @ many[at] - many[at]
             else:
                 one, two = at[part[at] == i], at[part[at] == j]
                 near = x[one] @ x[two].T >= THRESHOLD
-                links[one], links[two] = near.sum(axis=1), near.sum(axis=0)
+                links[one], links[two] = near @ many[two], many[one] @ near
         return pa.table({"vec_id": pa.array(ids), "n": pa.array(links)})
 
     return keyed.groupBy("g", "i", "j").applyInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
 def _audited_recall(nodes: DataFrame, counts: DataFrame) -> float:
-    """Share of the links of the audited vectors that were found; half of these have links."""
+    """Share of a vector's links that were found, as mean over the audited; half of these have links."""
     order = [F.xxhash64("vec_id"), F.col("vec_id")]
     some = nodes.select("vec_id").orderBy(*order).limit(AUDIT // 2)
     linked = counts.where("n_links > 0").select("vec_id").orderBy(*order).limit(AUDIT // 2)
     picked = nodes.join(F.broadcast(some.union(linked).distinct()), "vec_id").collect()  # AUDIT vectors at most
     queries = {r["vec_id"]: np.array(r["v"]) for r in picked}
+    copies = {r["vec_id"]: r["m"] for r in picked}
 
     def scan(batches):
         total = dict.fromkeys(queries, 0)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, ids = batch["d"].to_numpy(), batch["vec_id"].to_numpy()
+            d, many = batch["d"].to_numpy(), batch["m"].to_numpy()
             for size in np.unique(d):
                 at = np.flatnonzero(d == size)
                 x = _matrix(batch["v"].take(pa.array(at)))
@@ -184,14 +191,62 @@ def _audited_recall(nodes: DataFrame, counts: DataFrame) -> float:
                 if same:
                     near = np.stack([queries[q] for q in same]) @ x.T >= THRESHOLD
                     for q, row in zip(same, near, strict=True):
-                        total[q] += int(row.sum()) - int((ids[at][row] == q).sum())
+                        total[q] += int(many[at][row].sum())
         yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["vec_id", "n"])
 
     if not queries:
         return 1.0
     truth = nodes.mapInArrow(scan, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    both = truth.join(counts, "vec_id", "left").agg(F.sum("n"), F.sum(F.coalesce("n_links", F.lit(0)))).first()
-    return (both[1] or 0) / both[0] if both[0] else 1.0
+    own = nodes.sparkSession.createDataFrame([(int(q), int(m)) for q, m in copies.items()], "vec_id long, own long")
+    both = truth.join(own, "vec_id").withColumn("n", F.col("n") - F.col("own")).where("n > 0").join(counts, "vec_id", "left")
+    mean = both.agg(F.avg(F.coalesce("n_links", F.lit(0)) / F.col("n"))).first()[0]
+    return 1.0 if mean is None else mean
+
+
+def _bridges(roots: DataFrame, nodes: DataFrame, n: int, tables: int, bits: int, seed: int) -> DataFrame:
+    """Links (a, b) between components (node, root) too large for their members' lists."""
+    groups = max(1, n // NODES_PER_GROUP)
+    full = roots.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > NEIGHBOURS).select("root")
+    inside = roots.join(full, "root")
+    vector = nodes.select(F.col("vec_id").alias("node"), "v")
+    first = vector.select(F.col("node").alias("root"), F.col("v").alias("c"))
+    dot = F.aggregate(F.zip_with("v", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    angle = lambda cosine: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    spread = inside.join(vector, "node").join(first, "root").groupBy("root").agg(angle(F.min(dot)).alias("r"))
+    spread = materialise(spread, "spread")
+    # A contracted component is its smallest member; nodes outside of such components are themselves.
+    others = nodes.join(inside.select(F.col("node").alias("vec_id")).where("node <> root"), "vec_id", "left_anti")
+    others = materialise(others, "contracted")
+    lists = _lists(starting_lists(others, n, tables, bits, seed))
+    lists = materialise(_lists(lists.union(refined(materialise(lists, "lists"), others, groups))), "lists")
+    near = lists.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").distinct()
+    radius = lambda side: spread.select(F.col("root").alias(side), F.col("r").alias(f"r_{side}"))
+    reach = F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))
+    near = near.join(radius("a"), "a", "left").join(radius("b"), "b", "left").where("r_a IS NOT NULL OR r_b IS NOT NULL")
+    wanted = materialise(near.where(angle(F.col("s")) <= reach + math.acos(THRESHOLD) + 1e-9).select("a", "b"), "component-pairs")
+
+    whole = inside.union(nodes.select(F.col("vec_id").alias("node"), F.col("vec_id").alias("root")).join(full, "root", "left_anti").select("root", "node"))
+    whole = whole.select("root", "node")
+    sizes = whole.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    asked = wanted.join(sizes.toDF("a", "i_n"), "a").join(sizes.toDF("b", "j_n"), "b")
+    held = whole.join(nodes.select(F.col("vec_id").alias("node"), "v"), "node")
+    of = lambda side, own, other: asked.join(held.withColumnRenamed("root", side), side).select(
+        "a", "b", F.lit(side).alias("side"), F.pmod(F.hash("node"), F.col(own)).alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "node", "v",
+    )
+    left = of("a", "i_n", "j_n").withColumnsRenamed({"own": "i", "other": "j"})
+    right = of("b", "j_n", "i_n").withColumnsRenamed({"own": "j", "other": "i"})
+
+    def meet(table: pa.Table) -> pa.Table:
+        one = np.array(table["side"].to_pylist()) == "a"
+        ids, x = table["node"].to_numpy(), _matrix(table["v"])
+        close = x[one] @ x[~one].T >= THRESHOLD
+        if not close.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        i, j = np.unravel_index(close.argmax(), close.shape)
+        return pa.table({"a": pa.array([ids[one][i]]), "b": pa.array([ids[~one][j]])})
+
+    return left.unionByName(right).groupBy("a", "b", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -202,7 +257,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     (the largest). A null vec_id has no links, a null component and is kept. Other columns are ignored;
     an empty table gives no rows. Runs Spark jobs when called.
     """
-    nodes = materialise(usable_vectors(vectors), "vectors")
+    usable = materialise(usable_vectors(vectors), "vectors")
+    copies = usable.groupBy("v", "d").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+    nodes = materialise(copies.select(F.col("rep").alias("vec_id"), "v", "d", "m"), "nodes")
     n = nodes.count()
     groups = max(1, n // NODES_PER_GROUP)
     bits = max(0, round(math.log2(max(n, 1) / PER_BUCKET)))
@@ -218,14 +275,28 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             before, links = links, lists.where(F.col("s") >= THRESHOLD).count()
             if links <= before:
                 break
-        roots = materialise(components(lists.where(F.col("s") >= THRESHOLD).select("a", "b")), "roots")
+        found = lists.where(F.col("s") >= THRESHOLD).select("a", "b")
+        roots = materialise(components(found), "roots")
+        while roots.groupBy("root").count().where(F.col("count") > NEIGHBOURS).limit(1).count():
+            bridges = materialise(_bridges(roots, nodes, n, tables, bits, seed), "bridges")
+            if not bridges.limit(1).count():
+                break
+            found = found.union(bridges)
+            roots = materialise(components(found), "roots")
         counts = materialise(_link_counts(roots, nodes, groups), "counts")
         seed += 1
-        if seed == 3 or _audited_recall(nodes, counts) >= LEAST_RECALL:
+        recall = _audited_recall(nodes, counts)
+        if recall >= LEAST_RECALL or (seed >= 3 and recall >= REQUIRED_RECALL):
             break
+        if seed == MAX_SEEDS:
+            raise RuntimeError(f"only {recall:.3f} of the links were found")
         edges = lists
-    found = roots.select(F.col("node").alias("vec_id"), "root").join(counts, "vec_id")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(found, "vec_id", "left")
+    by_node = nodes.join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(counts, "vec_id", "left")
+    by_node = by_node.select(
+        "v", "d", F.coalesce("root", "vec_id").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links")
+    )
+    by_vector = usable.join(by_node, ["v", "d"]).select("vec_id", "root", "n_links")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(by_vector, "vec_id", "left")
     component = F.coalesce("root", "vec_id")
     return rows.select(
         "vec_id",
