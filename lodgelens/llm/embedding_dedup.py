@@ -13,7 +13,7 @@
 4. Audit: vectors picked by hash are compared with all vectors. If too few of their links were found,
    more tables and another refinement follow; a recall below ``REQUIRED_RECALL`` is an error.
 
-Equal vectors are one node with a count. Similarities are double precision. Buckets and components of
+Equal vectors (by two 64-bit hashes) are one node with a count. Similarities are double precision. Buckets and components of
 any size are dealt into chunks.
 """
 
@@ -79,8 +79,11 @@ def _edges(a, b, s) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
 
 
-def starting_lists(nodes: DataFrame, n: int, tables: int, bits: int, seed: int) -> DataFrame:
-    """Edges (a, b, s) to the nearest others in each bucket of ``tables`` random partitions."""
+def starting_lists(nodes: DataFrame, n: int, tables: int, bits: int, seed: int, only: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b, s) to the nearest others in each bucket of ``tables`` random partitions.
+
+    With ``only`` (vec_id), buckets without any of these vectors are left out.
+    """
 
     def sign(batches):
         for batch in batches:
@@ -101,6 +104,9 @@ def starting_lists(nodes: DataFrame, n: int, tables: int, bits: int, seed: int)
 
     signed = nodes.mapInArrow(sign, "vec_id long, v array<double>, d int, buckets array<long>")
     rows = materialise(signed, "signed").select("vec_id", "v", "d", F.posexplode("buckets").alias("t", "bucket"))
+    if only is not None:
+        asked = rows.select("vec_id", "t", "d", "bucket").join(only, "vec_id", "left_semi").select("t", "d", "bucket").distinct()
+        rows = rows.join(asked, ["t", "d", "bucket"], "left_semi").select("vec_id", "v", "d", "t", "bucket")
     sizes = rows.groupBy("t", "d", "bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = rows.join(sizes, ["t", "d", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id", "t", F.lit(seed)), F.col("chunks")))
 
@@ -216,8 +222,7 @@ def _bridges(roots: DataFrame, nodes: DataFrame, n: int, tables: int, bits: int,
     spread = materialise(spread, "spread")
     # A contracted component is its smallest member; nodes outside of such components are themselves.
     others = nodes.join(inside.select(F.col("node").alias("vec_id")).where("node <> root"), "vec_id", "left_anti")
-    others = materialise(others, "contracted")
-    lists = _lists(starting_lists(others, n, tables, bits, seed))
+    lists = _lists(starting_lists(others, n, tables, bits, seed, full.select(F.col("root").alias("vec_id"))))
     lists = materialise(_lists(lists.union(refined(materialise(lists, "lists"), others, groups))), "lists")
     near = lists.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").distinct()
     radius = lambda side: spread.select(F.col("root").alias(side), F.col("r").alias(f"r_{side}"))
@@ -258,8 +263,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     an empty table gives no rows. Runs Spark jobs when called.
     """
     usable = materialise(usable_vectors(vectors), "vectors")
-    copies = usable.groupBy("v", "d").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    nodes = materialise(copies.select(F.col("rep").alias("vec_id"), "v", "d", "m"), "nodes")
+    same = usable.select("vec_id", "d", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    copies = materialise(same.groupBy("h1", "h2", "d").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "copies")
+    nodes = usable.join(copies.select(F.col("rep").alias("vec_id"), "m"), "vec_id").select("vec_id", "v", "d", "m")
+    nodes = materialise(nodes, "nodes")
     n = nodes.count()
     groups = max(1, n // NODES_PER_GROUP)
     bits = max(0, round(math.log2(max(n, 1) / PER_BUCKET)))
@@ -291,11 +298,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         if seed == MAX_SEEDS:
             raise RuntimeError(f"only {recall:.3f} of the links were found")
         edges = lists
-    by_node = nodes.join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(counts, "vec_id", "left")
+    by_node = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left")
     by_node = by_node.select(
-        "v", "d", F.coalesce("root", "vec_id").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links")
+        "h1", "h2", "d", F.coalesce("root", "rep").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links")
     )
-    by_vector = usable.join(by_node, ["v", "d"]).select("vec_id", "root", "n_links")
+    by_vector = same.join(by_node, ["h1", "h2", "d"]).select("vec_id", "root", "n_links")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(by_vector, "vec_id", "left")
     component = F.coalesce("root", "vec_id")
     return rows.select(
