@@ -211,7 +211,6 @@ def _audited_recall(nodes: DataFrame, counts: DataFrame) -> float:
 
 def _bridges(roots: DataFrame, nodes: DataFrame, n: int, tables: int, bits: int, seed: int) -> DataFrame:
     """Links (a, b) between components (node, root) too large for their members' lists."""
-    groups = max(1, n // NODES_PER_GROUP)
     full = roots.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > NEIGHBOURS).select("root")
     inside = roots.join(full, "root")
     vector = nodes.select(F.col("vec_id").alias("node"), "v")
@@ -222,13 +221,12 @@ def _bridges(roots: DataFrame, nodes: DataFrame, n: int, tables: int, bits: int,
     spread = materialise(spread, "spread")
     # A contracted component is its smallest member; nodes outside of such components are themselves.
     others = nodes.join(inside.select(F.col("node").alias("vec_id")).where("node <> root"), "vec_id", "left_anti")
-    lists = _lists(starting_lists(others, n, tables, bits, seed, full.select(F.col("root").alias("vec_id"))))
-    lists = materialise(_lists(lists.union(refined(materialise(lists, "lists"), others, groups))), "lists")
-    near = lists.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").distinct()
+    start = starting_lists(others, n, tables, bits, seed, full.select(F.col("root").alias("vec_id")))
+    near = start.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
     radius = lambda side: spread.select(F.col("root").alias(side), F.col("r").alias(f"r_{side}"))
     reach = F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))
     near = near.join(radius("a"), "a", "left").join(radius("b"), "b", "left").where("r_a IS NOT NULL OR r_b IS NOT NULL")
-    wanted = materialise(near.where(angle(F.col("s")) <= reach + math.acos(THRESHOLD) + 1e-9).select("a", "b"), "component-pairs")
+    wanted = materialise(near.where(angle(F.col("s")) <= reach + math.acos(THRESHOLD) + 1e-9).select("a", "b").distinct(), "component-pairs")
 
     whole = inside.union(nodes.select(F.col("vec_id").alias("node"), F.col("vec_id").alias("root")).join(full, "root", "left_anti").select("root", "node"))
     whole = whole.select("root", "node")
