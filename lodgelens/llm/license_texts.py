@@ -5,6 +5,7 @@ SPELLINGS = (
     ("licence", "license"),
     ("licences", "licenses"),
     ("licenced", "licensed"),
+    ("sublicence", "sublicense"),
     ("sub license", "sublicense"),
     ("non infringement", "noninfringement"),
     ("merchantibility", "merchantability"),
@@ -66,6 +67,47 @@ freely, subject to the following restrictions:
    misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_BSD_TWO = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+_BSD_NAMES = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+_BSD_WARRANTY = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
 LICENSES = (
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -75,6 +117,11 @@ LICENSES = (
     ("0BSD", _ISC_GRANT + "." + _ISC_WARRANTY),
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("BSD-2-Clause", _BSD_TWO + _BSD_WARRANTY),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_TWO + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD_TWO + _BSD_NAMES + _BSD_WARRANTY),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_TWO + _BSD_NAMES + _BSD_WARRANTY),
+    ("Apache-2.0", _APACHE_HEADER),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),

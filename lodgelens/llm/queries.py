@@ -143,7 +143,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-@query("op4_license_scans")
+@query("op4_license_scans", license_scan.scan_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 

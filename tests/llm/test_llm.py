@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -227,6 +228,62 @@ def test_license_texts_in_other_dress(spark):
     assert found[3]["notices"] == "CC-BY-NC-4.0" and found[4]["notices"] == ""
 
 
+def dressed(text, name, rng):
+    """The same licence as people store it: other wrapping, comments, case, spellings, notices."""
+    words = text.split()
+    wide = " ".join(words)
+    lines, line = [], []
+    for w in words:
+        line.append(w)
+        if rng.random() < 0.2:
+            lines.append(" ".join(line))
+            line = []
+    lines.append(" ".join(line))
+    yield wide
+    yield "\n".join(words)
+    yield "\n".join(lines).upper()
+    yield "".join(f" * {x}\r\n" for x in lines)
+    yield wide.replace("license", "licence").replace("License", "Licence").replace('"', "\u201c")
+    if "permission" in text.lower() or "redistribution" in text.lower():
+        yield f"Copyright (c) 2020 A. {wide}"
+        yield f"# Copyright 1999-2021, Anna B. Example\n# © the others\n# All rights reserved.\n\n{text}"
+        yield f"(c) 2011 X {wide}\n\nCopyright © someone"
+        yield f"{name} License Copyright (c) 2020 A and B\u2028{wide}"
+
+
+def test_every_license_in_other_dress(spark):
+    rng = np.random.default_rng(4)
+    texts = [(n, t) for n, t in license_scan.LICENSES if "License\n\n" not in t and "(MIT)" not in t]
+    titled = {"MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause"}
+    rows, want = [], {}
+    for name, text in texts:
+        for copy in dressed(text, name, rng):
+            whole = " License Copyright (c) 2020 A and B\u2028" not in copy or name in titled
+            rows.append((len(rows), copy))
+            want[len(rows) - 1] = name if whole else None
+            for changed in (copy + "\nand more", copy.replace("the", "teh").replace("THE", "TEH").replace("BY", "BI") + "\nx y"):
+                rows.append((len(rows), changed))
+                want[len(rows) - 1] = None
+    rows += [(len(rows) + i, t) for i, t in enumerate([None, "", "copyright notice", LONG, "Copyright (c) 2020 A."])]
+    rows += [(None, license_scan.LICENSES[0][1])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license_id", F.lit("x")).withColumn("digest", F.lit(1))
+    found = license_scan.scan_licenses(docs).collect()
+    assert len(found) == len(rows) and sum(r["doc_id"] is None and r["license_id"] == "MIT" for r in found) == 2
+    assert {r["doc_id"]: r["license_id"] for r in found if r["doc_id"] in want} == want
+    con = duckdb.connect()
+    documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    con.register("documents", documents)
+    other = con.sql(license_scan.scan_sql()).select("doc_id, canonical_sha256, license_id, notices").fetchall()
+    assert sorted(map(repr, other)) == sorted(repr(tuple(r)) for r in found)
+
+
+def test_a_license_keeps_its_own_words(spark):
+    kept = ["provided that the above\ncopyright notice and this\ncopyright notice", "(c) You must retain all", "copyright law"]
+    rows = [(i, t) for i, t in enumerate(kept)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", license_scan.canonical(F.col("text")).alias("c"))
+    assert [r["c"].count("copyright") + r["c"].count("c you") for r in docs.orderBy("doc_id").collect()] == [2, 1, 1]
+
+
 def brute_components(sets):
     root = {i: i for i in sets}
 
