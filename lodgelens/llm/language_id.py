@@ -16,15 +16,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelens.llm.words import slices
+from lodgelens.session import materialise
 
 #: Ranks kept of each profile and of each document.
 PROFILE = 400
-#: Training texts per language, by hash of the id, and languages at most (the most frequent).
+#: Training texts expected per language, by a hash bound (larger languages are sampled).
 SAMPLE_PER_LANGUAGE = 500
-MAX_LANGUAGES = 500
+#: Languages whose profiles are held at once; more are compared in several passes.
+LANGUAGES_PER_PASS = 500
 #: Characters counted at once.
 CHUNK = 1 << 20
 HELD_OUT = (3, 1)
+HASHES = 1 << 31
 UNKNOWN = "und"
 _SPACE = np.uint64(32)
 
@@ -82,14 +85,21 @@ def ranked(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))][:PROFILE]
 
 
-def profiles(docs: DataFrame) -> dict[str, list[int]]:
-    """Ranked n-grams of each language in the training rows (text and lang not null)."""
+def profiles(docs: DataFrame) -> list[dict[str, list[int]]]:
+    """Ranked n-grams of each language in the training rows (text and lang not null), pass by pass.
+
+    All languages are learned. A language with more training rows than ``SAMPLE_PER_LANGUAGE`` learns
+    from the share of them below a hash bound (equal rows together), so that no window or list of rows
+    is needed.
+    """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(id_remainder(HELD_OUT[0]) != HELD_OUT[1])
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    known = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE_PER_LANGUAGE)
-    ids = F.broadcast(picked.join(F.broadcast(known), "lang").select("lang", "doc_id").distinct())  # bounded by the two limits
+    place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(HASHES))
+    placed = rows.select("lang", "text", place.alias("_place"))
+    # Of many equal rows all are below the bound or none: the least place is always taken.
+    bound = F.greatest(F.lit(float(SAMPLE_PER_LANGUAGE * HASHES)) / F.count("*"), F.min("_place") + 1.0)
+    # Stored, so that Spark knows how small the table of languages is before it plans the join.
+    bounds = materialise(placed.groupBy("lang").agg(bound.alias("_bound")), "language-bounds")
+    picked = placed.join(bounds, "lang").where("_place < _bound").select("lang", "text")
 
     def count(batches):
         for part in slices(batches):
@@ -103,14 +113,18 @@ def profiles(docs: DataFrame) -> dict[str, list[int]]:
                     [pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(total)], names=["lang", "gram", "n"]
                 )
 
-    grams = rows.select("lang", "doc_id", "text").join(ids, ["lang", "doc_id"], "left_semi").mapInArrow(count, "lang string, gram long, n long")
+    grams = picked.mapInArrow(count, "lang string, gram long, n long")
     total = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = total.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= PROFILE)
-    out: dict[str, list[int]] = {}
-    for row in top.orderBy("lang", "_r").select("lang", "gram").collect():  # MAX_LANGUAGES * PROFILE rows at most
-        out.setdefault(row["lang"], []).append(row["gram"])
-    return out
+    passes: list[dict[str, list[int]]] = []
+    # One list of PROFILE numbers per language; languages are few whatever the size of the corpus.
+    ranked_grams = F.transform(F.array_sort(F.collect_list(F.struct("_r", "gram"))), lambda x: x["gram"])
+    for row in top.groupBy("lang").agg(ranked_grams.alias("grams")).orderBy("lang").toLocalIterator():
+        if not passes or len(passes[-1]) >= LANGUAGES_PER_PASS:
+            passes.append({})
+        passes[-1][row["lang"]] = row["grams"]
+    return passes
 
 
 class Ranker:
@@ -137,38 +151,54 @@ class Ranker:
         return self.names[best], float(1 - far[best] / (PROFILE * len(grams)))
 
 
+def _judged(rows: DataFrame, known: list[dict[str, list[int]]]) -> DataFrame:
+    """``rows`` (text and others) with the nearest language of all passes and its score; ties by name.
+
+    A pass keeps what the passes before it found unless it has a nearer language.
+    """
+    columns = rows.columns
+    rows = rows.withColumns({"_lang": F.lit(UNKNOWN), "_score": F.lit(-1.0)})
+    for some in known:
+
+        def run(batches, some=some):
+            judge = Ranker(some).judge
+            for part in slices(batches):
+                before = zip(part["_lang"].to_pylist(), part["_score"].to_pylist(), strict=True)
+                found = [judge(t) for t in part["text"].to_pylist()]
+                # Scores of "und" are 0 in every pass; names rise from pass to pass.
+                best = [new if new[1] > old[1] else old for old, new in zip(before, found, strict=True)]
+                held = [part[c] for c in columns]
+                held += [pa.array([x for x, _ in best], pa.string()), pa.array([x for _, x in best], pa.float64())]
+                yield pa.record_batch(held, names=[*columns, "_lang", "_score"])
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.withColumn("_score", F.greatest("_score", F.lit(0.0)))
+
+
 def identify(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score.
 
     Profiles come from the rows of ``training`` (default: ``docs``; doc_id, text, lang) whose id has not
-    the held-out remainder. ``lang_pred`` is "und", with score 0, for null texts, texts without a letter
-    and if no language was learned. Repeated rows give repeated results; a null id counts as an empty
-    text in the remainder. Other columns are ignored. The profiles are counted when this is called.
+    the held-out remainder; rows without an id count as an empty one there and are learned from as well.
+    ``lang_pred`` is "und", with score 0, for null texts, texts without a letter and if no language was
+    learned. Repeated rows give repeated results. Other columns are ignored. The profiles are counted
+    when this is called.
     """
     known = profiles(docs if training is None else training)
-
-    def run(batches):
-        judge = Ranker(known).judge
-        for part in slices(batches):
-            found = [judge(t) for t in part["text"].to_pylist()]
-            columns = [part[c] for c in ("doc_id", "held_out")]
-            columns += [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.record_batch(columns, names=["doc_id", "held_out", "lang_pred", "score"])
-
     rows = docs.select("doc_id", "text", (id_remainder(HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return _judged(rows, known).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang and any others, unchanged) whose language is known.
 
-    Rows judged "und" go: null texts, texts without a letter, and all if nothing can be learned.
+    Rows judged "und" go: null texts, texts without a letter, and all if nothing can be learned. A
+    text is "und" in all passes or in none, so the first decides.
     """
     known = profiles(docs)
 
     def run(batches):
-        judge = Ranker(known).judge
+        judge = Ranker(known[0] if known else {}).judge
         for part in slices(batches):
             yield part.filter(pa.array([judge(t)[0] != UNKNOWN for t in part["text"].to_pylist()], pa.bool_()))
 

@@ -426,6 +426,67 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd, odd.limit(0)).collect()} == {"und"}
 
 
+def brute_language(known, text):
+    """Out-of-place distance written out, over Counters."""
+    def ranks(texts):
+        grams = Counter()
+        for t in texts:
+            for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+                padded = f" {w} "
+                grams.update(w)
+                grams.update(padded[i : i + 2] for i in range(len(padded) - 1))
+                grams.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        ordered = sorted(grams, key=lambda g: (-grams[g], number(g)))
+        return ordered[: language_id.PROFILE]
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    own, far = ranks([text]), {}
+    for lang, texts in known.items():
+        place = {g: i for i, g in enumerate(ranks(texts))}
+        far[lang] = sum(min(abs(place[g] - i), language_id.PROFILE) if g in place else language_id.PROFILE for i, g in enumerate(own))
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (language_id.PROFILE * len(own))
+
+
+def invented(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(n))
+
+
+def test_language_equals_brute_force_in_any_number_of_passes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 7 == 0 else i, invented(rng, 12), f"l{i % 23:02d}") for i in range(120)]
+    rows += [(500, "", "l01"), (501, None, "l02"), (502, "12 3", "l03"), (503, rows[4][1], "l04"), (503, rows[4][1], "l04")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_lang", F.lit("x")).repartition(4)
+    known = {}
+    for i, text, lang in rows:
+        if text is not None and zlib.crc32(b"" if i is None else str(i).encode()) % 3 != 1:
+            known.setdefault(lang, []).append(text)
+    want = sorted((repr(i), *brute_language(known, t)) for i, t, _ in rows)
+    for size in (500, 8):
+        monkeypatch.setattr(language_id, "LANGUAGES_PER_PASS", size)
+        assert len(language_id.profiles(docs)) == -(-len(known) // size)
+        found = sorted((repr(r["doc_id"]), r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect())
+        assert [f[:2] for f in found] == [w[:2] for w in want]
+        assert np.allclose([f[2] for f in found], [w[2] for w in want])
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(7)
+    rows = [(None, f"{invented(rng, 3)} {'xyz'[i % 3]}{chr(0x4E00 + i)}", f"l{i:03d}") for i in range(520)]
+    rows += [(None, "die Wohnung ist sehr schön und nicht laut", "de")] * 5
+    found = language_id.profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [len(x) for x in found] == [500, 21] and set(found[0]) | set(found[1]) == {r[2] for r in rows}
+
+
+def test_equal_rows_of_a_large_language_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANGUAGE", 1)
+    rows = [(None, "die Wohnung ist sehr schön", "de")] * 300 + [(None, "the flat is very nice", "en")] * 300
+    found = {r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found == {"de", "en"}
+
+
 def test_long_texts_count_like_short_ones(monkeypatch):
     text = "Ünïcode and, more words " * 50
     codes, counts = language_id.ngrams(text)
