@@ -10,6 +10,7 @@ from lodgelens.catalog.retrieval import DOC_VECTORS_SQL
 from lodgelens.operators import chunks as chunk_ops
 from lodgelens.schemas import CHUNKS
 from lodgelens.session import scratch_path
+from lodgelens.streaming.best_rows import drain_best
 from lodgelens.streaming.drain import file_stream
 from lodgelens.streaming.index_sync import sync_index
 from lodgelens.streaming.live import drain_counters, drain_unique, running_counters
@@ -79,6 +80,27 @@ def stream_review_dedup(spark, folder):
     return drain_unique(picked, ["event_id"], ["ts"], out, scratch_path(spark, "unique-state")).drop("ts")
 
 
+@query(
+    "stream_best_rows",
+    """
+    SELECT user_id, event_type, event_id, ts, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts NULLS FIRST, event_id NULLS FIRST) = 1
+    """,
+)
+def stream_best_rows(spark, folder):
+    """Each user's first event of a type; later files bring earlier events, so rows are corrected."""
+    events = load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch_path(spark, "events")
+    # One file per stretch of time, the latest first.
+    stretches = events.repartitionByRange(4, F.col("ts").desc())
+    stretches.write.parquet(f"{path}/drop0")
+    stretches.write.parquet(f"{path}/drop1")
+    stream = file_stream(spark, path, events.schema, files_per_batch=2).select("user_id", "event_type", "event_id", "ts", "value")
+    return drain_best(
+        stream, ["user_id", "event_type"], ["ts", "event_id"], scratch_path(spark, "best"), scratch_path(spark, "best-state")
+    )
+
+
 @query(
     "stream_counters",
     f"""

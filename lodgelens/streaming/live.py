@@ -13,6 +13,7 @@ from lodgelens.functions.values import event_order
 from lodgelens.operators.cleaning import KEPT_LANGUAGES, clean_comments
 from lodgelens.operators.ranking import keep_first
 from lodgelens.session import stored_bytes
+from lodgelens.streaming.best_rows import drain_best
 from lodgelens.streaming.drain import drain_batches
 
 
@@ -48,14 +49,14 @@ def drain_silver_reviews(
     languages: tuple[str, ...] = KEPT_LANGUAGES,
     detector=None,
 ) -> DataFrame:
-    """Bronze reviews to silver reviews as they arrive, by the same steps as the batch form.
+    """Bronze reviews to silver reviews as they arrive; the same rows as the batch form.
 
-    Of several rows with one listing, reviewer and date the one with the lowest id of the first
-    batch stays; the batch form keeps the lowest id of all.
+    Of several rows with one listing, reviewer and date the one with the lowest id of all stays,
+    whichever batch brings it. ``path`` keeps the corrections (see ``best_rows``).
     """
     spoken = with_language(clean_comments(bronze), "comments", detector=detector)
     kept = spoken.filter(F.col("lang").isin(*languages))
-    return drain_unique(kept, ["listing_id", "reviewer_id", "date"], ["id"], path, checkpoint)
+    return drain_best(kept, ["listing_id", "reviewer_id", "date"], ["id", "comments"], path, checkpoint)
 
 
 def running_counters(
