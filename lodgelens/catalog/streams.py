@@ -8,12 +8,13 @@ from lodgelens.catalog.logs import PHASE_SQL
 from lodgelens.catalog.registry import load, query
 from lodgelens.catalog.retrieval import DOC_VECTORS_SQL
 from lodgelens.operators import chunks as chunk_ops
+from lodgelens.operators import sketches as sketch_ops
 from lodgelens.schemas import CHUNKS
-from lodgelens.session import scratch_path
+from lodgelens.session import materialise, scratch_path
 from lodgelens.streaming.best_rows import drain_best
 from lodgelens.streaming.drain import file_stream
 from lodgelens.streaming.index_sync import sync_index
-from lodgelens.streaming.live import drain_counters, drain_unique, running_counters
+from lodgelens.streaming.live import drain_counters, drain_sketches, drain_unique, running_counters
 
 
 def document_chunks(spark, folder):
@@ -121,3 +122,40 @@ def stream_counters(spark, folder):
     return drain_counters(
         counters, scratch_path(spark, "counters"), scratch_path(spark, "counters-state")
     )
+
+
+@query(
+    "stream_sketches",
+    """
+    SELECT event_type AS phase, count(*) AS n, count(value) AS n_timed, true AS p50_near, true AS p95_near,
+           true AS p99_near, true AS users_near FROM events GROUP BY event_type
+    """,
+)
+def stream_sketches(spark, folder):
+    """Sketches stored batch by batch and merged; each estimate against the whole log, within its bound."""
+    path, schema = _event_files(spark, folder, 1, files=4)
+    stored = drain_sketches(
+        file_stream(spark, path, schema, files_per_batch=2),
+        "event_type",
+        "value",
+        "ts",
+        "user_id",
+        scratch_path(spark, "sketches"),
+        scratch_path(spark, "sketches-state"),
+    )
+    found = materialise(sketch_ops.report(stored).withColumnRenamed("phase", "_phase"), "sketch-report")
+    events = load(spark, folder, "events")
+    joined = events.join(found, events["event_type"].eqNullSafe(found["_phase"]))
+
+    def near(p: int):
+        low, high = (F.count_if(c) / F.max("n_timed") for c in (F.col("value") < F.col(f"p{p}"), F.col("value") <= F.col(f"p{p}")))
+        close = (low <= p / 100 + sketch_ops.RANK_BOUND) & (high >= p / 100 - sketch_ops.RANK_BOUND)
+        return F.coalesce(close, F.max("n_timed") == 0).alias(f"p{p}_near")
+
+    users = F.countDistinct("user_id")
+    return joined.groupBy(F.col("_phase").alias("phase")).agg(
+        F.max("n").alias("n"),
+        F.max("n_timed").alias("n_timed"),
+        *map(near, (50, 95, 99)),
+        (F.abs(F.max("identities") - users) <= sketch_ops.COUNT_BOUND * users).alias("users_near"),
+    )

@@ -12,6 +12,7 @@ from lodgelens.functions.language import with_language
 from lodgelens.functions.values import event_order
 from lodgelens.operators.cleaning import KEPT_LANGUAGES, clean_comments
 from lodgelens.operators.ranking import keep_first
+from lodgelens.operators.sketches import hourly_sketches
 from lodgelens.session import stored_bytes
 from lodgelens.streaming.best_rows import drain_best
 from lodgelens.streaming.drain import drain_batches
@@ -86,3 +87,20 @@ def drain_counters(counters: DataFrame, path: str, checkpoint: str) -> DataFrame
 
     drain_batches(counters, store, checkpoint, mode="complete")
     return counters.sparkSession.read.parquet(path)
+
+
+def drain_sketches(stream: DataFrame, phase: str, ms: str, ts: str, identity: str, path: str, checkpoint: str) -> DataFrame:
+    """Store the sketches of everything that is new and return all stored ones (see ``operators.sketches``).
+
+    Each batch has its own folder and overwrites it when it is repeated, so counts stay exact.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        hourly_sketches(batch, phase, ms, ts, identity).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    drain_batches(stream, store, checkpoint)
+    spark = stream.sparkSession
+    schema = hourly_sketches(spark.createDataFrame([], stream.schema), phase, ms, ts, identity).schema
+    if not stored_bytes(spark, f"{path}/batch=*"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
