@@ -12,6 +12,7 @@ from lodgelens.functions.values import range_to_null
 from lodgelens.operators import chunks as chunk_ops
 from lodgelens.operators import questions, request_log, views
 from lodgelens.operators.filters import filter_route
+from lodgelens.operators.versions import VersionedTable
 from lodgelens.schemas import flat_schema
 from lodgelens.session import scratch_path
 from lodgelens.sources import csv_files, metric_state, query_sets, tables
@@ -171,6 +172,15 @@ def snapshot_diff(spark, folder):
     return _changes_view(chunk_ops.snapshot_diff(*chunk_versions(spark, folder)))
 
 
+@query("bucket_diff", CHANGES_SQL)
+def bucket_diff(spark, folder):
+    """The same changes out of stored versions, by way of bucket digests."""
+    old, new = chunk_versions(spark, folder)
+    table = VersionedTable(spark, scratch_path(spark, "versions"), new.schema)
+    table.publish(old, 1)
+    return _changes_view(table.publish(new, 2, previous=1))
+
+
 def listings(spark, folder):
     """Customers as listings of one city; the nation name is the place."""
     nation = load(spark, folder, "nation")

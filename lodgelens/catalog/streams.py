@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodgelens.catalog.ingest import chunk_versions
 from lodgelens.catalog.logs import PHASE_SQL
 from lodgelens.catalog.registry import load, query
 from lodgelens.catalog.retrieval import DOC_VECTORS_SQL
 from lodgelens.operators import chunks as chunk_ops
 from lodgelens.operators import sketches as sketch_ops
+from lodgelens.operators.versions import VersionedTable
 from lodgelens.schemas import CHUNKS
 from lodgelens.session import materialise, scratch_path
 from lodgelens.streaming.best_rows import drain_best
-from lodgelens.streaming.drain import file_stream
+from lodgelens.streaming.drain import drain_to_parquet, file_stream
 from lodgelens.streaming.index_sync import sync_index
 from lodgelens.streaming.live import drain_counters, drain_sketches, drain_unique, running_counters
 
@@ -61,6 +63,41 @@ def triggered_sync(spark, folder):
     )
 
 
+@query(
+    "change_stream",
+    """
+    WITH docs AS (SELECT doc_id::VARCHAR AS chunk_id, lang, text, quality, toxic
+                  FROM documents LEFT JOIN labels USING (doc_id)),
+    old AS (SELECT chunk_id, lang, text FROM docs WHERE coalesce(quality, 1) <> 0),
+    new AS (SELECT chunk_id, lang, CASE WHEN quality = 1 AND lang = 'en' THEN lower(text) ELSE text END AS text
+            FROM docs WHERE coalesce(toxic, 0) <> 1),
+    moves AS (
+        SELECT 2 AS v, o.chunk_id AS o_id, o.lang AS o_lang, o.text AS o_text, n.chunk_id AS n_id, n.lang AS n_lang,
+               n.text AS n_text FROM old o FULL JOIN new n ON o.chunk_id = n.chunk_id
+        UNION ALL
+        SELECT 3, n.chunk_id, n.lang, n.text, o.chunk_id, o.lang, o.text FROM old o FULL JOIN new n ON o.chunk_id = n.chunk_id)
+    SELECT v::BIGINT AS version, coalesce(n_id, o_id) AS chunk_id, coalesce(n_lang, o_lang) AS lang,
+           md5(CASE WHEN n_id IS NULL THEN o_text ELSE n_text END) AS digest,
+           CASE WHEN o_id IS NULL THEN 'insert' WHEN n_id IS NULL THEN 'delete' ELSE 'update' END AS change
+    FROM moves WHERE o_id IS NULL OR n_id IS NULL OR o_text <> n_text
+    """,
+)
+def change_stream(spark, folder):
+    """Three versions, the third as the first; followed from version 2 on, with a restart before version 3."""
+    old, new = chunk_versions(spark, folder)
+    table = VersionedTable(spark, scratch_path(spark, "versions"), new.schema)
+    out, state = scratch_path(spark, "followed"), scratch_path(spark, "followed-state")
+    table.publish(old, 1)
+    table.publish(new, 2, previous=1)
+    drain_to_parquet(table.change_stream(2), out, state)
+    table.publish(old, 3, previous=2)
+    stream = table.change_stream(2)
+    drain_to_parquet(stream, out, state)
+    return spark.read.schema(stream.schema).parquet(out).select(
+        F.col("_version").alias("version"), "chunk_id", "lang", F.md5("text").alias("digest"), F.col("_change_type").alias("change")
+    )
+
+
 def _event_files(spark, folder, drops: int, files: int = 0) -> tuple[str, object]:
     events = load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch_path(spark, "events")

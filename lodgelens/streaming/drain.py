@@ -9,12 +9,15 @@ from pyspark.sql import types as T
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000, recursive: bool = True
 ) -> DataFrame:
-    """Parquet files as they appear under ``path``, sub-folders included."""
+    """Parquet files as they appear under ``path``, sub-folders included.
+
+    Unless ``recursive``, only partition folders (``name=value``), whose columns are filled in.
+    """
     return (
         spark.readStream.schema(schema)
-        .option("recursiveFileLookup", True)
+        .option("recursiveFileLookup", recursive)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(path)
     )
