@@ -176,7 +176,7 @@ def snapshot_diff(spark, folder):
 def bucket_diff(spark, folder):
     """The same changes out of stored versions, by way of bucket digests."""
     old, new = chunk_versions(spark, folder)
-    table = VersionedTable(spark, scratch_path(spark, "versions"), new.schema)
+    table = VersionedTable(spark, scratch_path(spark, "versions"), new.schema, buckets=32)
     table.publish(old, 1)
     return _changes_view(table.publish(new, 2, previous=1))
 

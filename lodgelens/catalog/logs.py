@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lodgelens.catalog.registry import load, query
 from lodgelens.operators import request_log
+from lodgelens.session import scratch_path
+from lodgelens.sources import metric_state
 
 ERROR = "error"
 
@@ -124,3 +126,29 @@ def latency_percentiles(spark, folder):
 def keep_last_n(spark, folder):
     kept = request_log.keep_last(load(spark, folder, "events"), "event_type", "ts", "event_id")
     return kept.select("event_id", "event_type", "value", "age")
+
+
+@query(
+    "metrics_snapshot",
+    f"""
+    WITH {MARKED_SQL},
+    kept AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS age
+             FROM events)
+    SELECT 'intent' AS section, event_type AS name, count(*) AS n, NULL::DOUBLE AS value, NULL::DOUBLE AS last
+    FROM events GROUP BY event_type
+    UNION ALL SELECT 'error', event_type, count(*), NULL, NULL FROM events WHERE event_type = 'error' GROUP BY event_type
+    UNION ALL SELECT 'cache', CASE WHEN hit THEN 'hit' ELSE 'miss' END AS outcome, count(*), NULL, NULL FROM marked GROUP BY outcome
+    UNION ALL SELECT 'cache', 'ratio', count(*), round_even(count_if(hit)::DOUBLE / count(*), 3), NULL FROM marked
+    UNION ALL SELECT 'phase', event_type, count(value), round_even(avg(value), 1),
+                     round_even(max(CASE WHEN age = 1 THEN value END), 1)
+              FROM kept WHERE age <= 200 GROUP BY event_type
+    """,
+)
+def metrics_snapshot(spark, folder):
+    """Everything the counters know, out of the saved state."""
+    path = scratch_path(spark, "metrics")
+    state = request_log.metric_state(
+        marked_events(spark, folder), "event_type", "value", "ts", "event_id", F.col("event_type") == ERROR
+    )
+    metric_state.save_state(state, path)
+    return request_log.metrics_snapshot(metric_state.load_state(spark, path))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodgelens.catalog.registry import load, query
 from lodgelens.operators import questions as ask
+from lodgelens.plans.analytics import preview_audited
 
 
 def _located(spark, folder):
@@ -129,3 +130,19 @@ def distribution(spark, folder):
 def result_preview(spark, folder):
     orders = load(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     return ask.result_preview(orders, [F.desc("o_orderkey")])
+
+
+@query(
+    "audited_preview",
+    """
+    SELECT 'o_orderpriority | n' || chr(10) || '--- | ---' || chr(10)
+           || string_agg(o_orderpriority || ' | ' || n, chr(10) ORDER BY n DESC, o_orderpriority) AS preview,
+           count(*) AS row_count
+    FROM (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderpriority)
+    """,
+)
+def audited_preview(spark, folder):
+    """A model's statement over the orders: audited, run and shown."""
+    statement = "```sql\nSELECT o_orderpriority, count(*) AS n FROM order_listings WHERE o_orderstatus <> 'F' GROUP BY 1;\n```"
+    order = [F.desc("n"), F.asc("o_orderpriority")]
+    return preview_audited(spark, statement, order, order_listings=load(spark, folder, "orders"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodgelens.catalog.registry import load, query
 from lodgelens.operators import dense, evaluation, fusion, lexical, postings, prompts, quantised, ranking, rerank
 from lodgelens.operators.embedding import embed_text
+from lodgelens.plans.answering import CLARIFY, plan_answers
 from lodgelens.plans.answering import retrieve_then_rerank as retrieve
 from lodgelens.session import materialise, scratch_path, spread_few_splits
 
@@ -453,3 +454,80 @@ def retrieve_then_rerank(spark, folder):
     )
     best = retrieve(asked, text_chunks(spark, folder))
     return best.select("query_id", "rerank_rank", "chunk_id", "rerank_score")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _instruction_sql() -> str:
+    return " ".join(f"WHEN '{route}' THEN {_quoted(text)}" for route, text in prompts.INSTRUCTIONS.items())
+
+
+@query(
+    "answer_plans",
+    f"""
+    WITH {DENSE_SQL},
+    asked AS (SELECT item_id AS query_id, text AS q, CASE item_id % 4 WHEN 0 THEN 'listing' WHEN 1 THEN 'place'
+                     WHEN 2 THEN 'conversational' ELSE 'clarify' END AS route FROM benchmark),
+    allowed AS (
+        SELECT query_id, chunk_id, score, route, q FROM dense JOIN asked USING (query_id) JOIN documents ON chunk_id = doc_id
+        WHERE CASE route WHEN 'place' THEN lang = 'en' WHEN 'listing' THEN source = 'src' || (query_id % 20) ELSE false END),
+    pairs AS (SELECT r.*, r.q AS asked, d.text AS said, d.lang, d.source FROM {_ranked("allowed", 40)} r
+              JOIN documents d ON chunk_id = doc_id WHERE rank <= CASE route WHEN 'place' THEN 40 ELSE 20 END),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (
+                 PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS pos FROM {OVERLAP_SQL})
+             WHERE pos <= CASE route WHEN 'place' THEN 8 ELSE 3 END),
+    bodies AS (SELECT query_id, count(*) AS n,
+                      string_agg(lang || ':' || round_even(rerank_score, 2)::DOUBLE || ':' || left(said, 400), '|' ORDER BY pos) AS shown,
+                      string_agg('### Recensione ' || pos || ' [' || lang || ' / ' || source || ']' || chr(10) || said,
+                                 chr(10) || chr(10) ORDER BY pos) AS body
+               FROM best GROUP BY query_id),
+    planned AS (SELECT a.*, coalesce(n, 0) AS n_contexts, shown, body,
+                       CASE WHEN route = 'clarify' THEN {_quoted(CLARIFY)}
+                            WHEN route = 'listing' AND n IS NULL
+                            THEN 'Non ci sono recensioni disponibili per «Casa ' || query_id || '».' END AS reply
+                FROM asked a LEFT JOIN bodies USING (query_id))
+    SELECT query_id AS question_id, route, n_contexts::INTEGER AS n_contexts, reply,
+           CASE WHEN reply IS NULL AND route IN ('listing', 'place') THEN md5(
+               CASE WHEN route = 'listing' THEN 'Le recensioni riguardano l''alloggio «Casa ' || query_id || '».'
+                    || chr(10) || chr(10) ELSE '' END
+               || 'Contesto (recensioni recuperate):' || chr(10) || chr(10) || coalesce(body, '(nessun contesto recuperato)')
+               || chr(10) || chr(10) || 'Domanda: ' || q || chr(10) || chr(10) || 'Risposta grounded sul contesto:') END AS prompt,
+           CASE WHEN reply IS NULL THEN CASE route {_instruction_sql()} END END AS instruction,
+           coalesce(shown, '') AS contexts,
+           CASE WHEN route = 'listing' THEN 'Casa ' || query_id WHEN route = 'place' THEN 'EN ' END AS about,
+           CASE WHEN route = 'clarify' THEN (SELECT string_agg(DISTINCT lang, ', ' ORDER BY lang) FROM documents) END AS places
+    FROM planned
+    """,
+)
+def answer_plans(spark, folder):
+    """Benchmark items as questions: about a listing, about a place, small talk, or about nothing named."""
+    kind = F.col("item_id") % 4
+    scope = F.struct(
+        F.when(kind == 0, "listing").otherwise("neighbourhood").alias("kind"),
+        (F.col("item_id") % 20).alias("listing_id"),
+        F.lit("EN ").alias("neighbourhood"),
+        F.concat(F.lit("Casa "), F.col("item_id")).alias("label"),
+    )
+    questions = load(spark, folder, "benchmark").select(
+        F.col("item_id").alias("question_id"),
+        "text",
+        F.when(kind == 2, "conversational").otherwise("rag").alias("intent"),
+        F.when(kind < 2, scope).alias("scope"),
+    )
+    places = load(spark, folder, "documents").select(F.col("lang").alias("place_name")).distinct()
+    known = load(spark, folder, "part").select(F.col("p_partkey").alias("listing_id"), F.col("p_name").alias("listing_name"))
+    plans = plan_answers(questions, places, known, text_chunks(spark, folder))
+    line = F.transform("contexts", lambda c: F.concat_ws(":", c["neighbourhood"], c["score"].cast("string"), c["text"]))
+    return plans.select(
+        "question_id",
+        "route",
+        "n_contexts",
+        "reply",
+        F.md5("prompt").alias("prompt"),
+        "instruction",
+        F.array_join(line, "|").alias("contexts"),
+        F.coalesce("listing_name", "neighbourhood").alias("about"),
+        F.array_join("places", ", ").alias("places"),
+    )

@@ -85,7 +85,7 @@ def triggered_sync(spark, folder):
 def change_stream(spark, folder):
     """Three versions, the third as the first; followed from version 2 on, with a restart before version 3."""
     old, new = chunk_versions(spark, folder)
-    table = VersionedTable(spark, scratch_path(spark, "versions"), new.schema)
+    table = VersionedTable(spark, scratch_path(spark, "versions"), new.schema, buckets=32)
     out, state = scratch_path(spark, "followed"), scratch_path(spark, "followed-state")
     table.publish(old, 1)
     table.publish(new, 2, previous=1)

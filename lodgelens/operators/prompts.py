@@ -17,6 +17,26 @@ ANSWER_TITLE = "Risposta grounded sul contesto:"
 LISTING_INTRO = ("Le recensioni riguardano l'alloggio «", "».")
 NO_REVIEWS = ("Non ci sono recensioni disponibili per «", "».")
 
+_REVIEWS = (
+    "Rispondi usando soltanto le recensioni del contesto e nella lingua della domanda. Se non contengono "
+    "la risposta, dillo. Riporta i fatti concreti raccontati dagli ospiti, senza marcatori di citazione."
+)
+#: What a model is told besides the prompt, by route; ``clarify`` asks no model.
+INSTRUCTIONS = {
+    "listing": _REVIEWS + " Le recensioni parlano di un solo alloggio: chiamalo per nome.",
+    "place": _REVIEWS + " Le recensioni vengono da alloggi diversi dello stesso quartiere: dai un quadro "
+    "d'insieme e precisa che l'esperienza cambia da un alloggio all'altro.",
+    "analytics": "Racconta il risultato a parole, partendo dai numeri e nella lingua della domanda, senza "
+    "nominare tabelle, colonne o SQL. Se il dato non c'è, spiegalo.",
+    "conversational": "Rispondi in breve e invita a chiedere di prezzi, quartieri e recensioni.",
+}
+
+
+def instruction_for(route: Column, instructions: dict[str, str] | None = None) -> Column:
+    """The instruction that goes with a route; null for routes without one."""
+    pairs = (instructions or INSTRUCTIONS).items()
+    return F.coalesce(*[F.when(route == name, text) for name, text in pairs], F.lit(None).cast("string"))
+
 
 def context_block(rank: Column, neighbourhood: Column, room_type: Column, text: Column) -> Column:
     unknown = F.lit("?")
@@ -63,7 +83,7 @@ def assemble_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     )
 
 
-def context_view(df: DataFrame, key: str) -> DataFrame:
+def context_view(df: DataFrame, key: str | Column) -> DataFrame:
     """What a client sees of a context: place, score to two places, first 400 characters."""
     return df.select(
         key,
@@ -73,6 +93,13 @@ def context_view(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def context_lists(contexts: DataFrame, key: str) -> DataFrame:
+    """``(key, contexts)``: what a client sees of the few contexts of a question, best first."""
+    seen = context_view(contexts, F.struct(key, "rerank_rank").alias("at"))
+    shown = F.struct(F.col("at.rerank_rank").alias("rank"), "neighbourhood", "score", "text")
+    return seen.groupBy(F.col(f"at.{key}").alias(key)).agg(F.array_sort(F.collect_list(shown)).alias("contexts"))
+
+
 def join_deltas(events: DataFrame, key: str, seq: str, payload: str) -> DataFrame:
     """The whole answer per key out of its streamed events, in order.
 

@@ -191,3 +191,27 @@ def metric_state(
         F.col(ms).alias("value"),
     )
     return counters.unionByName(timings)
+
+
+def metrics_snapshot(state: DataFrame) -> DataFrame:
+    """The saved metric state as one table ``(section, name, n, value, last)``.
+
+    Sections: ``intent`` and ``error`` with their counts; ``cache`` with hits, misses and the row
+    ``ratio`` (three places, 0 without requests); ``phase`` with the number of kept timings, their
+    mean (``value``) and the newest one (``last``), to one place. One aggregate over the state,
+    and one over its two cache rows.
+    """
+    timing = F.col("kind") == "phase"
+    rows = state.groupBy(F.col("kind").alias("section"), "name").agg(
+        F.when(F.first(timing), F.count("value")).otherwise(F.sum("value").cast("bigint")).alias("n"),
+        F.when(F.first(timing), F.bround(F.avg("value"), 1)).alias("value"),
+        F.when(F.first(timing), F.bround(F.min_by("value", "seq"), 1)).alias("last"),
+    )
+    hits = F.coalesce(F.sum(F.when(F.col("name") == "hit", F.col("value"))), F.lit(0.0))
+    total = F.coalesce(F.sum("value"), F.lit(0.0))
+    ratio = state.filter(F.col("kind") == "cache").agg(
+        total.cast("bigint").alias("n"),
+        F.bround(F.coalesce(F.try_divide(hits, total), F.lit(0.0)), 3).alias("value"),
+    )
+    ratio = ratio.select(F.lit("cache").alias("section"), F.lit("ratio").alias("name"), "n", "value", F.lit(None).cast("double").alias("last"))
+    return rows.unionByName(ratio)

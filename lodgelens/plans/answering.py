@@ -10,7 +10,7 @@ from lodgelens.operators.dense import knn_ann, knn_filtered
 from lodgelens.operators.embedding import Embedder, embed_text
 from lodgelens.operators.fusion import reciprocal_rank_fusion
 from lodgelens.operators.lexical import lexical_topk
-from lodgelens.operators.prompts import NO_REVIEWS, assemble_prompts
+from lodgelens.operators.prompts import NO_REVIEWS, assemble_prompts, context_lists, instruction_for
 from lodgelens.operators.rerank import (
     PLACE_RERANK_K,
     PLACE_RETRIEVE_K,
@@ -80,11 +80,20 @@ def plan_answers(
     embedder: Embedder | None = None,
     scorer: PairScorer | None = None,
     mode: str = "dense",
+    instructions: dict[str, str] | None = None,
 ) -> DataFrame:
-    """``(question_id, route, n_contexts, prompt, reply)`` per question.
+    """What a client or a model needs for each question, one row per question.
+
+    ``question_id, route, n_contexts, prompt, reply`` and
+
+    * ``instruction``: what the model is told besides the prompt, by route; null with a fixed reply;
+    * ``contexts``: place, score and text of the reviews the prompt holds, best first (else empty);
+    * ``listing_name``, ``neighbourhood``: what the question was found to be about;
+    * ``places``: with the route ``clarify``, the names to choose from, in order.
 
     Review questions get a prompt, unless there is nothing to ground it on: then the
     fixed reply is final. Other routes are left to the SQL or small-talk branch.
+    ``places`` is a list of a city's districts: it is put as one value beside the questions.
     """
     routed = materialise(resolve_scopes(questions, places, listings), "routes")
     grounded = routed.filter(F.col("route").isin("listing", "place")).select(
@@ -94,19 +103,30 @@ def plan_answers(
         F.when(F.col("route") == "place", F.col("neighbourhood")).alias("neighbourhood"),
         F.when(F.col("route") == "listing", F.col("listing_name")).alias("listing_name"),
     )
-    contexts = retrieve_then_rerank(grounded.drop("listing_name"), chunks, embedder, scorer, mode)
-    prompts = assemble_prompts(grounded, contexts).withColumnRenamed("query_id", "question_id")
-    joined = routed.join(prompts, "question_id", "left")
+    # Read for the prompts and for the lists: at most eight rows per question.
+    best = retrieve_then_rerank(grounded.drop("listing_name"), chunks, embedder, scorer, mode)
+    best = materialise(best, "contexts")
+    prompts = assemble_prompts(grounded, best).withColumnRenamed("query_id", "question_id")
+    shown = context_lists(best, "query_id").withColumnRenamed("query_id", "question_id")
+    joined = routed.join(prompts, "question_id", "left").join(shown, "question_id", "left")
     no_reviews = F.concat(
         F.lit(NO_REVIEWS[0]), F.coalesce("listing_name", F.lit("None")), F.lit(NO_REVIEWS[1])
     )
-    reply = F.when(F.col("route") == "clarify", CLARIFY).when(
+    clarify = F.col("route") == "clarify"
+    reply = F.when(clarify, CLARIFY).when(
         (F.col("route") == "listing") & (F.col("n_contexts") == 0), no_reviews
     )
+    offered = places.agg(F.array_sort(F.collect_set("place_name")).alias("names")).scalar()
+    none = F.array().cast(shown.schema["contexts"].dataType)
     return joined.select(
         "question_id",
         "route",
         F.coalesce("n_contexts", F.lit(0)).alias("n_contexts"),
         F.when(reply.isNull(), F.col("prompt")).alias("prompt"),
         reply.alias("reply"),
+        F.when(reply.isNull(), instruction_for(F.col("route"), instructions)).alias("instruction"),
+        F.coalesce("contexts", none).alias("contexts"),
+        F.when(F.col("route") == "listing", F.col("listing_name")).alias("listing_name"),
+        F.when(F.col("route") == "place", F.col("neighbourhood")).alias("neighbourhood"),
+        F.when(clarify, offered).alias("places"),
     )

@@ -326,6 +326,14 @@ def test_routes_and_answers(spark, known):
     assert answers[5]["reply"] == CLARIFY and answers[5]["prompt"] is None
     assert answers[8]["reply"] == "Non ci sono recensioni disponibili per «Gone»."
     assert answers[6]["prompt"] is None and answers[6]["reply"] is None
+    one, two, clarify, gone = (answers[i] for i in (1, 2, 5, 8))
+    assert one["instruction"] == prompts.INSTRUCTIONS["listing"] and one["listing_name"] == "Santini Home"
+    assert two["instruction"] == prompts.INSTRUCTIONS["place"] and two["neighbourhood"] == " IX EUR"
+    assert [c["rank"] for c in two["contexts"]] == list(range(1, 9)) and two["contexts"][0]["neighbourhood"] == "ix eur"
+    assert all(c["text"] in two["prompt"] for c in two["contexts"]) and one["places"] is None
+    assert clarify["places"] == sorted(r["place_name"] for r in places.distinct().collect())
+    assert clarify["instruction"] is None and clarify["contexts"] == [] and gone["contexts"] == [] and gone["instruction"] is None
+    assert answers[6]["instruction"] == prompts.INSTRUCTIONS["analytics"]
 
 
 def test_prompt_without_hits(spark):
