@@ -16,6 +16,7 @@ from lodgelens.operators.versions import VersionedTable
 from lodgelens.schemas import flat_schema
 from lodgelens.session import scratch_path
 from lodgelens.sources import csv_files, metric_state, query_sets, tables
+from lodgelens.sources.csv_split import scan_csv_split
 
 
 @query(
@@ -34,6 +35,20 @@ def csv_scan(spark, folder):
     return csv_files.by_name(csv_files.scan_csv(spark, path), schema)
 
 
+@query(
+    "csv_split_scan",
+    """
+    SELECT doc_id, text || chr(10) || '"' || lang || '", ' || source AS note, md5(text) AS digest FROM documents
+    """,
+)
+def csv_split_scan(spark, folder):
+    """Multi-line fields of any length, read block by block."""
+    note = F.concat("text", F.lit('\n"'), "lang", F.lit('", '), "source").alias("note")
+    path = scratch_path(spark, "csv")
+    csv_files.write_csv(load(spark, folder, "documents").select("doc_id", note, F.md5("text").alias("digest")), path)
+    return csv_files.by_name(scan_csv_split(spark, path), flat_schema("doc_id long, note string, digest string"))
+
+
 @query(
     "csv_gzip_scan",
     """
