@@ -25,8 +25,10 @@ WIDTH = 8
 LEAST_SHARE, LEAST_CONSISTENT = 0.3, 0.8
 #: Words that may be missing or added between two windows of one occurrence.
 GAP = 8
-#: Items of fewer template tokens are compared with whole documents only.
+#: Items of fewer template tokens leak into a text only word for word, or as a whole document.
 LEAST_TOKENS = 4
+#: Items of fewer words, which ordinary texts hold, only as a whole document.
+LEAST_WORDS = 3
 #: Benchmark items per broadcast; more items are searched in several passes.
 ITEMS_PER_PASS = 20_000
 BYTES_PER_PASS = 32 * 1024 * 1024
@@ -130,9 +132,10 @@ class Templates:
             high = np.searchsorted(table, found[maybe], side="right")
             for m, a, b in zip(maybe[high > low], low[high > low], high[high > low], strict=True):
                 for i, j in where[a:b].tolist():
-                    if i in self.short and start[owner[m] + 1] - start[owner[m]] != width:
-                        continue
                     at, (_, item_kind, item_own) = inside[m], self.items[i]
+                    if i in self.short and start[owner[m] + 1] - start[owner[m]] != width:
+                        if width < LEAST_WORDS or not np.array_equal(own[at : at + width], item_own):
+                            continue
                     if j == 0 and kind[at] != item_kind[0] and own[at] != item_own[0]:
                         continue  # read in another way, it must be the same word
                     hits[int(owner[m]), i].append((int(at), j, width))
@@ -223,6 +226,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document and a benchmark item it holds: doc_id, item_id, window_share, consistency.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; null and empty texts match nothing.
+    Items of three words leak where their words stand in a row, items of one or two words only if
+    they are the whole document.
     Each row of ``docs`` is searched on its own, so rows with one id can give equal pairs, which are
     returned once (the largest shares). Other columns are ignored; empty tables give no rows. Items are
     read in passes of bounded size when this is called.

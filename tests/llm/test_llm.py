@@ -396,6 +396,16 @@ def test_opening_word_after_anything(before):
     assert leaked(items, f"{before} Paris is the capital of France. Weeks have how many long hours? Bob wrote it down") == set()
 
 
+def test_short_items():
+    items = ["Who discovered radium?", "Paris", "New York", "add 12 apples", "7 8 9"]
+    assert leaked(items, "It was asked: who discovered Radium, and by whom. Later the answer came.") == {0}
+    assert leaked(items, "At noon Who discovered radium? they cried") == {0}
+    # Other words, other numbers, or the words apart.
+    assert leaked(items, "Bob discovered radium in Paris and New York; who then discovered radium, add 13 apples, 7 8 10") == set()
+    assert leaked(items, "then add 12 apples to 6 7 8 9 pears") == {3, 4}
+    assert leaked(items, "paris") == {1} and leaked(items, "New York.") == {2}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
