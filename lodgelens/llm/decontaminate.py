@@ -89,6 +89,7 @@ class Templates:
         self.items = []
         rows: dict[int, list] = defaultdict(list)
         whole: dict[int, list[int]] = defaultdict(list)
+        self.verbatim: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.need: list[int] = []
         for i, item in enumerate(ids):
             at = np.flatnonzero(doc == i)
@@ -102,6 +103,8 @@ class Templates:
             found, _ = rolled(k, np.zeros(n, np.int64), width)
             if n < LEAST_TOKENS:
                 whole[n].append(i)
+            if LEAST_WORDS <= n < LEAST_TOKENS:
+                self.verbatim[n][int(rolled(o, np.zeros(n, np.int64), n)[0][0])].append(i)
             for j, h in enumerate(found.tolist()):
                 rows[width].append((h, i, j))
             # What comes before the item decides how its first word is read in a document.
@@ -116,6 +119,8 @@ class Templates:
             seen[(table >> np.uint64(48)).astype(np.int64)] = True
             self.widths[width] = (table, np.array([(i, j) for _, i, j in entries], np.int64), seen)
         self.short = {i for v in whole.values() for i in v}
+        self.verbatim = {n: dict(v) for n, v in self.verbatim.items()}
+        self.verbatim_hashes = {n: np.array(list(v), np.uint64) for n, v in self.verbatim.items()}
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, float, float]]:
         """(document number, item id, share of windows, share of consistent placeholders)."""
@@ -132,13 +137,20 @@ class Templates:
             high = np.searchsorted(table, found[maybe], side="right")
             for m, a, b in zip(maybe[high > low], low[high > low], high[high > low], strict=True):
                 for i, j in where[a:b].tolist():
-                    at, (_, item_kind, item_own) = inside[m], self.items[i]
                     if i in self.short and start[owner[m] + 1] - start[owner[m]] != width:
-                        if width < LEAST_WORDS or not np.array_equal(own[at : at + width], item_own):
-                            continue
+                        continue
+                    at, (_, item_kind, item_own) = inside[m], self.items[i]
                     if j == 0 and kind[at] != item_kind[0] and own[at] != item_own[0]:
                         continue  # read in another way, it must be the same word
                     hits[int(owner[m]), i].append((int(at), j, width))
+        for width, verbatim in self.verbatim.items():
+            if len(own) < width:
+                continue
+            inside = np.flatnonzero(doc[: len(doc) - width + 1] == doc[width - 1 :])
+            found, owner = rolled(own, doc, width)
+            for m in np.flatnonzero(np.isin(found, self.verbatim_hashes[width])):
+                for i in verbatim[int(found[m])]:
+                    hits[int(owner[m]), i].append((int(inside[m]), 0, width))
         out = []
         for (d, i), places in hits.items():
             item, item_kind, item_own = self.items[i]
