@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodgelens.catalog.registry import load
 from lodgelens.functions.once import with_once
 from lodgelens.functions.text import words
+from lodgelens.operators.embedding import Embedder
 from lodgelens.plans.evaluation import evaluate_retrieval
 from lodgelens.session import scratch_path, spread_few_splits
 from lodgelens.sources.query_sets import write_query_set
@@ -36,7 +37,7 @@ def quoted_passages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def known_item_means(spark: SparkSession, folder: str, mode: str) -> dict[str, float]:
+def known_item_means(spark: SparkSession, folder: str, mode: str, embedder: Embedder | None = None) -> dict[str, float]:
     """Mean Recall, nDCG and MRR of one search mode."""
     path = scratch_path(spark, "known-items")
     write_query_set(quoted_passages(spark, folder), path)
@@ -46,5 +47,5 @@ def known_item_means(spark: SparkSession, folder: str, mode: str) -> dict[str, f
         F.col("doc_id").alias("listing_id"),
         F.col("text").alias("chunk_text"),
     )
-    _, means = evaluate_retrieval(spark, path, chunks, mode)
+    _, means = evaluate_retrieval(spark, path, chunks, mode, embedder=embedder)
     return means.first().asDict()

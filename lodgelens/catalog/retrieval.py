@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodgelens.catalog.registry import load, query
 from lodgelens.operators import dense, evaluation, fusion, lexical, postings, prompts, quantised, ranking, rerank
-from lodgelens.operators.embedding import embed_text
+from lodgelens.operators.embedding import WeightedEmbedder, embed_text, fit_rarity
 from lodgelens.plans.answering import CLARIFY, plan_answers
 from lodgelens.plans.answering import retrieve_then_rerank as retrieve
 from lodgelens.session import materialise, scratch_path, spread_few_splits
@@ -291,6 +291,30 @@ def embed_text_query(spark, folder):
     return cells.filter("weight <> 0").withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    "embed_text_weighted",
+    f"""
+    WITH words AS (SELECT doc_id AS id, unnest({WORDS.format("text")}) AS w FROM documents),
+    coded AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::UBIGINT AS code,
+                     CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END AS sign FROM words),
+    rare AS (SELECT code % 262144 AS slot,
+                    ln(((SELECT count(text) FROM documents) + 1)::DOUBLE / (count(DISTINCT id) + 1)) + 1 AS idf
+             FROM coded GROUP BY slot),
+    cells AS (SELECT id, code % 256 AS bucket, sum(sign * idf) AS v FROM coded JOIN rare ON code % 262144 = slot
+              GROUP BY ALL),
+    norms AS (SELECT id, sqrt(sum(v * v)) AS norm FROM cells GROUP BY id)
+    SELECT id AS chunk_id, bucket::INTEGER AS bucket, round(v / norm, 6) AS weight
+    FROM cells JOIN norms USING (id) WHERE abs(v / norm) > 1e-6
+    """,
+)
+def embed_text_weighted(spark, folder):
+    """Vectors of words weighted by rarity among all texts; what cancels out is no cell."""
+    chunks = text_chunks(spark, folder)
+    vectors = embed_text(chunks, "chunk_text", WeightedEmbedder(fit_rarity(chunks, "chunk_text")))
+    cells = vectors.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return cells.filter("abs(weight) > 1e-6").withColumn("weight", F.round("weight", 6))
+
+
 BM25_SQL = f"""
     docs AS (SELECT doc_id, {WORDS.format("text")} AS ws FROM documents),
     corpus AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM docs),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodgelens.functions.text import WORD_PATTERN
+from lodgelens.functions.text import WORD_PATTERN, words
 
 
 class Embedder(Protocol):
@@ -50,10 +50,46 @@ class HashingEmbedder:
         sign = np.array([1.0 if d[8] < "8" else -1.0 for d in digests])
         row = np.repeat(np.arange(len(texts)), lengths)
         flat = np.bincount(
-            row * self.dim + bucket[codes], weights=sign[codes], minlength=out.size
+            row * self.dim + bucket[codes], weights=(sign * self.weigh(digests))[codes], minlength=out.size
         )
         return flat.reshape(out.shape)
 
+    def weigh(self, digests: list[str]) -> np.ndarray | float:
+        """What one occurrence of each word counts."""
+        return 1.0
+
+
+class WeightedEmbedder(HashingEmbedder):
+    """Hashed words that count the more, the fewer texts of a table hold them.
+
+    ``rarity`` comes from ``fit_rarity``. More buckets than in the unweighted form keep rare words,
+    which now decide, apart.
+    """
+
+    def __init__(self, rarity: np.ndarray, dim: int = 256):
+        super().__init__(dim)
+        self.rarity = rarity
+
+    def weigh(self, digests: list[str]) -> np.ndarray:
+        return self.rarity[[int(d[:8], 16) % len(self.rarity) for d in digests]]
+
+
+def fit_rarity(df: DataFrame, text: str, slots: int = 1 << 18) -> np.ndarray:
+    """Inverse document frequency per slot of word digests: ``ln((n + 1) / (df + 1)) + 1``.
+
+    ``n`` counts the texts that are not null. Each text counts once per slot, before the shuffle by
+    partial sums; what reaches the driver is bounded by ``slots`` numbers. Words that share a slot
+    share their weight.
+    """
+    slot = F.transform(words(F.col(text)), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % slots)
+    held = df.filter(F.col(text).isNotNull()).select(F.array_distinct(slot).alias("slots"))
+    counts = held.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("df")).collect()
+    n = held.count()
+    out = np.full(slots, np.log(n + 1) + 1)
+    for row in counts:
+        out[row["slot"]] = np.log((n + 1) / (row["df"] + 1)) + 1
+    return out
+
 
 def embed_text(
     df: DataFrame, text: str, embedder: Embedder | None = None, out: str = "embedding"

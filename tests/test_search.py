@@ -1,5 +1,6 @@
 """Search, matching, routing, prompts and their metrics against brute force."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -18,7 +19,7 @@ from lodgelens.operators import (
     rerank,
     routing,
 )
-from lodgelens.operators.embedding import HashingEmbedder, embed_text
+from lodgelens.operators.embedding import HashingEmbedder, WeightedEmbedder, embed_text, fit_rarity
 from lodgelens.operators.topk import top_items
 from lodgelens.plans.answering import CLARIFY, plan_answers
 
@@ -563,3 +564,30 @@ def test_text_index_of_nothing(spark, tmp_path):
     postings.build_text_index(chunks, str(tmp_path / "index"))
     asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
     assert postings.search_text_index(asked, str(tmp_path / "index")).count() == 0
+
+
+def test_rare_words_weigh_more(spark):
+    texts = [("la casa bella",), ("la casa pulita casa",), ("la stanza",), (None,), ("",)]
+    df = spark.createDataFrame(texts, "t string")
+    rarity = fit_rarity(df, "t", slots=1 << 12)
+    slot = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % (1 << 12)
+    held = {"la": 3, "casa": 2, "bella": 1, "pulita": 1, "stanza": 1}
+    assert len({slot(w) for w in held}) == len(held)
+    for word, n in held.items():
+        assert np.isclose(rarity[slot(word)], np.log(5 / (n + 1)) + 1)  # the empty text counts, the null one does not
+    assert np.isclose(rarity[slot("unseen")], np.log(5) + 1)
+    got = [r["embedding"] for r in embed_text(df, "t", WeightedEmbedder(rarity, 512)).collect()]
+    assert got[3:] == [None, None] and all(np.isclose(np.linalg.norm(v), 1) for v in got[:3])
+    bare = [r["embedding"] for r in embed_text(df, "t", HashingEmbedder(512)).collect()]
+    assert np.dot(got[0], got[2]) < np.dot(bare[0], bare[2])
+    assert (fit_rarity(df.limit(0), "t", slots=8) == 1).all()
+
+
+def test_weighted_vectors_find_more(spark):
+    from lodgelens.catalog.known_items import known_item_means
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    weighted = WeightedEmbedder(fit_rarity(docs, "text"))
+    plain, better = (known_item_means(spark, folder, "dense", e)["mrr"] for e in (HashingEmbedder(256), weighted))
+    assert better > plain
