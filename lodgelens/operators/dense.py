@@ -20,16 +20,31 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 class CosineScore:
-    """Cosine similarity of ``embedding`` columns, in doubles."""
+    """Cosine similarity of ``embedding`` columns, in doubles; blocks are compared in floats first."""
 
-    def prepare(self, queries: pd.DataFrame) -> np.ndarray:
-        return _unit(queries["embedding"])
+    def prepare(self, queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        unit = _unit(queries["embedding"])
+        return unit, unit.astype(np.float32)
 
-    def width(self, state: np.ndarray) -> int:
-        return state.shape[1]
+    def width(self, state: tuple) -> int:
+        return state[0].shape[1]
 
-    def score(self, state: np.ndarray, picked: np.ndarray, items: pd.DataFrame) -> np.ndarray:
-        return state[picked] @ _unit(items["embedding"]).T
+    def error(self, state: tuple) -> float:
+        return 4 * state[0].shape[1] * float(np.finfo(np.float32).eps)
+
+    def ready(self, items: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        unit = _unit(items["embedding"])
+        return unit, np.ascontiguousarray(unit.astype(np.float32).T)
+
+    def score(self, state: tuple, picked: np.ndarray, items: tuple) -> np.ndarray:
+        return state[1][picked] @ items[1]
+
+    def exact(self, state: tuple, queries: np.ndarray, items: tuple, i: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for at in range(0, len(i), 50_000):
+            to = slice(at, at + 50_000)
+            out[to] = np.einsum("ij,ij->i", state[0][queries[to]], items[0][i[to]])
+        return out
 
 
 def _sides(queries: DataFrame, chunks: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ from lodgelens.session import materialise
 K1, B = 1.2, 0.75
 
 #: Texts are wide; keep item blocks of the paired plan small.
-TEXT_BLOCK = 2048
+TEXT_BLOCK, QUESTION_BLOCK = 2048, 4096
 #: Queries scored by one dense block.
 QUERY_SLICE = 256
 
@@ -134,6 +134,7 @@ def lexical_topk(
         )
         docs = wanted_items(offered, routes).select("item_id", "route", split)
     plan.setdefault("item_block", TEXT_BLOCK)
+    plan.setdefault("query_block", QUESTION_BLOCK)
     # A packed query holds its terms and one weight each: no more than twice the terms.
     plan.setdefault("query_bytes", 2 * measured_bytes(terms))
     top = top_items(packed, docs, Bm25Score(average_length), k, **plan)

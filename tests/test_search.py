@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -591,3 +592,62 @@ def test_weighted_vectors_find_more(spark):
     weighted = WeightedEmbedder(fit_rarity(docs, "text"))
     plain, better = (known_item_means(spark, folder, "dense", e)["mrr"] for e in (HashingEmbedder(256), weighted))
     assert better > plain
+
+
+def test_blocks_hold_few_rows_and_small_parts(monkeypatch):
+    """Rows that cannot be among a query's best are not gathered, and Arrow data comes in bounded parts."""
+    import pyarrow as pa
+
+    from lodgelens.operators import topk
+
+    monkeypatch.setattr(topk, "MATRIX_CELLS", 64 * 100)
+    monkeypatch.setattr(topk, "WAITING_ROWS", 1_000, raising=False)
+    monkeypatch.setattr(topk, "PART_BYTES", 64 * 1024, raising=False)
+    seen, best = [], topk._best
+    monkeypatch.setattr(topk, "_best", lambda q, *more: seen.append(len(q)) or best(q, *more))
+    rng = np.random.default_rng(1)
+    wanted, vectors = rng.normal(size=(64, 8)), rng.normal(size=(20_000, 8))
+    queries = pd.DataFrame({"query_id": range(64), "embedding": list(wanted), "route": "all"})
+    items = pa.record_batch({"item_id": pa.array(range(20_000)), "embedding": pa.array(list(vectors)), "route": pa.array(["all"] * 20_000)})
+    parts = list(topk._parts(items))
+    assert len(parts) > 10 and sum(map(len, parts)) == 20_000
+    blocks = topk._Blocks(dense.CosineScore(), queries, 5)
+    for part in parts:
+        blocks.add(part)
+    got = blocks.result()
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    scores = np.round(unit(wanted) @ unit(vectors).T, 6)
+    for q in range(64):
+        assert got[got.query_id == q].item_id.tolist() == np.lexsort((np.arange(20_000), -scores[q]))[:5].tolist()
+    assert max(seen) < 5_000
+
+
+def test_long_texts_are_embedded_in_parts(monkeypatch):
+    from lodgelens.operators import embedding
+
+    monkeypatch.setattr(embedding, "PART_CHARS", 100, raising=False)
+    model = embedding.HashingEmbedder(16)
+    model.load()
+    held, factorize = [], pd.factorize
+    monkeypatch.setattr(embedding.pd, "factorize", lambda values: held.append(len(values)) or factorize(values))
+    texts = ["", "uno due tre " * 30, "due", "", "tre quattro", "x " * 200]
+    whole = np.vstack([model.embed([t]) for t in texts])
+    held.clear()
+    assert (model.embed(texts) == whole).all() and max(held) <= 210
+    assert model.embed([]).shape == (0, 16)
+
+
+def test_quantised_probes_of_most_cells_stay_one_row(spark, vectors, asked):
+    """A query that probes most cells is one row with a bit per cell, and sees those cells only."""
+    model = quantised.fit_quantiser(vectors)
+    index = quantised.with_codes(vectors, model)
+    most = model.cells - 1
+    probes = quantised.probed(asked, model, most)
+    assert probes.count() == asked.filter("embedding IS NOT NULL").count()
+    n = vectors.count()
+    got = {(r["query_id"], r["item_id"]) for r in quantised.short_lists(probes, index, model, n).collect()}
+    cells = {r["chunk_id"]: r["cell"] for r in index.select("chunk_id", "cell").collect()}
+    for row in asked.filter("embedding IS NOT NULL").limit(3).collect():
+        unit = quantised._units([row["embedding"]])
+        near = set(model.nearest_cells(unit, most)[0].tolist())
+        assert {i for q, i in got if q == row["query_id"]} == {i for i, c in cells.items() if c in near}
