@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from lodgelens.functions.text import WORD_PATTERN, words
 
 
+#: Characters of texts whose words are hashed at once.
+PART_CHARS = 1 << 20
+
+
 class Embedder(Protocol):
     """A plug-in model. ``load`` runs once per Python worker, ``embed`` once per batch."""
 
@@ -39,6 +43,15 @@ class HashingEmbedder:
         self.pattern = re.compile(WORD_PATTERN)
 
     def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
+        # The words of a part only are held as strings.
+        part = np.cumsum([len(t) for t in texts], dtype=np.int64) // PART_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if texts else [0]
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            out[start:stop] = self._embed(texts[start:stop])
+        return out
+
+    def _embed(self, texts: list[str]) -> np.ndarray:
         found = [self.pattern.findall(t.lower()) for t in texts]
         lengths = [len(f) for f in found]
         out = np.zeros((len(texts), self.dim))
