@@ -1,10 +1,15 @@
 """Approximate vector search over product-quantised residuals in two-level cells.
 
 A vector is its coarse centre, plus one of the fine centres (shared by all coarse ones), plus a residual
-whose parts of ``PART`` dimensions are replaced by the nearest entry of a codebook. A query looks up the
-distances of its own residual parts to the codebook entries, so an item costs one table lookup per part
-instead of a product of whole vectors. The best of a query's cells are scored again with their stored
-vectors; only this short list, whose length does not depend on the table, is scored exactly.
+whose parts of ``PART`` dimensions are replaced by the nearest entry of a codebook. An item is stored as a
+cell and one byte per part; a search puts its vector together again, in floats and for a run of items at a
+time, and compares it with all queries of a block in one product. The best of a query's cells are scored
+again with their stored vectors; only this short list, whose length does not depend on the table, is scored
+exactly.
+
+A query that probes few of the cells is dealt to them. Where most cells must be probed, blocks of queries
+meet blocks of items instead, and a bit per cell tells what a query probes: a row per query and cell would
+be many times the table.
 
 Cells grow with the table at a constant number of rows each, centres only with its square root. How many
 cells a query must probe depends on how clustered the vectors are; fitting measures it on the sample.
@@ -31,6 +36,10 @@ ROWS_PER_CELL = 256
 MAX_CENTRES = 1024
 #: Dimensions per code and entries per codebook; a code is one byte.
 PART, ENTRIES = 2, 256
+#: Queries are dealt to their cells while they probe at most this part of them.
+ROUTED_SHARE = 1 / 16
+#: Distances of vectors to centres held at once.
+DISTANCES = 1_000_000
 #: Items scored exactly per query.
 SHORTLIST = 50
 #: Share of true neighbours that must lie in the probed cells of the sample, and vectors asked for it.
@@ -55,6 +64,11 @@ class Quantiser:
     def nearest_cells(self, unit: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` cells nearest to each vector, nearest first: those of the nearest coarse centres."""
         width = min(len(self.coarse), max(1, math.ceil(2 * probes / len(self.fine))))
+        step = max(1, DISTANCES // (width * len(self.fine) + len(self.coarse)))
+        found = [self._nearest_cells(unit[at : at + step], probes, width) for at in range(0, len(unit), step)]
+        return np.concatenate(found) if found else np.empty((0, min(probes, width * len(self.fine))), np.int64)
+
+    def _nearest_cells(self, unit: np.ndarray, probes: int, width: int) -> np.ndarray:
         apart = (self.coarse**2).sum(axis=1) - 2 * unit @ self.coarse.T
         near = np.argsort(apart, axis=1, kind="stable")[:, :width]
         own = np.take_along_axis(apart, near, axis=1)
@@ -72,9 +86,16 @@ class Quantiser:
         parts = _parts(rest, len(self.books))
         codes = np.empty((len(unit), len(self.books)), np.uint8)
         for m, book in enumerate(self.books):
-            codes[:, m] = ((book**2).sum(axis=1) - 2 * parts[:, m] @ book.T).argmin(axis=1)
+            codes[:, m] = _nearest(parts[:, m], book)[0]
         return cell, codes
 
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for, in floats."""
+        rest = np.concatenate([book.astype(np.float32)[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+        rest = rest[:, : self.coarse.shape[1]]
+        rest += (self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]).astype(np.float32)
+        return rest
+
 
 def _parts(rest: np.ndarray, parts: int) -> np.ndarray:
     """Vectors as (n, parts, PART), zeros after their last dimension."""
@@ -87,17 +108,27 @@ def _units(vectors) -> np.ndarray:
     return raw / np.where(norm > 0, norm, 1.0)[:, None]
 
 
+def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre of each point and its squared distance less the point's own square."""
+    weight, step = (centres**2).sum(axis=1), max(1, DISTANCES // len(centres))
+    own, apart = np.empty(len(points), np.int64), np.empty(len(points))
+    for at in range(0, len(points), step):
+        part = weight - 2 * points[at : at + step] @ centres.T
+        own[at : at + step] = part.argmin(axis=1)
+        apart[at : at + step] = part.min(axis=1)
+    return own, apart
+
+
 def _centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
     """``k`` means of a bounded sample; a centre without points takes a point far from its own centre."""
     rng = np.random.default_rng(seed)
     centres = points[rng.choice(len(points), k, replace=len(points) < k)].copy()
     for _ in range(ITERATIONS):
-        apart = (centres**2).sum(axis=1) - 2 * points @ centres.T
-        own = apart.argmin(axis=1)
+        own, apart = _nearest(points, centres)
         n = np.bincount(own, minlength=k)
         total = np.stack([np.bincount(own, weights=points[:, i], minlength=k) for i in range(points.shape[1])], axis=1)
         centres[n > 0] = total[n > 0] / n[n > 0][:, None]
-        far = np.argsort(-(apart[np.arange(len(points)), own] + (points**2).sum(axis=1)), kind="stable")
+        far = np.argsort(-(apart + (points**2).sum(axis=1)), kind="stable")
         empty = np.flatnonzero(n == 0)[: len(points)]
         centres[empty] = points[far[: len(empty)]]
     return centres
@@ -106,9 +137,12 @@ def _centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
 def _needed_probes(q: Quantiser, unit: np.ndarray, recall: float) -> int:
     """Cells to probe so that ``recall`` of the ten nearest of some sampled vectors lie in them."""
     asked = unit[:ASKED]
-    alike = asked @ unit.T
-    alike[np.arange(len(asked)), np.arange(len(asked))] = -2
-    near = np.argsort(-alike, axis=1, kind="stable")[:, : min(10, len(unit) - 1)]
+    near = []
+    for i, vector in enumerate(asked):
+        alike = -(unit @ vector)
+        alike[i] = 2
+        near.append(np.argsort(alike, kind="stable")[: min(10, len(unit) - 1)])
+    near = np.stack(near) if near else np.empty((0, 0), np.int64)
     if not near.size:
         return 1
     # Place of each neighbour's cell in the order in which the query would probe.
@@ -135,7 +169,7 @@ def fit_quantiser(chunks: DataFrame, recall: float = CELL_RECALL, seed: int = 7)
     def levels(rows: pd.DataFrame) -> pd.DataFrame:
         unit = _units(rows.sort_values("h")["v"])
         coarse = _centres(unit, side, seed)
-        own = ((coarse**2).sum(axis=1) - 2 * unit @ coarse.T).argmin(axis=1)
+        own = _nearest(unit, coarse)[0]
         fine = _centres(unit - coarse[own], side, seed + 1)
         probes = _needed_probes(Quantiser(coarse, fine, np.empty((0, 0, 0)), 1), unit, recall)
         return pd.DataFrame({"level": [0] * len(coarse) + [1] * len(fine), "centre": [*coarse, *fine], "probes": probes})
@@ -146,8 +180,9 @@ def fit_quantiser(chunks: DataFrame, recall: float = CELL_RECALL, seed: int = 7)
     bare = Quantiser(coarse, fine, np.empty((0, 0, 0)), 1)
 
     def residuals(batches):
-        for rows in batches:
-            if len(rows):
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                rows = batch.iloc[at : at + 1000]
                 unit = _units(rows["v"])
                 cell = bare.nearest_cells(unit, 1)[:, 0]
                 rest = _parts(unit - coarse[cell // len(fine)] - fine[cell % len(fine)], parts)
@@ -200,66 +235,93 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, Quantiser]:
     return spark.read.parquet(f"{path}/rows"), Quantiser(part["coarse"], part["fine"], books, int(part["probes"][0, 0]))
 
 
-class LookupScore:
-    """Cosine of queries with the quantised items of one cell, from tables of distances."""
+class CodeScore:
+    """Cosine of queries with the vectors that the items' cells and codes stand for, in floats.
+
+    ``probed`` of a query holds a bit per cell; items of other cells do not qualify. Without that column
+    all do. The cosine of a vector put together from codes comes from its distance to the query.
+    """
+
+    order = "cell"
 
     def __init__(self, model: Quantiser):
         self.model = model
 
-    def prepare(self, queries: pd.DataFrame) -> np.ndarray:
-        return _units(queries["embedding"])
+    def prepare(self, queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        unit = _units(queries["embedding"])
+        free = None
+        if "probed" in queries.columns:
+            bits = np.frombuffer(b"".join(queries["probed"]), np.uint8).reshape(len(queries), -1)
+            free = np.unpackbits(bits, axis=1, count=self.model.cells).T == 0  # cells not probed, by cell
+        return unit.astype(np.float32), (1 - (unit**2).sum(axis=1) / 2).astype(np.float32), free
 
-    def width(self, state: np.ndarray) -> int:
-        return 4 * len(self.model.books)
+    def width(self, state: tuple) -> int:
+        return state[0].shape[1]
 
-    def score(self, state: np.ndarray, picked: np.ndarray, items: pd.DataFrame) -> np.ndarray:
-        books = self.model.books
-        centre = self.model.centre(int(items["route"].iloc[0]))
+    def ready(self, items: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cell = items["cell"].to_numpy()
         codes = np.frombuffer(b"".join(items["codes"]), np.uint8).reshape(len(items), -1)
-        out = np.empty((len(picked), len(items)), np.float32)
-        own = (books**2).sum(axis=2)[:, None, :].astype(np.float32)
-        turned = books.transpose(0, 2, 1).astype(np.float32)
-        for at in range(0, len(picked), 256):
-            rest = state[picked[at : at + 256]] - centre
-            parts = _parts(rest, len(books)).transpose(1, 0, 2).astype(np.float32)
-            table = own - 2 * (parts @ turned)  # parts, queries, entries
-            total = np.repeat((rest**2).sum(axis=1, keepdims=True).astype(np.float32), len(items), axis=1)
-            for m in range(len(books)):
-                total += table[m].take(codes[:, m], axis=1)
-            out[at : at + 256] = 1 - total / 2
+        vectors = self.model.decode(cell, codes)
+        return np.ascontiguousarray(vectors.T), (vectors**2).sum(axis=1) / 2, cell
+
+    def score(self, state: tuple, picked: np.ndarray, items: tuple) -> np.ndarray:
+        unit, own, free = state
+        vectors, half, cell = items
+        out = unit[picked] @ vectors
+        out -= half
+        out += own[picked][:, None]
+        if free is not None:
+            edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]  # items come by cell
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                out[free[cell[start]][picked], start:stop] = -np.inf
         return out
 
 
 def probed(queries: DataFrame, model: Quantiser, probes: int | None = None) -> DataFrame:
-    """query_id, embedding, cell: a row per cell that a query probes."""
+    """query_id, embedding, and the cells that a query probes: a row per ``cell``, or if they are many
+    (``ROUTED_SHARE``) one row with a bit per cell in ``probed``."""
     wanted = min(model.cells, model.probes if probes is None else probes)
+    usable = queries.filter(F.col("embedding").isNotNull())
+    if wanted <= model.cells * ROUTED_SHARE:
 
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(model.nearest_cells(_units(vectors), wanted).astype("int32")))
+        @F.pandas_udf("array<int>")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            return pd.Series(list(model.nearest_cells(_units(vectors), wanted).astype("int32")))
 
-    usable = queries.filter(F.col("embedding").isNotNull())
-    return usable.select("query_id", "embedding", F.explode(nearest.asNondeterministic()("embedding")).alias("cell"))
+        return usable.select("query_id", "embedding", F.explode(nearest.asNondeterministic()("embedding")).alias("cell"))
+
+    @F.pandas_udf("binary")
+    def bits(vectors: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(vectors), 500):
+            cells = model.nearest_cells(_units(vectors.iloc[at : at + 500]), wanted)
+            has = np.zeros((len(cells), model.cells), np.uint8)
+            np.put_along_axis(has, cells, 1, axis=1)
+            out += [row.tobytes() for row in np.packbits(has, axis=1)]
+        return pd.Series(out, dtype=object)
+
+    return usable.select("query_id", "embedding", bits.asNondeterministic()("embedding").alias("probed"))
 
 
 def short_lists(asked: DataFrame, index: DataFrame, model: Quantiser, shortlist: int = SHORTLIST, **plan) -> DataFrame:
-    """query_id, item_id: the best items of the probed cells by their codes."""
-    left = asked.withColumnRenamed("cell", "route")
-    right = index.select(F.col("chunk_id").alias("item_id"), "codes", F.col("cell").alias("route"))
-    return top_items(left, right, LookupScore(model), shortlist, **plan).select("query_id", "item_id")
+    """query_id, item_id: the best items of the probed cells by their codes. ``asked`` is what :func:`probed` gives."""
+    right = index.select(F.col("chunk_id").alias("item_id"), "codes", "cell")
+    if "cell" in asked.columns:
+        asked, right = asked.withColumnRenamed("cell", "route"), right.withColumn("route", F.col("cell"))
+    return top_items(asked, right, CodeScore(model), shortlist, **plan).select("query_id", "item_id")
 
 
 def rescored(short: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, chunk_id, score)``: the ``k`` best of the short lists by exact cosine."""
 
     def unit(df: DataFrame, key: str, out: str) -> DataFrame:
-        v = F.col("embedding").cast("array<double>")
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        v = F.col("embedding")  # travels as it is stored
+        norm = F.sqrt(F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
         return df.select(F.col(key).alias(out), F.struct(v.alias("v"), norm.alias("n")).alias(f"_{out}"))
 
     pairs = short.join(unit(chunks, "chunk_id", "item_id"), "item_id").join(unit(queries, "query_id", "query_id"), "query_id")
     a, b = F.col("_query_id"), F.col("_item_id")
-    dot = F.aggregate(F.zip_with(a["v"], b["v"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with(a["v"], b["v"], lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     score = F.round(F.coalesce(F.try_divide(dot, a["n"] * b["n"]), F.lit(0.0)), 6)
     top = top_per_key(pairs.select("query_id", "item_id", score.alias("score")), ["query_id"], [F.desc("score")], k, tie="item_id")
     return top.select("query_id", "rank", F.col("item_id").alias("chunk_id"), "score")
