@@ -151,11 +151,14 @@ class Model:
         g_offset = np.bincount(np.maximum(_BEHIND, 0).ravel(), weights=g_s.sum(axis=0).ravel(), minlength=WINDOW)
         g_s *= np.float32(WIDTH**-0.5)
         g_q, g_k = g_s @ k, g_s.transpose(0, 2, 1) @ q
+        # Sums by row: of the positions in order of their rows.
         flat = rows.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
         out = []
         for g in (g_q, g_k, g_v):
             total = np.zeros((self.vocabulary.rows, WIDTH), np.float32)
-            np.add.at(total, flat, g.reshape(-1, WIDTH))
+            total[flat[order[first]]] = np.add.reduceat(g.reshape(-1, WIDTH)[order], first, axis=0)
             out.append(total.ravel())
         return np.concatenate([*out, g_offset.astype(np.float32), g_out.ravel()])
 
@@ -182,13 +185,19 @@ class Model:
         return weights
 
 
+def windows_of(per_doc: np.ndarray) -> np.ndarray:
+    """Number of windows of texts of so many ids."""
+    length = per_doc + 1
+    return np.where(length <= WINDOW, 1, 1 + -(-(length - WINDOW) // _STRIDE))
+
+
 def cut_windows(ids: np.ndarray, per_doc: np.ndarray, edge: int):
     """Windows of the texts' ids, opened and ended by ``edge``: x, y, scored, document number.
 
     Neighbouring windows overlap; every id, the end included, is scored in exactly one.
     """
     length = per_doc + 1
-    count = np.where(length <= WINDOW, 1, 1 + -(-(length - WINDOW) // _STRIDE))
+    count = windows_of(per_doc)
     doc = np.repeat(np.arange(len(length)), count)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     stream = np.insert(ids.astype(np.int32), np.cumsum(per_doc), edge)  # every text with its end

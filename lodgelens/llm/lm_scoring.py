@@ -1,9 +1,10 @@
 """Log probability of whole texts: a causal self-attention model, next to a word unigram model.
 
-One pass over the training texts counts words and neighbouring subword ids, and sets aside a fixed
-share of the windows. The counts of all training texts give the model its tables; the attention weights
-are fitted on the windows set aside, by tasks in parallel whose results are averaged. A second pass
-scores every text: overlapping windows, each id once.
+One pass over the training texts counts words and neighbouring subword ids, and stores the texts as ids.
+The counts of all training texts give the model its tables; the attention weights are fitted on every
+window of every training text, by tasks in parallel whose results are averaged: each round takes the texts
+of its own share, so each window is learned from once. A second pass scores every text: overlapping
+windows, each id once.
 
 Words of the unigram model that make up at least 1 / ``FREQUENT`` of the training text are at most that
 many and are looked up in the task; counts of the others are joined.
@@ -18,19 +19,18 @@ from pyspark.sql import functions as F
 
 from lodgelens.llm import attention_lm as lm
 from lodgelens.llm.subwords import default_tokenizer, encoder
-from lodgelens.llm.words import hash_strings, mix, slices, split_words
+from lodgelens.llm.words import hash_strings, mix, release_memory, slices, split_words
 from lodgelens.session import materialise
 
 #: Bound of the broadcast word table: a word in it is at least this part of all training tokens.
 FREQUENT = 1 << 21
-#: One window in so many is used to fit the attention weights; the number grows with the corpus.
-WINDOW_SHARE = 64
-WINDOWS_PER_TASK, LEAST_STEPS, ROUNDS, RATE = 20_000, 60, 2, 0.02
+#: Windows that one task fits on, its least steps (short corpora are gone through again), rounds and rate.
+WINDOWS_PER_TASK, LEAST_STEPS, ROUNDS, RATE = 100_000, 60, 2, 0.02
 HELD_OUT = (10, 0)
 SMOOTHING = 0.1
 _END = np.uint64(0x0E4D0F7E97)
 _SLICE_WINDOWS = 256
-_WORD, _PAIR, _WINDOW, _DOC, _RARE = range(5)
+_WORD, _PAIR, _IDS, _DOC, _RARE = range(5)
 
 
 def id_remainder(modulus: int):
@@ -75,8 +75,16 @@ class _Sums:
         self.held, self.size = [], 0
 
 
+def _kind(size: int) -> str:
+    """How ids up to ``size`` are stored."""
+    return "<u2" if size < 65536 else "<u4"
+
+
 def _gathered(training: DataFrame, path: str) -> DataFrame:
-    """Counts of words and of pairs of ids, and the windows set aside, of the training texts."""
+    """Counts of words and of pairs of ids of the training texts, and each text as ids with its windows' number.
+
+    The key of a text's ids is a hash of its doc_id and its ids, which deals it to a round.
+    """
 
     def run(batches):
         words_seen, pairs_seen = _Sums(_WORD), _Sums(_PAIR)
@@ -92,13 +100,12 @@ def _gathered(training: DataFrame, path: str) -> DataFrame:
             x = np.concatenate([[edge], y[:-1]])
             pairs, times = np.unique(x * (edge + 1) + y, return_counts=True)
             yield from pairs_seen.add(pairs.astype(np.uint64), times)
-            x, y, scored, owner = lm.cut_windows(ids, per_doc, edge)
-            rid = part["doc_id"].cast(pa.int64()).fill_null(-1).to_numpy().view(np.uint64)[owner]
-            nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            kept = np.flatnonzero(mix(rid * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64)) % np.uint64(WINDOW_SHARE) == 0)
-            if len(kept):
-                packed = np.concatenate([x[kept], y[kept], scored[kept]], axis=1).astype("<u2" if edge < 65536 else "<i4")
-                yield _rows(_WINDOW, kept, np.ones(len(kept)), [row.tobytes() for row in packed])
+            ends = np.cumsum(per_doc)
+            packed = ids.astype(_kind(edge))
+            rid = part["doc_id"].cast(pa.int64()).fill_null(-1).to_numpy().view(np.uint64)
+            held = [packed[stop - n : stop].tobytes() for n, stop in zip(per_doc.tolist(), ends.tolist(), strict=True)]
+            key = mix(rid * np.uint64(0x9E3779B97F4A7C15) + per_doc.astype(np.uint64))
+            yield _rows(_IDS, key.view(np.int64), lm.windows_of(per_doc), held)
         yield from words_seen.flush()
         yield from pairs_seen.flush()
 
@@ -106,7 +113,7 @@ def _gathered(training: DataFrame, path: str) -> DataFrame:
 
 
 def _fit(gathered: DataFrame, size: int) -> lm.Model:
-    """The model from the counts of pairs of ids and the windows set aside."""
+    """The model from the counts of pairs of ids and all training texts' ids."""
     spark = gathered.sparkSession
     base = size + 1
     pairs = gathered.where(F.col("kind") == _PAIR).groupBy("key").agg(F.sum("n").alias("n"))
@@ -137,26 +144,29 @@ def _fit(gathered: DataFrame, size: int) -> lm.Model:
     vocabulary.set_classes(after)
     by_row = summed(vocabulary.row, vocabulary.kind, (vocabulary.rows, lm.CLASSES))
     model = lm.Model(vocabulary, *lm.tables(vocabulary, by_row, after), lm.initial(vocabulary.rows))
-    windows = gathered.where(F.col("kind") == _WINDOW).select("data")
-    total = windows.count()
-    if not total:
-        return model
-    tasks = max(1, total // WINDOWS_PER_TASK)
-    kind = "<u2" if size < 65536 else "<i4"
+    texts = gathered.where(F.col("kind") == _IDS).select((F.pmod("key", F.lit(ROUNDS))).alias("turn"), "n", "data")
+    shares = dict(texts.groupBy("turn").agg(F.sum("n").alias("n")).collect())  # at most ROUNDS rows
+    kind = _kind(size)
     for turn in range(ROUNDS):
+        if turn not in shares:
+            continue
+        tasks = -(-shares[turn] // WINDOWS_PER_TASK)
         held = spark.sparkContext.broadcast(model)
 
         def train(batches, held=held, turn=turn):
-            rows = [np.frombuffer(v.as_buffer(), kind) for b in batches for v in b["data"]]
-            if rows:
-                x, y, scored = np.split(np.stack(rows).astype(np.int32), 3, axis=1)
-                weights = held.value.train(x, y, scored > 0, LEAST_STEPS, RATE / (1 + turn), turn)
+            ids = [np.frombuffer(v.as_buffer(), kind) for b in batches for v in b["data"]]
+            if ids:
+                per_doc = np.array([len(v) for v in ids])
+                x, y, scored, _ = lm.cut_windows(np.concatenate(ids), per_doc, size)
+                weights = held.value.train(x, y, scored, LEAST_STEPS, RATE / (1 + turn), turn)
                 yield pa.record_batch(
-                    [pa.array(np.arange(len(weights))), pa.array(weights.astype(np.float64) * len(rows)), pa.array(np.full(len(weights), float(len(rows))))],
+                    [pa.array(np.arange(len(weights))), pa.array(weights.astype(np.float64) * len(x)), pa.array(np.full(len(weights), float(len(x))))],
                     names=["at", "w", "m"],
                 )
+            release_memory()
 
-        parts = windows.repartition(tasks).mapInArrow(train, "at long, w double, m double")
+        own = texts.where(F.col("turn") == turn).select("data")
+        parts = own.repartition(tasks).mapInArrow(train, "at long, w double, m double")
         mean = parts.groupBy("at").agg((F.sum("w") / F.sum("m")).alias("w"))
         weights = model.weights.copy()
         for at, w in _columns(mean, "at", "w"):  # one row per weight

@@ -593,3 +593,18 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "pii", "best_fit_packing"]
+
+
+def test_lm_learns_from_every_window(spark):
+    """Each training text is stored as ids once, whole, whatever its length."""
+    from lodgelens.llm.subwords import default_tokenizer, encoder
+
+    texts = ["", None, "one two three", "word " * 500, *[f"some text number {i} with words" for i in range(60)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = default_tokenizer()
+    stored = lm_scoring._gathered(docs, path).where(f"kind = {lm_scoring._IDS}").collect()
+    assert len(stored) == len(texts)
+    edge = encoder(path).vocabulary
+    lengths = np.array([len(r["data"]) // np.dtype(lm_scoring._kind(edge)).itemsize for r in stored])
+    assert sum(r["n"] for r in stored) == len(lm_scoring.lm.cut_windows(np.zeros(lengths.sum(), np.int32), lengths, edge)[0])
+    assert lengths.max() >= 500 and {r["key"] % lm_scoring.ROUNDS for r in stored} == set(range(lm_scoring.ROUNDS))
