@@ -44,10 +44,11 @@ class KeepBest(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         place = lambda row: [_place(row[i]) for i in self.at]
         best = min((tuple(r) for r in rows), key=place)
-        if not self.held.exists():
+        before = self.held.get()  # one call to the state store; None without a row
+        if before is None:
             yield self.change(*best, INSERT)
         else:
-            before = tuple(self.held.get())
+            before = tuple(before)
             if not place(best) < place(before):
                 return
             yield self.change(*before, BEFORE)
