@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.llm.running import numbered
+from lodgelens.llm.words import release_memory
 from lodgelens.session import materialise
 
 FANOUT = 8
@@ -157,6 +158,13 @@ def fold_path(tops: np.ndarray, path: bytes) -> np.ndarray:
     return tops
 
 
+def _rows_of(batch: pa.RecordBatch):
+    """Packed rows one at a time: each holds thousands of leaves, as Python objects many times its size."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+    release_memory()
+
+
 _PACKED = "g string, chunk long, k int, n int, digests binary, states binary, top binary"
 
 
@@ -185,6 +193,7 @@ def _pack(entries: DataFrame, done: int) -> DataFrame:
         if leaves:
             columns["doc_id"] = pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64()))
             columns["changed"] = pa.array([b"".join(table["changed"].to_pylist())], pa.binary())
+        release_memory()
         return pa.table(columns)
 
     schema = _PACKED + (", doc_id array<long>, changed binary" if leaves else "")
@@ -250,7 +259,7 @@ def _with_paths(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
 
         def expand(batches):
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows_of(batch):
                     nodes, states = _unpacked(row)
                     paths = [
                         b"".join(_step(nodes[level], states[level], at // FANOUT**level) for level in range(row["k"])) + row["path"]
@@ -274,7 +283,7 @@ def _proofs(batches):
     """Per leaf of packed rows: its digest, proof and folded root."""
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows_of(batch):
             nodes, states = _unpacked(row)
             n, root = row["n"], row["root"]
             above = b"".join(siblings.tobytes() for _, _, _, siblings in _steps(row["path"])).hex()
@@ -354,7 +363,7 @@ def manifest(docs: DataFrame) -> DataFrame:
 
     def expand(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows_of(batch):
                 nodes, states = _unpacked(row)
                 first = row["chunk"] * run
                 for at in range(row["n"]):

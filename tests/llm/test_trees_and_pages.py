@@ -282,3 +282,14 @@ def test_suffix_ranks_equal_prefixes():
         assert sorted(order.tolist()) == [i for i in range(400 - depth + 1) if page[i] == page[i + depth - 1]]
         assert all((prefix[a] == prefix[b]) == (x == y) for a, b, x, y in zip(order.tolist(), order[1:].tolist(), rank, rank[1:], strict=False))
         assert [prefix[i] for i in order.tolist()] == sorted(prefix.values())
+
+
+def test_packed_rows_are_read_one_at_a_time():
+    import pyarrow as pa
+
+    from lodgelens.llm import merkle_manifest
+
+    batch = pa.record_batch({"n": pa.array([1, 2, 3]), "doc_id": pa.array([[1], [2, 3], None])})
+    rows = merkle_manifest._rows_of(batch)
+    assert next(rows) == {"n": 1, "doc_id": [1]}
+    assert list(rows) == [{"n": 2, "doc_id": [2, 3]}, {"n": 3, "doc_id": None}]
