@@ -19,9 +19,12 @@ OWN_ROWS, HASHED_ROWS, CONTEXTS = 1023, 256, 1024
 #: Entries of the table of ids within classes at most: contexts times ids seen.
 MAX_ENTRIES = 8_000_000
 BATCH = 256
+#: Windows of one array: their attention stays in a core's own cache.
+BLOCK = 64
 _STRIDE = WINDOW - OVERLAP
 _BEHIND = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _FUTURE = np.where(_BEHIND < 0, np.float32(-1e9), np.float32(0))
+_ONES = np.ones(CLASSES, np.float32)
 
 
 class Vocabulary:
@@ -112,55 +115,79 @@ class Model:
         self.query, self.key, self.value = (weights[i * n : (i + 1) * n].reshape(-1, WIDTH) for i in range(3))
         self.offset = weights[3 * n : 3 * n + WINDOW]
         self.out = weights[3 * n + WINDOW :].reshape(WIDTH, CLASSES)
+        # Query, key and value of a row side by side; the one at the end sums the attention's parts.
+        self.joined = np.hstack([self.query * np.float32(WIDTH**-0.5), self.key, self.value, np.ones((len(self.key), 1), np.float32)])
+        self.bias = self.offset[np.maximum(_BEHIND, 0)] + _FUTURE
+        longest = [float(np.sqrt((t * t).sum(axis=1).max())) for t in (self.query, self.key, self.value, self.out.T)]
+        # Where no logit can pass its bound, none is compared with it.
+        self.steep = longest[0] * longest[1] * WIDTH**-0.5 + float(self.offset.max()) > 29
+        self.wide = longest[2] * longest[3] > 19
 
-    def _forward(self, x: np.ndarray):
-        rows = self.row[x]
-        q, k, v = self.query[rows], self.key[rows], self.value[rows]
-        bias = self.offset[np.maximum(_BEHIND, 0)] + _FUTURE
+    def _forward(self, x: np.ndarray, start: int):
+        """Logits of the classes after positions ``start`` and later, and what led to them."""
+        rows = self.row.take(x)
+        joined = self.joined.take(rows, axis=0)
+        q, k, v = joined[:, start:, :WIDTH], joined[:, :, WIDTH : 2 * WIDTH], joined[:, :, 2 * WIDTH :]
         s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        s += bias
-        np.minimum(s, 30, out=s)
+        s += self.bias[start:]
+        if self.steep:
+            np.minimum(s, 30, out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
         h = s @ v
+        total = h[:, :, WIDTH:]
+        h = h[:, :, :WIDTH] / total
         z = h.reshape(-1, WIDTH) @ self.out
-        np.clip(z, -20, 20, out=z)
-        z += self.step[rows.ravel()]
-        return rows, q, k, v, s, h, z
-
-    def log_probability(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probability of each next id ``y`` of windows ``x`` (windows x positions)."""
-        z = self._forward(x)[-1]
-        y = y.ravel()
-        hit = z[np.arange(len(y)), self.kind[y]]
+        if self.wide:
+            np.clip(z, -20, 20, out=z)
+        z += self.step.take(rows[:, start:].ravel(), axis=0)
+        return rows, q, k, v, s, total, h, z
+
+    def log_probability(self, x: np.ndarray, y: np.ndarray, start: int = 0) -> np.ndarray:
+        """Natural log probability of each next id ``y`` of windows ``x`` (windows x positions), from ``start`` on."""
+        z = self._forward(x, start)[-1]
+        x, y = x[:, start:], y[:, start:].ravel()
+        hit = z.ravel()[np.arange(0, z.size, CLASSES) + self.kind.take(y)]
         np.exp(z, out=z)
-        return (hit - np.log(z.sum(axis=1)) + self.within[self.context[x.ravel()], self.column[y]]).reshape(x.shape)
+        hit -= np.log(z @ _ONES)
+        place = self.context.take(x.ravel()).astype(np.int64) * self.within.shape[1] + self.column.take(y)
+        hit += self.within.ravel().take(place)
+        return hit.reshape(x.shape)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        rows, q, k, v, p, h, z = self._forward(x)
-        z = np.exp(z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(y.size), self.kind[y.ravel()]] -= 1
-        z *= (scored.ravel() / max(scored.sum(), 1)).astype(np.float32)[:, None]
-        g_out = h.reshape(-1, WIDTH).T @ z
-        g_h = (z @ self.out.T).reshape(h.shape)
-        g_v = p.transpose(0, 2, 1) @ g_h
-        g_p = g_h @ v.transpose(0, 2, 1)
-        g_s = p * (g_p - (g_p * p).sum(axis=2, keepdims=True))
-        g_offset = np.bincount(np.maximum(_BEHIND, 0).ravel(), weights=g_s.sum(axis=0).ravel(), minlength=WINDOW)
-        g_s *= np.float32(WIDTH**-0.5)
-        g_q, g_k = g_s @ k, g_s.transpose(0, 2, 1) @ q
-        # Sums by row: of the positions in order of their rows.
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-        out = []
-        for g in (g_q, g_k, g_v):
-            total = np.zeros((self.vocabulary.rows, WIDTH), np.float32)
-            total[flat[order[first]]] = np.add.reduceat(g.reshape(-1, WIDTH)[order], first, axis=0)
-            out.append(total.ravel())
-        return np.concatenate([*out, g_offset.astype(np.float32), g_out.ravel()])
+        # Lines of the blocks one after another, each position's part of its row's gradient; the last is zero.
+        lines = np.empty((x.size + 1, 3 * WIDTH), np.float32)
+        lines[-1] = 0
+        at = 0
+        g_out, g_bias = np.zeros((WIDTH, CLASSES), np.float32), np.zeros((WINDOW, WINDOW), np.float32)
+        all_rows = np.empty(x.size, np.int32)
+        share = np.float32(1 / max(scored.sum(), 1))
+        for pick, start in parts(scored):
+            rows, q, k, v, p, total, h, z = self._forward(x[pick], start)
+            to = slice(at, at + rows.size)
+            at += rows.size
+            all_rows[to] = rows.ravel()
+            np.exp(z, out=z)
+            weight = scored[pick, start:].ravel() * share
+            z *= (weight / (z @ _ONES))[:, None]
+            z.ravel()[np.arange(0, z.size, CLASSES) + self.kind.take(y[pick, start:].ravel())] -= weight
+            g_out += h.reshape(-1, WIDTH).T @ z
+            # ``p`` is not divided by its sum: what it meets is. The column behind it takes away the mean.
+            g_h = np.empty((*h.shape[:2], WIDTH + 1), np.float32)
+            g_h[:, :, :WIDTH] = (z @ self.out.T).reshape(h.shape) / total
+            g_h[:, :, WIDTH] = -np.einsum("ijk,ijk->ij", g_h[:, :, :WIDTH], h)
+            g_s = g_h @ v.transpose(0, 2, 1)
+            g_s *= p
+            g_bias[start:] += g_s.sum(axis=0)
+            found = lines[to].reshape(*rows.shape, 3 * WIDTH)
+            found[:, :start, :WIDTH] = 0
+            np.matmul(g_s, k, out=found[:, start:, :WIDTH])
+            np.matmul(g_s.transpose(0, 2, 1), q, out=found[:, :, WIDTH : 2 * WIDTH])
+            np.matmul(p.transpose(0, 2, 1), g_h[:, :, :WIDTH], out=found[:, :, 2 * WIDTH :])
+        g_offset = np.bincount(np.maximum(_BEHIND, 0).ravel(), weights=g_bias.ravel(), minlength=WINDOW)
+        total = sums_by_row(lines, all_rows, self.vocabulary.rows)
+        total[:, :WIDTH] *= np.float32(WIDTH**-0.5)
+        tables = [total[:, i * WIDTH : (i + 1) * WIDTH].ravel() for i in range(3)]
+        return np.concatenate([*tables, g_offset.astype(np.float32), g_out.ravel()])
 
     def train(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, least_steps: int, rate: float, seed: int) -> np.ndarray:
         """Weights after Adam steps over all windows, again and again up to ``least_steps``."""
@@ -176,15 +203,53 @@ class Model:
                 self.load(weights)
                 g = self.gradient(x[pick], y[pick], scored[pick])
                 t += 1
-                m += (g - m) * np.float32(0.1)
-                u += (g * g - u) * np.float32(0.01)
+                m *= np.float32(0.9)
+                m += g * np.float32(0.1)
+                np.square(g, out=g)
+                g *= np.float32(0.01)
+                u *= np.float32(0.99)
+                u += g
                 pace = rate * min(1.0, t / 20) * (1 - 0.9 * (t - 1) / total)
-                weights = weights - np.float32(pace) * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.99**t)) + 1e-8)
+                np.multiply(u, np.float32(1 / (1 - 0.99**t)), out=g)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-8)
+                np.divide(m, g, out=g)
+                g *= np.float32(pace / (1 - 0.9**t))
+                weights = weights - g
                 if t >= total:
                     break
         return weights
 
 
+def parts(scored: np.ndarray):
+    """Slices of windows and the first position that any of them scores: a text's first windows, and later ones."""
+    first = scored[:, :OVERLAP].any(axis=1)
+    for some, start in ((np.flatnonzero(~first), OVERLAP), (np.flatnonzero(first), 0)):
+        for i in range(0, len(some), BLOCK):
+            yield some[i : i + BLOCK], start
+
+
+def sums_by_row(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the lines of ``values`` that have the same ``row``; a line of zeros follows the last of them."""
+    if rows >= 1 << 16:
+        raise ValueError("rows are numbered in 16 bits")
+    order = np.argsort(row.astype(np.uint16), kind="stable")
+    counts = np.bincount(row, minlength=rows)
+    # Lines of a row in groups of four, filled up with a line of zeros: most sums are of whole arrays.
+    groups = -(-counts // 4)
+    places = np.full((int(groups.sum()), 4), len(row))
+    first = 4 * (np.cumsum(groups) - groups) - (np.cumsum(counts) - counts)
+    places.ravel()[np.arange(len(order)) + np.repeat(first, counts)] = order
+    some = values.take(places[:, 0], axis=0)
+    for i in range(1, 4):
+        some += values.take(places[:, i], axis=0)
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    seen = np.flatnonzero(groups)
+    if len(seen):
+        out[seen] = np.add.reduceat(some, (np.cumsum(groups) - groups)[seen], axis=0)
+    return out
+
+
 def windows_of(per_doc: np.ndarray) -> np.ndarray:
     """Number of windows of texts of so many ids."""
     length = per_doc + 1

@@ -1,10 +1,11 @@
 """Log probability of whole texts: a causal self-attention model, next to a word unigram model.
 
-One pass over the training texts counts words and neighbouring subword ids, and stores the texts as ids.
-The counts of all training texts give the model its tables; the attention weights are fitted on every
-window of every training text, by tasks in parallel whose results are averaged: each round takes the texts
-of its own share, so each window is learned from once. A second pass scores every text: overlapping
-windows, each id once.
+One pass over all texts stores them as ids and counts words and neighbouring subword ids of the training
+texts. Their counts give the model its tables; the attention weights are fitted on every window of every
+training text, by tasks in parallel whose results are averaged: each round takes the texts of its own share,
+so each window is learned from once. The model then scores the stored ids of every text: overlapping
+windows, each id once. A second pass over the texts gives their words' base score; the two meet by the
+text's digest, whatever the order in which the rows are read.
 
 Words of the unigram model that make up at least 1 / ``FREQUENT`` of the training text are at most that
 many and are looked up in the task; counts of the others are joined.
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.llm import attention_lm as lm
@@ -29,8 +31,8 @@ WINDOWS_PER_TASK, LEAST_STEPS, ROUNDS, RATE = 100_000, 60, 2, 0.02
 HELD_OUT = (10, 0)
 SMOOTHING = 0.1
 _END = np.uint64(0x0E4D0F7E97)
-_SLICE_WINDOWS = 256
-_WORD, _PAIR, _IDS, _DOC, _RARE = range(5)
+_SLICE_WINDOWS = 2048
+_WORD, _PAIR, _IDS, _DOC, _RARE, _HELD = range(6)
 
 
 def id_remainder(modulus: int):
@@ -38,11 +40,13 @@ def id_remainder(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def _rows(kind: int, key: np.ndarray, n: np.ndarray, data=None) -> pa.RecordBatch:
+def _rows(kind, key: np.ndarray, n: np.ndarray, data=None, digest=None) -> pa.RecordBatch:
     data = pa.nulls(len(key), pa.binary()) if data is None else pa.array(data, pa.binary())
+    digest = pa.nulls(len(key), pa.binary()) if digest is None else digest
+    kinds = np.broadcast_to(np.asarray(kind, np.int32), len(key))
     return pa.record_batch(
-        [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64)), data],
-        names=["kind", "key", "n", "data"],
+        [pa.array(kinds), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64)), data, digest],
+        names=["kind", "key", "n", "data", "digest"],
     )
 
 
@@ -80,10 +84,22 @@ def _kind(size: int) -> str:
     return "<u2" if size < 65536 else "<u4"
 
 
-def _gathered(training: DataFrame, path: str) -> DataFrame:
-    """Counts of words and of pairs of ids of the training texts, and each text as ids with its windows' number.
+def _digest():
+    """A digest of the text by which its two scores meet; a null text is empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
-    The key of a text's ids is a hash of its doc_id and its ids, which deals it to a round.
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a slice, the place of every word among them and its document's number."""
+    words, doc = split_words(texts)
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), doc
+
+
+def _gathered(docs: DataFrame, path: str, held_out: Column | None = None) -> DataFrame:
+    """Each text as ids with its windows' number; counts of words and of pairs of ids of the training texts.
+
+    All texts are training texts unless ``held_out`` tells which are not. The key of a text's ids is a hash of its doc_id and its ids, which deals it to a round.
     """
 
     def run(batches):
@@ -91,25 +107,32 @@ def _gathered(training: DataFrame, path: str) -> DataFrame:
         for part in slices(batches):
             code = encoder(path)
             edge = code.vocabulary
-            words, doc = split_words(part["text"])
-            keys, counts = np.unique(hash_strings(words), return_counts=True)
-            yield from words_seen.add(np.append(keys, _END), np.append(counts, len(part)))
-            ids, per_word = code.gather(code.rows(words)) if len(words) else (np.empty(0, np.uint32), np.empty(0))
+            learned = ~part["held_out"].to_numpy(zero_copy_only=False)
+            names, place, doc = _words(part["text"])
+            counts = np.bincount(place[learned[doc]], minlength=len(names))
+            seen = np.flatnonzero(counts)
+            keys, counts = hash_strings(names)[seen], counts[seen]
+            if learned.any():
+                yield from words_seen.add(np.append(keys, _END), np.append(counts, learned.sum()))
+            ids, per_word = code.gather(code.rows(names)[place]) if len(place) else (np.empty(0, np.uint32), np.empty(0))
             per_doc = np.bincount(doc, weights=per_word, minlength=len(part)).astype(np.int64)
             y = np.insert(ids.astype(np.int64), np.cumsum(per_doc), edge)
             x = np.concatenate([[edge], y[:-1]])
-            pairs, times = np.unique(x * (edge + 1) + y, return_counts=True)
+            own = np.repeat(learned, per_doc + 1)
+            pairs, times = np.unique((x * (edge + 1) + y)[own], return_counts=True)
             yield from pairs_seen.add(pairs.astype(np.uint64), times)
             ends = np.cumsum(per_doc)
             packed = ids.astype(_kind(edge))
             rid = part["doc_id"].cast(pa.int64()).fill_null(-1).to_numpy().view(np.uint64)
             held = [packed[stop - n : stop].tobytes() for n, stop in zip(per_doc.tolist(), ends.tolist(), strict=True)]
             key = mix(rid * np.uint64(0x9E3779B97F4A7C15) + per_doc.astype(np.uint64))
-            yield _rows(_IDS, key.view(np.int64), lm.windows_of(per_doc), held)
+            yield _rows(np.where(learned, _IDS, _HELD), key.view(np.int64), lm.windows_of(per_doc), held, part["digest"])
         yield from words_seen.flush()
         yield from pairs_seen.flush()
 
-    return training.select("doc_id", "text").mapInArrow(run, "kind int, key long, n long, data binary")
+    is_held = F.lit(False) if held_out is None else held_out
+    rows = docs.select("doc_id", "text", is_held.alias("held_out"), _digest().alias("digest"))
+    return rows.mapInArrow(run, "kind int, key long, n long, data binary, digest binary")
 
 
 def _fit(gathered: DataFrame, size: int) -> lm.Model:
@@ -195,43 +218,34 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     held_out = id_remainder(HELD_OUT[0]) == HELD_OUT[1]
-    gathered = materialise(_gathered(docs.where(~held_out), path), "gathered")
+    gathered = materialise(_gathered(docs, path, held_out), "gathered", "zstd")
     words = gathered.where(F.col("kind") == _WORD).groupBy("key").agg(F.sum("n").alias("c"))
     words = materialise(words, "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     whole, below = total["n"], total["n"] + SMOOTHING * (total["v"] + 1)
+    size = encoder(path).vocabulary
+    scores = materialise(_model_scores(gathered, _fit(gathered, size), size), "scores")
     [(key, count)] = _columns(words.where(F.col("c") * FREQUENT >= whole), "key", "c")  # at most FREQUENT rows
     order = np.argsort(key.view(np.uint64))
-    model = _fit(gathered, encoder(path).vocabulary)
-    held = spark.sparkContext.broadcast((key.view(np.uint64)[order], count[order].astype(np.int64), model))
+    held = spark.sparkContext.broadcast((key.view(np.uint64)[order], count[order].astype(np.int64)))
 
     def run(batches):
         from pyspark import TaskContext
 
-        keys, counts, model = held.value
+        keys, counts = held.value
         worth = np.log10((counts + SMOOTHING) / below)
         rid = TaskContext.get().partitionId() << 40
         for part in slices(batches):
-            code = encoder(path)
             size = len(part)
-            words, doc = split_words(part["text"])
-            hashes = np.concatenate([hash_strings(words), np.full(size, _END)])
+            names, place, doc = _words(part["text"])
+            names = np.append(hash_strings(names), _END)
+            place = np.concatenate([place, np.full(size, len(names) - 1)])
             doc_of = np.concatenate([doc, np.arange(size)])
-            names, place = np.unique(hashes, return_inverse=True)
             at = np.minimum(np.searchsorted(keys, names), max(len(keys) - 1, 0))
             frequent = keys[at] == names if len(keys) else np.zeros(len(names), bool)
             value = np.where(frequent, worth[at] if len(keys) else 0.0, 0.0)
             base = np.bincount(doc_of, weights=value[place], minlength=size)
             known = np.bincount(doc_of, weights=frequent[place], minlength=size).astype(np.int64)
-            ids, per_word = code.gather(code.rows(words)) if len(words) else (np.empty(0, np.uint32), np.empty(0))
-            per_doc = np.bincount(doc, weights=per_word, minlength=size).astype(np.int64)
-            score = np.zeros(size)
-            x, y, scored, owner = lm.cut_windows(ids, per_doc, code.vocabulary)
-            for i in range(0, len(x), _SLICE_WINDOWS):
-                to = slice(i, i + _SLICE_WINDOWS)
-                found = model.log_probability(x[to], y[to])
-                np.multiply(found, scored[to], out=found)
-                score += np.bincount(owner[to], weights=found.sum(axis=1, dtype=np.float64), minlength=size)
             yield pa.record_batch(
                 [
                     pa.array(np.full(size, _DOC, np.int32)),
@@ -241,37 +255,36 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                     pa.array(np.bincount(doc_of, minlength=size).astype(np.int64)),
                     pa.array(known),
                     pa.array(base),
-                    pa.array(score / np.log(10)),
                     pa.nulls(size, pa.int64()),
+                    part["digest"],
                 ],
                 names=_SCORED,
             )
             rare = np.flatnonzero(~frequent[place])
-            order = rare[np.lexsort((hashes[rare], doc_of[rare]))]
-            h, d = hashes[order], doc_of[order]
-            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.empty(0, np.int64)
-            times = np.diff(np.append(first, len(h)))
-            for i in range(0, len(first), 100_000):
-                to = first[i : i + 100_000]
-                blank = pa.nulls(len(to), pa.float64())
+            pairs, times = np.unique(doc_of[rare] * len(names) + place[rare], return_counts=True)
+            d, h = pairs // len(names), names[pairs % len(names)]
+            for i in range(0, len(pairs), 100_000):
+                to = slice(i, i + 100_000)
+                own = len(pairs[to])
+                blank = pa.nulls(own, pa.int64())
                 yield pa.record_batch(
                     [
-                        pa.array(np.full(len(to), _RARE, np.int32)),
+                        pa.array(np.full(own, _RARE, np.int32)),
                         pa.array(rid + d[to]),
-                        pa.nulls(len(to), pa.int64()),
-                        pa.nulls(len(to), pa.bool_()),
-                        pa.array(times[i : i + 100_000]),
-                        pa.nulls(len(to), pa.int64()),
                         blank,
+                        pa.nulls(own, pa.bool_()),
+                        pa.array(times[to].astype(np.int64)),
                         blank,
+                        pa.nulls(own, pa.float64()),
                         pa.array(h[to].view(np.int64)),
+                        pa.nulls(own, pa.binary()),
                     ],
                     names=_SCORED,
                 )
             rid += size
 
-    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    scored = materialise(rows.mapInArrow(run, _SCORED_SCHEMA), "scored")
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"), _digest().alias("digest"))
+    scored = materialise(rows.mapInArrow(run, _SCORED_SCHEMA), "scored", "zstd")
     rare = scored.where(F.col("kind") == _RARE).select("rid", F.col("key"), F.col("n_tokens").alias("n"))
     counted = rare.join(words, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     worth = F.log10((F.col("c") + SMOOTHING) / F.lit(float(below)))
@@ -279,6 +292,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return (
         scored.where(F.col("kind") == _DOC)
         .join(more, "rid", "left")
+        .join(scores.groupBy("digest").agg(F.max("score").alias("score")), "digest", "left")
         .select(
             "doc_id",
             "held_out",
@@ -291,7 +305,31 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     )
 
 
-_SCORED = ["kind", "rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "key"]
+def _model_scores(gathered: DataFrame, model: lm.Model, size: int) -> DataFrame:
+    """digest, score: the model's log10 probability of each stored text; copies have equal rows."""
+    held = gathered.sparkSession.sparkContext.broadcast(model)
+    kind = _kind(size)
+
+    def run(batches):
+        model = held.value
+        for part in slices(batches, "data"):
+            ids = np.frombuffer(b"".join(part["data"].to_pylist()), kind)
+            per_doc = pc.binary_length(part["data"]).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+            score = np.zeros(len(part))
+            x, y, scored, owner = lm.cut_windows(ids, per_doc, size)
+            for i in range(0, len(x), _SLICE_WINDOWS):
+                to = slice(i, i + _SLICE_WINDOWS)
+                for pick, start in lm.parts(scored[to]):
+                    pick = pick + i
+                    found = model.log_probability(x[pick], y[pick], start) * scored[pick, start:]
+                    score += np.bincount(owner[pick], weights=found.sum(axis=1, dtype=np.float64), minlength=len(part))
+            yield pa.record_batch([part["digest"], pa.array(score / np.log(10))], names=["digest", "score"])
+
+    texts = gathered.where(F.col("kind").isin(_IDS, _HELD)).select("data", "digest")
+    return texts.mapInArrow(run, "digest binary, score double")
+
+
+_SCORED = ["kind", "rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "key", "digest"]
 _SCORED_SCHEMA = (
-    "kind int, rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long"
+    "kind int, rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, key long, digest binary"
 )

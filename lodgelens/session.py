@@ -78,14 +78,15 @@ def size_shuffles(spark: SparkSession, input_bytes: int, per_task: int = 256 * 1
     return wanted
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage like a checkpoint does, but keeps parquet's column pruning
-    and filters for the readers, and survives the loss of any executor.
+    and filters for the readers, and survives the loss of any executor. ``compression``
+    is parquet's; None takes the session's.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -608,3 +608,55 @@ def test_lm_learns_from_every_window(spark):
     lengths = np.array([len(r["data"]) // np.dtype(lm_scoring._kind(edge)).itemsize for r in stored])
     assert sum(r["n"] for r in stored) == len(lm_scoring.lm.cut_windows(np.zeros(lengths.sum(), np.int32), lengths, edge)[0])
     assert lengths.max() >= 500 and {r["key"] % lm_scoring.ROUNDS for r in stored} == set(range(lm_scoring.ROUNDS))
+
+
+def test_lm_positions_left_out_change_nothing():
+    """Scores and gradients of a text's later windows leave out what nothing scores; all else is as in full."""
+    rng = np.random.default_rng(3)
+    size, counts = 60, np.ones(61)
+    vocabulary = attention_lm.Vocabulary(size, counts)
+    after = rng.poisson(2.0, (vocabulary.contexts, len(vocabulary.seen))).astype(float)
+    vocabulary.set_classes(after)
+    by_row = rng.poisson(2.0, (vocabulary.rows, attention_lm.CLASSES)).astype(float)
+    model = attention_lm.Model(vocabulary, *attention_lm.tables(vocabulary, by_row, after), attention_lm.initial(vocabulary.rows))
+    x, y, scored, _ = attention_lm.cut_windows(rng.integers(0, size, 900), np.array([0, 400, 3, 497]), size)
+    whole = model.log_probability(x, y)
+    picked = list(attention_lm.parts(scored))
+    assert sorted(np.concatenate([p for p, _ in picked]).tolist()) == list(range(len(x))) and {s for _, s in picked} == {0, attention_lm.OVERLAP}
+    for pick, start in picked:
+        assert not scored[pick, :start].any()
+        assert model.log_probability(x[pick], y[pick], start) == pytest.approx(whole[pick, start:], abs=1e-5)
+    # The gradient against small steps of single weights.
+    weights, gradient = model.weights.copy(), model.gradient(x, y, scored)
+
+    def loss(changed):
+        model.load(changed)
+        return -(model.log_probability(x, y).astype(np.float64) * scored).sum() / scored.sum()
+
+    for at in np.argsort(-np.abs(gradient))[[0, 3, 20, 100]].tolist():
+        up, down = weights.copy(), weights.copy()
+        up[at] += 0.02
+        down[at] -= 0.02
+        assert (loss(up) - loss(down)) / 0.04 == pytest.approx(gradient[at], rel=0.05)
+    lines = np.vstack([rng.normal(size=(50, 3)), np.zeros((1, 3))])
+    row = rng.integers(0, 7, 50)
+    want = np.stack([lines[:50][row == r].sum(axis=0) for r in range(9)])
+    assert attention_lm.sums_by_row(lines, row, 9) == pytest.approx(want)
+
+
+def test_lm_rare_words_are_joined(spark, monkeypatch):
+    """Words looked up in the task and words joined give the same base; copies and null ids keep their rows."""
+    texts = [" ".join(f"w{j % (i + 2)}" for j in range(i)) for i in range(40)]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[5]), (None, None), (100, ""), (101, texts[39])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lm_scoring.score_texts(docs).collect()
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 1)
+    joined = lm_scoring.score_texts(docs).collect()
+    order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])
+    plain, joined = sorted(plain, key=order), sorted(joined, key=order)
+    assert len(plain) == len(rows)
+    for a, b in zip(plain, joined, strict=True):
+        assert a[:5] == b[:5] and a["base_score"] == pytest.approx(b["base_score"])
+        assert a["score"] == pytest.approx(b["score"], rel=1e-3)
+    by_id = {r["doc_id"]: r["score"] for r in plain}
+    assert by_id[39] == by_id[101]
