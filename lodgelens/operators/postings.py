@@ -32,6 +32,10 @@ from lodgelens.session import materialise
 
 #: Postings of a block.
 BLOCK = 128
+#: Words of texts that are counted at once inside a task.
+PIECE_WORDS = 1_000_000
+#: Steps of an impact in the order of postings.
+_IMPACTS = 1 << 20
 #: Terms of a batch of queries that are handed to the scan as values; more are joined.
 PUSHED_TERMS = 64
 #: Scores are rounded to six places; a block is skipped only if it misses by more.
@@ -45,15 +49,18 @@ def _impact(tf: Column, length: Column, average: float) -> Column:
 def build_text_index(chunks: DataFrame, path: str) -> None:
     """Index ``chunk_text`` by ``chunk_id`` below ``path``; the folders are overwritten. A null text is none.
 
-    Texts are split once. A word in every text is one posting per text, dealt over many tasks by range of
-    term and impact; blocks end at a range's edge, so no task holds a term's whole list.
+    Texts are split once, and a text's words are counted where it is read; only where ids repeat do their
+    texts meet in a shuffle. A word in every text is one posting per text, dealt over many tasks by range of
+    one number of term, impact and text; blocks end at a range's edge, so no task holds a term's whole list.
     """
+    repeated = chunks.groupBy("chunk_id").count().filter("count > 1").limit(1).count()
     chunks = chunks.filter(F.col("chunk_text").isNotNull())
     split = chunks.select("chunk_id", words(F.col("chunk_text")).alias("ws"))
-    sized = split.select("chunk_id", "ws", F.size("ws").alias("length"))
-    # A text's words meet in its own task: the key of the shuffle is the text, whatever its words.
-    counted = sized.select("chunk_id", "length", F.explode("ws").alias("term")).groupBy("chunk_id", "term")
-    counted = materialise(counted.agg(F.count("*").alias("tf"), F.max("length").alias("length")), "postings")
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    counted = split.mapInArrow(_counts, f"chunk_id {kind}, term string, tf long, length int")
+    if repeated:
+        counted = counted.groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+    counted = materialise(counted, "postings")
     # Texts without words have no posting but count as texts.
     corpus = chunks.agg(F.count("*").alias("n")).first()["n"]
     total = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("w")).first()["w"]
@@ -62,32 +69,65 @@ def build_text_index(chunks: DataFrame, path: str) -> None:
     spark.createDataFrame([(corpus, float(average))], "n long, average double").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
     scored = counted.select("term", "chunk_id", _impact(F.col("tf"), F.col("length"), average).alias("impact"))
     scored.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top")).write.mode("overwrite").parquet(f"{path}/terms")
-    dealt = scored.repartitionByRange("term", F.desc("impact"), "chunk_id").sortWithinPartitions("term", F.desc("impact"), "chunk_id")
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    stored = dealt.mapInArrow(_blocks, f"term string, top double, postings array<struct<impact:double,chunk_id:{kind}>>")
+    # One number orders postings by term, best impact first: it sorts without comparing strings.
+    worst = F.floor((K1 + 1 - F.col("impact")) / (K1 + 1) * _IMPACTS).cast("long")
+    place = F.shiftleft("code", 28) + F.greatest(F.lit(0), F.least(F.lit(_IMPACTS - 1), worst)) * 256 + F.pmod(F.hash("chunk_id"), F.lit(256))
+    dealt = scored.select(_code().alias("code"), "term", "chunk_id", "impact").withColumn("place", place)
+    dealt = dealt.repartitionByRange("place").sortWithinPartitions("place").drop("place")
+    stored = dealt.mapInArrow(_blocks, f"code long, term string, top double, postings array<struct<impact:double,chunk_id:{kind}>>")
     stored.write.mode("overwrite").parquet(f"{path}/postings")
 
 
+def _code() -> Column:
+    """36 bits of a hash of ``term``, by which postings are ordered."""
+    return F.shiftrightunsigned(F.xxhash64("term"), 28)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's words (chunk_id, ws) with their number in it and its length."""
+    for batch in batches:
+        offsets = batch["ws"].offsets.to_numpy().astype(np.int64)
+        words, offsets = batch["ws"].flatten(), offsets - offsets[0] if len(offsets) else offsets
+        length = np.diff(offsets)
+        piece = offsets[1:] // PIECE_WORDS
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            coded = words.slice(offsets[start], offsets[stop] - offsets[start]).dictionary_encode()
+            wide = max(len(coded.dictionary), 1)
+            row = np.repeat(np.arange(start, stop), length[start:stop])
+            pairs, tf = np.unique(row * wide + coded.indices.to_numpy(), return_counts=True)
+            row, code = pairs // wide, pairs % wide
+            yield pa.record_batch(
+                [batch["chunk_id"].take(pa.array(row)), coded.dictionary.take(pa.array(code)), pa.array(tf.astype(np.int64)), pa.array(length[row].astype(np.int32))],
+                names=["chunk_id", "term", "tf", "length"],
+            )
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the sorted postings (term, chunk_id, impact) of one range."""
+    """Blocks of the sorted postings (code, term, chunk_id, impact) of one range."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        code = batch["term"].dictionary_encode().indices.to_numpy()
-        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        # Terms of one code stand mixed, impacts only nearly in order.
+        batch = batch.sort_by([("code", "ascending"), ("term", "ascending"), ("impact", "descending"), ("chunk_id", "ascending")])
+        n = batch.num_rows
+        term = batch["term"].dictionary_encode().indices.to_numpy()
+        start = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
         within = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
         first = np.flatnonzero(within % BLOCK == 0)
         pairs = pa.StructArray.from_arrays([batch["impact"], batch["chunk_id"]], ["impact", "chunk_id"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), pairs)
-        yield pa.record_batch([batch["term"].take(pa.array(first)), batch["impact"].take(pa.array(first)), lists], names=["term", "top", "postings"])
+        at = pa.array(first)
+        yield pa.record_batch([batch["code"].take(at), batch["term"].take(at), batch["impact"].take(at), lists], names=["code", "term", "top", "postings"])
 
 
 def _of_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows of ``df`` for the terms in ``terms``: by values in the scan while they are few."""
-    few = [r["term"] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    few = terms.select("term", _code().alias("code")).distinct().limit(PUSHED_TERMS + 1).collect()
     if len(few) <= PUSHED_TERMS:
-        return df.filter(F.col("term").isin(few))
+        if "code" in df.columns:  # stored in its order
+            df = df.filter(F.col("code").isin([r["code"] for r in few]))
+        return df.filter(F.col("term").isin([r["term"] for r in few]))
     return df.join(terms.select("term").distinct(), "term", "left_semi")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -651,3 +652,29 @@ def test_quantised_probes_of_most_cells_stay_one_row(spark, vectors, asked):
         unit = quantised._units([row["embedding"]])
         near = set(model.nearest_cells(unit, most)[0].tolist())
         assert {i for q, i in got if q == row["query_id"]} == {i for i, c in cells.items() if c in near}
+
+
+def test_text_index_counts_where_texts_are_read(spark, monkeypatch, tmp_path):
+    """No shuffle of words by text unless ids repeat; repeated and null ids count as one text's words."""
+    monkeypatch.setattr(postings, "PIECE_WORDS", 7)
+    plans = []
+    plain = postings.materialise
+
+    def seen(df, label, *more):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, label, *more)
+
+    monkeypatch.setattr(postings, "materialise", seen)
+    once = [(i, f"a b{i % 3} c{i} a") for i in range(20)] + [(50, ""), (51, None), (None, "a b1")]
+    for rows, repeats in ((once, False), ([*once, (3, "a a zz"), (None, "b1")], True)):
+        plans.clear()
+        path = str(tmp_path / f"index{len(rows)}")
+        postings.build_text_index(spark.createDataFrame(rows, "chunk_id long, chunk_text string"), path)
+        [plan] = [p for label, p in plans if label == "postings"]
+        assert ("hashpartitioning(chunk_id" in plan) == repeats
+        tf = Counter((i, w) for i, t in rows for w in (t or "").split())
+        held = spark.read.parquet(f"{path}/postings").selectExpr("term", "top", "explode(postings) AS p").collect()
+        assert len(held) == len(tf) and {(r["p"]["chunk_id"], r["term"]) for r in held} == set(tf)
+        assert all(r["p"]["impact"] <= r["top"] for r in held)
+        df = {r["term"]: r["df"] for r in spark.read.parquet(f"{path}/terms").collect()}
+        assert df == Counter(w for _, w in tf)
