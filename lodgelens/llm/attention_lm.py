@@ -21,6 +21,8 @@ MAX_ENTRIES = 8_000_000
 BATCH = 256
 #: Windows of one array: their attention stays in a core's own cache.
 BLOCK = 64
+#: Windows that are cut at once.
+CUT = 2048
 _STRIDE = WINDOW - OVERLAP
 _BEHIND = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _FUTURE = np.where(_BEHIND < 0, np.float32(-1e9), np.float32(0))
@@ -102,7 +104,9 @@ def initial(rows: int, seed: int = 5) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, step: np.ndarray, within: np.ndarray, weights: np.ndarray):
+    """``within`` may be None for a model that is only trained: gradients do not read it."""
+
+    def __init__(self, vocabulary: Vocabulary, step: np.ndarray, within: np.ndarray | None, weights: np.ndarray):
         self.vocabulary, self.step, self.within = vocabulary, step, within
         self.row = vocabulary.row.astype(np.int32)
         self.kind = vocabulary.kind.astype(np.int32)
@@ -256,21 +260,36 @@ def windows_of(per_doc: np.ndarray) -> np.ndarray:
     return np.where(length <= WINDOW, 1, 1 + -(-(length - WINDOW) // _STRIDE))
 
 
-def cut_windows(ids: np.ndarray, per_doc: np.ndarray, edge: int):
-    """Windows of the texts' ids, opened and ended by ``edge``: x, y, scored, document number.
+def window_blocks(ids: np.ndarray, per_doc: np.ndarray, edge: int, size: int):
+    """Windows of the texts' ids, opened and ended by ``edge``, ``size`` at a time: x, y, scored, document number.
 
     Neighbouring windows overlap; every id, the end included, is scored in exactly one.
     """
     length = per_doc + 1
     count = windows_of(per_doc)
-    doc = np.repeat(np.arange(len(length)), count)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    before = np.cumsum(count) - count
     stream = np.insert(ids.astype(np.int32), np.cumsum(per_doc), edge)  # every text with its end
     first = np.cumsum(length) - length
-    at = nth[:, None] * _STRIDE + np.arange(WINDOW)[None, :]
-    inside = at < length[doc][:, None]
-    place = first[doc][:, None] + np.minimum(at, length[doc][:, None] - 1)
-    y = stream[place]
-    x = np.where(at == 0, edge, stream[np.maximum(place - 1, 0)])
-    scored = inside & ((nth == 0)[:, None] | (np.arange(WINDOW) >= OVERLAP)[None, :])
+    for begin in range(0, int(count.sum()), size):
+        window = np.arange(begin, min(begin + size, int(count.sum())))
+        doc = np.searchsorted(before, window, side="right") - 1
+        at = (window - before[doc])[:, None] * _STRIDE + np.arange(WINDOW)[None, :]
+        inside = at < length[doc][:, None]
+        place = first[doc][:, None] + np.minimum(at, length[doc][:, None] - 1)
+        y = stream[place]
+        x = np.where(at == 0, edge, stream[np.maximum(place - 1, 0)])
+        scored = inside & ((at[:, :1] == 0) | (np.arange(WINDOW) >= OVERLAP)[None, :])
+        yield x, y, scored, doc
+
+
+def cut_windows(ids: np.ndarray, per_doc: np.ndarray, edge: int):
+    """All windows of ``window_blocks`` in arrays, filled block by block: a block's working space is small."""
+    total = int(windows_of(per_doc).sum())
+    x, y = np.empty((total, WINDOW), np.int32), np.empty((total, WINDOW), np.int32)
+    scored, doc = np.empty((total, WINDOW), bool), np.empty(total, np.int64)
+    at = 0
+    for found in window_blocks(ids, per_doc, edge, CUT):
+        to = slice(at, at + len(found[0]))
+        x[to], y[to], scored[to], doc[to] = found
+        at = to.stop
     return x, y, scored, doc

@@ -31,7 +31,6 @@ WINDOWS_PER_TASK, LEAST_STEPS, ROUNDS, RATE = 100_000, 60, 2, 0.02
 HELD_OUT = (10, 0)
 SMOOTHING = 0.1
 _END = np.uint64(0x0E4D0F7E97)
-_SLICE_WINDOWS = 2048
 _WORD, _PAIR, _IDS, _DOC, _RARE, _HELD = range(6)
 
 
@@ -174,13 +173,16 @@ def _fit(gathered: DataFrame, size: int) -> lm.Model:
         if turn not in shares:
             continue
         tasks = -(-shares[turn] // WINDOWS_PER_TASK)
-        held = spark.sparkContext.broadcast(model)
+        held = spark.sparkContext.broadcast(lm.Model(vocabulary, model.step, None, model.weights))
 
         def train(batches, held=held, turn=turn):
+            _without_encoder()
             ids = [np.frombuffer(v.as_buffer(), kind) for b in batches for v in b["data"]]
             if ids:
                 per_doc = np.array([len(v) for v in ids])
                 x, y, scored, _ = lm.cut_windows(np.concatenate(ids), per_doc, size)
+                ids.clear()
+                release_memory()
                 weights = held.value.train(x, y, scored, LEAST_STEPS, RATE / (1 + turn), turn)
                 yield pa.record_batch(
                     [pa.array(np.arange(len(weights))), pa.array(weights.astype(np.float64) * len(x)), pa.array(np.full(len(weights), float(len(x))))],
@@ -194,10 +196,17 @@ def _fit(gathered: DataFrame, size: int) -> lm.Model:
         weights = model.weights.copy()
         for at, w in _columns(mean, "at", "w"):  # one row per weight
             weights[at] = w
+        held.destroy()  # its rows are here
         model = lm.Model(vocabulary, model.step, model.within, weights)
     return model
 
 
+def _without_encoder() -> None:
+    """Drop the worker's encoder and its stored words: stored ids are read without it."""
+    encoder.cache_clear()
+    release_memory()
+
+
 def _columns(rows: DataFrame, *names: str):
     """The only batch of a bounded result as arrays."""
     table = rows.select(*names).toArrow()
@@ -311,16 +320,14 @@ def _model_scores(gathered: DataFrame, model: lm.Model, size: int) -> DataFrame:
     kind = _kind(size)
 
     def run(batches):
+        _without_encoder()
         model = held.value
         for part in slices(batches, "data"):
             ids = np.frombuffer(b"".join(part["data"].to_pylist()), kind)
             per_doc = pc.binary_length(part["data"]).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
             score = np.zeros(len(part))
-            x, y, scored, owner = lm.cut_windows(ids, per_doc, size)
-            for i in range(0, len(x), _SLICE_WINDOWS):
-                to = slice(i, i + _SLICE_WINDOWS)
-                for pick, start in lm.parts(scored[to]):
-                    pick = pick + i
+            for x, y, scored, owner in lm.window_blocks(ids, per_doc, size, lm.CUT):
+                for pick, start in lm.parts(scored):
                     found = model.log_probability(x[pick], y[pick], start) * scored[pick, start:]
                     score += np.bincount(owner[pick], weights=found.sum(axis=1, dtype=np.float64), minlength=len(part))
             yield pa.record_batch([part["digest"], pa.array(score / np.log(10))], names=["digest", "score"])

@@ -100,6 +100,24 @@ def test_windows_score_each_id_once():
     assert (x[first, 0] == 7).all() and (x[:, 1:][scored[:, 1:]] == y[:, :-1][scored[:, 1:]]).all()
 
 
+def test_cutting_windows_takes_little_more_than_the_windows():
+    import tracemalloc
+
+    per_doc = np.array([300_000, 0, 200_000, 5])
+    stream = np.arange(per_doc.sum(), dtype=np.uint16)
+    tracemalloc.start()
+    try:
+        whole = attention_lm.cut_windows(stream, per_doc, 7)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * sum(part.nbytes for part in whole)
+    blocks = list(attention_lm.window_blocks(stream, per_doc, 7, 100))
+    assert max(len(b[0]) for b in blocks) == 100
+    for part, pieces in zip(whole, zip(*blocks, strict=True), strict=True):
+        assert (part == np.concatenate(pieces)).all()
+
+
 def test_attention_learns_and_sums_to_one():
     rng = np.random.default_rng(0)
     size, counts = 50, np.ones(51)
