@@ -43,9 +43,11 @@ DIMENSIONS = 256
 LEAF = 32
 CHUNK = 1024
 #: Group keys per part of the packed exchange.
-PART_KEYS = 500_000
+PART_KEYS = 1_000_000
 #: Group keys that a task holds before it sends them.
-BUFFER_KEYS = 250_000
+BUFFER_KEYS = 500_000
+#: Probes of an id in the bit set, as shifts of its hash.
+PROBES = (0, 12, 24, 36)
 
 
 def digests(found: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -119,29 +121,31 @@ def group_keys(found: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.
 
 
 def _packed_keys(docs: DataFrame, parts: int) -> DataFrame:
-    """Group keys in blocks: part, 40 bits of each key, the place of its owner, the owners.
+    """Group keys in blocks: part, 32 bits of each key, the keys of each owner in turn, the owners.
 
-    An owner is the digest of a set, with its last bit set for keys of the next size class.
+    An owner is the digest of a set, with its last bit set for keys of the next size class. Equal keys
+    stay equal; of the ``PART_KEYS`` of a part about one in ten thousand meets another key by chance,
+    which adds a candidate and loses none.
     """
 
     def send(held, owners):
         keys, place = (np.concatenate(x) for x in zip(*held, strict=True))
         owners = np.concatenate(owners)
         part = (keys % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part * len(owners) + place)
         part, keys, place = part[order], keys[order], place[order]
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         rows = []
         for s, e in zip(begin, np.append(begin[1:], len(part)), strict=True):
-            names, at = np.unique(place[s:e], return_inverse=True)
-            low = (keys[s:e] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            kind = "<u2" if len(names) <= 1 << 16 else "<u4"
-            rows.append((int(part[s]), low.tobytes(), at.astype(kind).tobytes(), owners[names].tobytes()))
+            names, held_by = np.unique(place[s:e], return_counts=True)
+            low = (keys[s:e] >> np.uint64(32)).astype("<u4")
+            kind = "<u1" if held_by.max() < 1 << 8 else "<u4"
+            rows.append((int(part[s]), low.tobytes(), held_by.astype(kind).tobytes(), owners[names].tobytes()))
         for i in range(0, len(rows), 64):
             columns = list(zip(*rows[i : i + 64], strict=True))
             yield pa.record_batch(
                 [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                names=["part", "keys", "place", "owners"],
+                names=["part", "keys", "held", "owners"],
             )
 
     def run(batches):
@@ -161,7 +165,7 @@ def _packed_keys(docs: DataFrame, parts: int) -> DataFrame:
             yield from send(held, owners)
 
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    return texts.mapInArrow(run, "part int, keys binary, place binary, owners binary")
+    return texts.mapInArrow(run, "part int, keys binary, held binary, owners binary")
 
 
 def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
@@ -173,15 +177,13 @@ def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
     def repeated(batches):
         keys, places, owners, base, part = [], [], [], 0, []
         for batch in batches:
-            for number, low, place, names in zip(*(batch[c] for c in ("part", "keys", "place", "owners")), strict=True):
-                raw = np.frombuffer(low.as_buffer(), np.uint8).reshape(-1, 5)
-                key = np.zeros((len(raw), 8), np.uint8)
-                key[:, :5] = raw
-                keys.append(key.view("<u8").ravel() | np.uint64(number.as_py()) << np.uint64(40))
+            for number, low, held, names in zip(*(batch[c] for c in ("part", "keys", "held", "owners")), strict=True):
+                key = np.frombuffer(low.as_buffer(), "<u4").astype(np.uint64)
+                keys.append(key | np.uint64(number.as_py()) << np.uint64(32))
                 owners.append(np.frombuffer(names.as_buffer(), np.int64))
-                at = place.as_buffer()
-                places.append(np.frombuffer(at, "<u2" if at.size == 2 * len(raw) else "<u4").astype(np.int64) + base)
-                base += len(owners[-1])
+                own, count = len(owners[-1]), held.as_buffer()
+                places.append(np.repeat(np.arange(base, base + own), np.frombuffer(count, "<u1" if count.size == own else "<u4")))
+                base += own
         if not keys:
             return
         key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -216,12 +218,12 @@ def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
 def _id_bits(ids: DataFrame) -> tuple[int, np.ndarray]:
     """A bit set of hashed ids, at most 2^26 bits (8 MB) whatever the number of ids.
 
-    About ten bits per id; with more ids than that it only lets more rows through.
+    Ten to twenty bits per id, of which ``PROBES`` sets some; with more ids it only lets more rows through.
     """
     bits = 1 << min(26, max(16, (10 * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
     words = (
-        ids.select(place.alias("p"))
+        ids.select(F.explode(F.array(*(F.shiftright(hashed, s).bitwiseAND(F.lit(bits - 1)) for s in PROBES))).alias("p"))
         .groupBy(F.shiftright("p", 5).alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("b"))
     )
@@ -242,8 +244,11 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         def wanted():
             for batch in batches:
-                place = batch["p"].to_numpy()
-                yield batch.filter(pa.array((words.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
+                inside = np.ones(len(batch), bool)
+                for shift in PROBES:
+                    place = batch["p"].to_numpy() >> shift & bits - 1
+                    inside &= words.value[place >> 5] >> (place & 31).astype(np.uint32) & 1 == 1
+                yield batch.filter(pa.array(inside))
 
         for part in slices(wanted()):
             found, owner = shingles(part["text"], WIDTH)
@@ -264,9 +269,10 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 names=["doc_id", "h1", "n", "values", "counts"],
             )
 
-    placed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("p"))
+    placed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("p"))
     sets = placed.mapInArrow(run, "doc_id long, h1 long, n long, values array<long>, counts array<int>")
-    return sets.join(ids, ["doc_id", "h1"], "left_semi").dropDuplicates(["doc_id"])
+    # An id of ``ids`` has one digest: repeats of a row are dropped where the join left them, without an exchange.
+    return sets.join(ids, ["doc_id", "h1"], "left_semi").dropDuplicates(["doc_id", "h1"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -344,6 +344,25 @@ def test_jaccard_components(spark, odd):
     assert len(set(roots.values())) < len(roots) - 20
 
 
+def test_join_exchanges_are_small(spark):
+    """A group key travels as 32 bits next to its owner's count, and repeats of an id need no exchange of their own."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(40)], "doc_id long, text string")
+    rows = shingle_join._packed_keys(docs, 8).collect()
+    keys = shingle_join.set_digests(docs).selectExpr("sum(keys + keys_up) AS n").first()["n"]
+    assert sum(len(r["keys"]) for r in rows) == 4 * keys
+    assert sum(len(r["held"]) + len(r["owners"]) for r in rows) < keys
+    assert sum(np.frombuffer(r["held"], "<u1").sum(dtype=int) for r in rows) == keys
+    ids = shingle_join.set_digests(docs).where("doc_id % 4 = 0").select("doc_id", "h1")
+    found = shingle_join.sets_of(docs.union(docs.limit(3)), ids)
+    assert {r["doc_id"]: r["n"] for r in found.collect()} == {i: 296 for i in range(0, 40, 4)} and found.count() == 10
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shingle_join.sets_of(docs, ids)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_tree_bound_keeps_every_link():
     rng = np.random.default_rng(0)
     counts = rng.poisson(4, (80, 64))
