@@ -43,9 +43,9 @@ DIMENSIONS = 256
 LEAF = 32
 CHUNK = 1024
 #: Group keys per part of the packed exchange.
-PART_KEYS = 1_000_000
+PART_KEYS = 500_000
 #: Group keys that a task holds before it sends them.
-BUFFER_KEYS = 500_000
+BUFFER_KEYS = 250_000
 #: Probes of an id in the bit set, as shifts of its hash.
 PROBES = (0, 12, 24, 36)
 
@@ -161,6 +161,7 @@ def _packed_keys(docs: DataFrame, parts: int) -> DataFrame:
             if waiting >= BUFFER_KEYS:
                 yield from send(held, owners)
                 held, owners, base, waiting = [], [], 0, 0
+                release_memory()
         if waiting:
             yield from send(held, owners)
 
