@@ -8,10 +8,13 @@
    ``PAGES`` or more different pages are boilerplate. A longer repeat is a chain of such substrings, so
    this depth decides the same tokens as the whole array. A large host is sorted in slices; the
    substrings of its slices are then added up by Spark.
-3. Tokens covered by boilerplate go; the runs that are left are kept.
+3. Articles give streams too, and their suffixes are sorted in the same way: a substring that at least
+   as many different articles of the host carry as pages outside their articles is a passage of its
+   articles. Only the parts of articles that may hold a substring asked for are sorted.
+4. Tokens covered by boilerplate and by no passage go; the runs that are left are kept.
 
-What an article element holds is decided by its markup alone: passages that many articles share belong
-to each of them. Pages with equal streams count as one, so copies do not make a text boilerplate.
+What an article element holds is kept whole: passages that many articles share belong to each of them.
+Pages with equal streams count as one, so copies do not make a text boilerplate, nor a passage.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ PAGES = 3
 SLICE_TOKENS = 500_000
 #: Html read at once inside a task.
 BATCH_BYTES = 8 * 1024 * 1024
+#: Slots of the set that tells which parts of articles may hold a substring asked for.
+SLOTS = 1 << 22
 
-_PARSED = "page_id long, url string, host string, d1 long, e1 long, text string, loose boolean, tokens array<long>, places array<int>, parts array<string>"
+_PARSED = "page_id long, url string, host string, d1 long, e1 long, text string, loose boolean, tokens array<long>, places array<int>, parts array<string>, inside array<string>"
 
 
 def host_of(url) -> F.Column:
@@ -60,6 +65,12 @@ def page_stream(found) -> tuple[np.ndarray, np.ndarray]:
     return hash_strings(pa.array(texts, pa.string())), np.array(owner, np.int32)
 
 
+def article_stream(texts, places) -> np.ndarray:
+    """Tokens of an article: its blocks' words, each block after a token for the elements around it."""
+    words = [word for text, place in zip(texts, places, strict=True) for word in (f"<{place}>", *text.split(" "))]
+    return hash_strings(pa.array(words, pa.string()))
+
+
 def _parse(batches):
     """Rows of ``_PARSED``. Texts of pages with loose blocks wait for the suffix array."""
 
@@ -79,10 +90,11 @@ def _parse(batches):
                 places = None
             text = None if loose else "\n".join(b.text for b in found if b.part == ARTICLE)
             evidence = _digest(tokens[owner >= 0]) if loose else own
-            out.append((page, url, host, own, evidence, text, loose, tokens.view(np.int64), places, parts))
+            inside = [b.place for b in found if b.part == ARTICLE]
+            out.append((page, url, host, own, evidence, text, loose, tokens.view(np.int64), places, parts, inside))
         columns = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        names = ["page_id", "url", "host", "d1", "e1", "text", "loose", "tokens", "places", "parts"]
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+        names = ["page_id", "url", "host", "d1", "e1", "text", "loose", "tokens", "places", "parts", "inside"]
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     for batch in batches:
@@ -103,6 +115,8 @@ def suffix_runs(tokens: np.ndarray, page: np.ndarray, depth: int) -> tuple[np.nd
     are left out. Ranks double their depth in each round, as when a whole suffix array is built.
     """
     n = len(tokens)
+    if n < depth:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     known = 1
     while known < depth:
@@ -111,7 +125,7 @@ def suffix_runs(tokens: np.ndarray, page: np.ndarray, depth: int) -> tuple[np.nd
         later[: n - step] = np.where(page[: n - step] == page[step:], rank[step:], -1)
         rank = np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
         known += step
-    whole = np.flatnonzero(page[: max(n - depth + 1, 0)] == page[depth - 1 :]) if n >= depth else np.empty(0, np.int64)
+    whole = np.flatnonzero(page[: n - depth + 1] == page[depth - 1 :])
     order = whole[np.argsort(rank[whole], kind="stable")]
     return order, rank[order]
 
@@ -121,8 +135,8 @@ def _windows(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
     return rolled(tokens, page, LONG)[0].view(np.int64)
 
 
-def _slice_repeats(table: pa.Table) -> pa.Table:
-    """Long substrings of one slice of a host's streams: host, window, pages."""
+def _slice_repeats(table: pa.Table, least: int) -> pa.Table:
+    """Long substrings of one slice of a host's streams: host, window, pages. A host's only slice leaves out those on fewer than ``least``."""
     lengths = np.diff(table["tokens"].combine_chunks().offsets.to_numpy())
     tokens = table["tokens"].combine_chunks().flatten().to_numpy().view(np.uint64)
     page = np.repeat(np.arange(len(lengths)), lengths)
@@ -138,12 +152,12 @@ def _slice_repeats(table: pa.Table) -> pa.Table:
     at[whole] = _windows(tokens, page)
     found, count = at[order[first]], pages[rank[first]]
     if table["slices"][0].as_py() == 1:
-        found, count = found[count >= PAGES], count[count >= PAGES]
+        found, count = found[count >= least], count[count >= least]
     return pa.table({"host": pa.array([table["host"][0].as_py()] * len(found), pa.string()), "window": pa.array(found), "pages": pa.array(count)})
 
 
-def host_boilerplate(streams: DataFrame) -> DataFrame:
-    """host, window: long substrings on ``PAGES`` or more different pages of a host.
+def host_repeats(streams: DataFrame, least: int = PAGES) -> DataFrame:
+    """host, window, pages: long substrings on ``least`` or more different pages of a host.
 
     ``streams`` (host, e1, tokens) may repeat; equal ``e1`` of a host is one page.
     """
@@ -151,8 +165,62 @@ def host_boilerplate(streams: DataFrame) -> DataFrame:
     slices = F.ceil(F.sum(F.size("tokens")) / SLICE_TOKENS).cast("int").alias("slices")
     sized = distinct.join(distinct.groupBy("host").agg(slices).where("slices > 0"), "host")
     cut = sized.withColumn("slice", F.pmod(F.xxhash64("e1"), F.col("slices")))
-    repeats = cut.groupBy("host", "slice").applyInArrow(_slice_repeats, "host string, window long, pages long")
-    return repeats.groupBy("host", "window").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES).select("host", "window")
+    repeats = cut.groupBy("host", "slice").applyInArrow(lambda table: _slice_repeats(table, least), "host string, window long, pages long")
+    return repeats.groupBy("host", "window").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least)
+
+
+def _slots(host: np.ndarray, window: np.ndarray, slots: int) -> np.ndarray:
+    """Slots of hosts' substrings in the set; ``host`` is the hash of its name. Hosts have theirs with window 0."""
+    return (mix(host ^ mix(window.view(np.uint64))) % np.uint64(slots)).astype(np.int64)
+
+
+def article_streams(parsed: DataFrame, asked: DataFrame) -> DataFrame:
+    """host, e1, tokens: articles' tokens under substrings whose slot is one of those ``asked`` for (host, window).
+
+    ``e1`` is of the whole article. A token 0 stands between parts that are not neighbours.
+    """
+    slots = SLOTS
+
+    def slots_of(batches):
+        for batch in batches:
+            if batch.num_rows:
+                host, window = hash_strings(batch["host"]), batch["window"].to_numpy()
+                found = [_slots(host, window, slots), _slots(host, np.zeros_like(window), slots)]
+                yield pa.record_batch([pa.array(np.unique(np.concatenate(found)))], names=["slot"])
+
+    marked = np.zeros(slots, bool)
+    marked[asked.mapInArrow(slots_of, "slot long").distinct().toArrow()["slot"].to_numpy()] = True  # at most SLOTS rows
+    held = parsed.sparkSession.sparkContext.broadcast(np.packbits(marked))
+
+    def run(batches):
+        marked = np.unpackbits(held.value, count=slots).view(bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hosts = hash_strings(batch["host"])
+            some = np.flatnonzero(marked[_slots(hosts, np.zeros(len(hosts), np.int64), slots)])
+            out = []
+            for at, row in zip(some.tolist(), batch.take(pa.array(some)).to_pylist(), strict=True):
+                if row["loose"]:
+                    outside = set(row["places"])
+                    texts = [text for i, text in enumerate(row["parts"]) if text is not None and i not in outside]
+                else:
+                    texts = row["text"].split("\n") if row["inside"] else []
+                tokens = article_stream(texts, row["inside"])
+                hit = marked[_slots(hosts[at], _windows(tokens, np.zeros(len(tokens), np.int64)), slots)]
+                if hit.any():
+                    under = np.convolve(hit, np.ones(LONG, np.int64)) > 0
+                    last = under & ~np.append(under[1:], False)
+                    kept = np.flatnonzero(under)
+                    out.append((row["host"], _digest(tokens), np.insert(tokens[kept], np.flatnonzero(last[kept]) + 1, 0).view(np.int64)))
+            if out:
+                columns = list(zip(*out, strict=True))
+                types = [pa.string(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "e1", "tokens"])
+        release_memory()
+
+    rows = parsed.where(F.size("inside") > 0).select("host", "text", "loose", "places", "parts", "inside")
+    return rows.mapInArrow(run, "host string, e1 long, tokens array<long>")
 
 
 def _loose_windows(batches):
@@ -172,16 +240,20 @@ def _loose_windows(batches):
 
 
 def _cut(batches):
-    """Texts of pages with loose blocks, without the tokens that ``covers`` names."""
+    """Texts of pages with loose blocks, without the tokens under ``covers`` that are under no ``passages``."""
+
+    def under(starts, size):
+        covered = np.zeros(size + 1, np.int64)
+        for at in starts or []:
+            covered[at] += 1
+            covered[at + LONG] -= 1
+        return np.cumsum(covered)[:-1] > 0
+
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             owner = np.array(row["places"], np.int32)
-            covered = np.zeros(len(owner) + 1, np.int64)
-            for at in row["covers"] or []:
-                covered[at] += 1
-                covered[at + LONG] -= 1
-            gone = np.cumsum(covered)[:-1] > 0
+            gone = under(row["covers"], len(owner)) & ~under(row["passages"], len(owner))
             lines = []
             for i, text in enumerate(row["parts"]):
                 if text is None:
@@ -202,19 +274,24 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     ``pages`` needs page_id, url and html; others are ignored. Null and empty html give an empty text.
-    A page without an article element is loose altogether: what its host does not repeat is its text.
+    A page without an article element is loose altogether: its text is what its host does not repeat, or
+    repeats in as many articles as outside them.
     Hosts are taken from the url; pages with a null url or one without ``://`` share the empty host.
     Repeated rows get the same text each and count as one page. An empty table gives no rows. Runs
     Spark jobs when called.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     parsed = materialise(source.mapInArrow(_parse, _PARSED), "parsed")
-    boilerplate = materialise(host_boilerplate(parsed.select("host", "e1", "tokens")), "boilerplate")
+    repeats = materialise(host_repeats(parsed.select("host", "e1", "tokens")), "repeats")
     loose = parsed.where("loose")
     asked = loose.select("host", "d1", "tokens", "places").dropDuplicates(["host", "d1"])
     windows = asked.mapInArrow(_loose_windows, "host string, d1 long, window long, pos int")
-    covers = windows.join(boilerplate, ["host", "window"], "left_semi").groupBy("host", "d1").agg(F.collect_list("pos").alias("covers"))
+    windows = materialise(windows.join(repeats, ["host", "window"]), "windows")
+    passages = host_repeats(article_streams(parsed, windows.select("host", "window").distinct()), 1)
+    found = windows.join(passages.withColumnRenamed("pages", "articles"), ["host", "window"], "left")
+    passage = F.when(F.col("articles") >= F.col("pages"), F.col("pos"))
+    covers = found.groupBy("host", "d1").agg(F.collect_list("pos").alias("covers"), F.collect_list(passage).alias("passages"))
     waiting = loose.select("page_id", "url", "host", "d1", "places", "parts").join(covers, ["host", "d1"], "left")
-    cut = waiting.select("page_id", "url", "places", "parts", "covers").mapInArrow(_cut, "page_id long, url string, text string")
+    cut = waiting.select("page_id", "url", "places", "parts", "covers", "passages").mapInArrow(_cut, "page_id long, url string, text string")
     texts = parsed.where("NOT loose").select("page_id", "url", "text").union(cut)
     return texts.withColumn("n_chars", F.length("text").cast("long"))

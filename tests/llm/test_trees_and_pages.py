@@ -267,12 +267,39 @@ def test_hosts_give_up_what_they_repeat(spark, monkeypatch, slice_tokens):
     assert "small files" not in found[1] and "small files" not in found[4] and found[0]
 
 
+@pytest.mark.parametrize(("slice_tokens", "slots"), [(20, 1), (500_000, 1 << 22)])
+def test_articles_tell_passages_from_boilerplate(spark, monkeypatch, slice_tokens, slots):
+    monkeypatch.setattr(html_text, "SLICE_TOKENS", slice_tokens)
+    monkeypatch.setattr(html_text, "SLOTS", slots)
+    passage = "the river rose twice that spring and took the old bridge with it"
+    notice = "we use small files on your machine to count how often you come here"
+    copied = "nobody in the village could say where the letters had come from"
+    pages = [("http://a.org/", f"<div>loose page {i}<p>{passage}</p><p>{notice}</p><p>{copied}</p></div>") for i in range(3)]
+    pages += [("http://a.org/", f"<article><h1>number {i}</h1><p>{passage}</p></article><div>end {i}</div>") for i in range(2)]
+    pages += [("http://a.org/", f"<nav>top</nav><main><p>{passage}</p><p>and more of it</p></main>")]
+    pages += [("http://a.org/", f"<article><p>{copied}</p><p>{notice}</p></article>")] * 4  # copies are one article
+    pages += [("http://b.org/", f"<div>other page {i}<p>{passage}</p></div>") for i in range(3)]  # articles of another host
+    found = texts_of(spark, pages)
+    assert [found[i] for i in range(3)] == [f"loose page {i}\n{passage}" for i in range(3)]
+    assert [found[3 + i] for i in range(2)] == [f"number {i}\n{passage}\nend {i}" for i in range(2)]
+    assert found[5] == f"{passage}\nand more of it"
+    assert {found[i] for i in range(6, 10)} == {f"{copied}\n{notice}"}
+    assert [found[10 + i] for i in range(3)] == [f"other page {i}" for i in range(3)]
+
+
 def test_long_pages_and_empty_tables(spark):
     long = "<article>" + "".join(f"<p>paragraph {i} of a very long page</p>" for i in range(40_000)) + "</article>"
     assert texts_of(spark, [("http://a.b/c", long)])[0].count("\n") == 39_999
     assert html_text.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_hosts_with_fewer_tokens_than_a_long_substring(spark):
+    for words in range(1, 9):
+        text = " ".join("abcdefgh"[:words])
+        assert texts_of(spark, [("http://a.b/c", f"<div>{text}</div>")]) == {0: text}
+        assert all(not len(found) for found in html_text.suffix_runs(np.arange(min(words, 7), dtype=np.uint64), np.zeros(min(words, 7), int), 8))
+
+
 def test_suffix_ranks_equal_prefixes():
     rng = np.random.default_rng(4)
     tokens, page = rng.integers(0, 3, 400).astype(np.uint64), np.sort(rng.integers(0, 9, 400))
